@@ -10,9 +10,10 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -148,27 +149,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options)
     return fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), **options)
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, n_offending, worst_start, worst_end for each row of docs: the whole text is read; nulls count as empty and score 0. worst_* span the sentence that weighs most, if any."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs named in keep (doc_id alone if None) with score, n_offending, worst_start, worst_end for each row.
+
+    The whole text is read; nulls count as empty and score 0. worst_* span the sentence that weighs most, null without one. Columns of docs that have one of these names are not kept.
+    """
+    made = {"score": "double", "n_offending": "long", "worst_start": "long", "worst_end": "long"}
+    keep = [c for c in (keep or [doc_id]) if c not in made]
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    own = docs.select(*keep, F.col(text).alias("_text"))
 
     def of(batches):
         m = Model(*shared.value)
-        for pdf in batches:
-            got = [m.score(t) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "score": np.array([min(1.0, max(0.0, float(g[0]))) for g in got], dtype=float),
-                    "n_offending": np.array([int(g[1]) for g in got], dtype=np.int64),
-                    "worst_start": pd.array([g[2] for g in got], dtype="Int64"),
-                    "worst_end": pd.array([g[3] for g in got], dtype="Int64"),
-                }
-            )
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(of, f"doc_id {kind}, score double, n_offending long, worst_start long, worst_end long")
+        for b in batches:
+            got = [m.score(t) for t in b.column(len(keep)).to_pylist()]
+            arrays = [pa.array([min(1.0, max(0.0, float(g[0]))) for g in got], pa.float64())]
+            arrays += [pa.array([None if g[i] is None else int(g[i]) for g in got], pa.int64()) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *arrays], [*keep, *made])
+
+    schema = T.StructType([own.schema[c] for c in keep] + [T.StructField(c, T.DoubleType() if t == "double" else T.LongType()) for c, t in made.items()])
+    return own.mapInArrow(of, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
