@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, secrets, simhash, toxicity, vectors, warc
+from . import decontaminate, licenses, lines, mixing, passages, secrets, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_embedding_near_dedup": vectors.op3_embedding_near_dedup,
+    "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": lines.op10_line_dedup,
 }
-SQL = secrets.SQL | licenses.SQL | vectors.SQL | warc.SQL | mixing.SQL | decontaminate.SQL | lines.SQL
+SQL = secrets.SQL | licenses.SQL | vectors.SQL | passages.SQL | warc.SQL | mixing.SQL | decontaminate.SQL | lines.SQL
