@@ -87,7 +87,8 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     for d in sorted(sizes):
         here = reps.where(F.size("e") == d)
         sample = here.orderBy(F.xxhash64("rep")).limit(PCA_SAMPLE).select("e").toPandas()
-        x = np.array(sample["e"].tolist(), dtype=float)
+        x = np.array(sample["e"].tolist(), dtype=float).reshape(-1, d)
+        x /= np.abs(x).max(1, keepdims=True)
         parts.append(_links(here, rotation(x / np.linalg.norm(x, axis=1, keepdims=True)), d, threshold, tile_rows))
     if parts:
         found = parts[0]
