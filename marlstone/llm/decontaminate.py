@@ -23,12 +23,18 @@ LANES = 16
 
 def _words(text: Column) -> Column:
     """Words of letters, digits and characters beyond ASCII, lower case; an empty array if there are none."""
-    ws = F.split(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")), " ")
-    return F.filter(ws, lambda w: w != "")
 
+    def inner(ws):
+        head = F.when(F.get(ws, F.lit(0)) == "", 1).otherwise(0)
+        tail = F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)
+        return F.slice(ws, head + 1, F.size(ws) - head - tail)
 
-def _rolling(ws: Column, k: int) -> Column:
-    roll = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return let(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), inner)
+
+
+def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
+    """Hashes of the k words at every stride-th place."""
+    roll = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k, F.lit(stride)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
     return F.when(F.size(ws) >= k, let(ws, roll)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -71,15 +77,19 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, sim
 def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     items = entries.select("item_id", "item", "l", _rolling(F.col("_ws"), k).alias("sh"))
     grams = items.select("l", F.explode("sh").alias("g")).distinct()
-    # Where shingles of the benchmark stand, by the lengths of the items that hold them.
-    rolled = own.select("doc_id", *key, _rolling(_words(F.col("text")), k).alias("_roll"))
-    seeds = rolled.select(*key, F.posexplode("_roll").alias("p", "g")).join(_some(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
+    # Where shingles of the benchmark stand, by the lengths of the items that hold them. Of the m shingles of a similar window at least
+    # b = 2ms / (1 + s) are the item's, so the others part them into runs, the longest of at least b / (m - b + 1): looking at every stride-th place meets it.
+    m = F.size("sh")
+    shared = F.ceil(2 * m * F.lit(similarity) / (1 + similarity) - 1e-9)
+    stride = items.agg(F.min(F.ceil(shared / (m - shared + 1))).alias("s")).first()["s"]
+    places = own.select(*key, F.posexplode(_rolling(_words(F.col("text")), k, int(stride))).alias("p", "g"))
+    seeds = places.withColumn("p", F.col("p") * int(stride)).join(_some(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
     seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds")
     # All windows of those lengths that cover one.
     starts = lambda x: F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.least(x["p"], F.size("_roll") + k - 1 - x["l"]))
     fits = F.filter("_seeds", lambda x: x["l"] <= F.size("_roll") + k - 1)
     laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
-    near = rolled.join(_some(seeds, BROADCAST_DOCS), key)
+    near = own.join(_some(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
     prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"])
