@@ -193,7 +193,7 @@ def _walk(accept):
 
 
 def _spread(known) -> float:
-    return float(np.std(known.scores)) or 1.0
+    return float(np.std([s for s in known.scores if math.isfinite(s)] or [0.0])) or 1.0
 
 
 def _named(name: str, f: Proposer) -> None:
