@@ -196,6 +196,12 @@ def _spread(known) -> float:
     return float(np.std([s for s in known.scores if math.isfinite(s)] or [0.0])) or 1.0
 
 
+def _level(known, t) -> float:
+    """The water: from the worst score known to the best, as the budget runs out."""
+    good = [s for s in known.scores if math.isfinite(s)]
+    return min(good) + (max(good) - min(good)) * min(1.0, t) if good else -math.inf
+
+
 def _named(name: str, f: Proposer) -> None:
     f.__name__ = name
     ALGORITHMS[name] = f
@@ -203,7 +209,7 @@ def _named(name: str, f: Proposer) -> None:
 
 _named("simulated_annealing", _walk(lambda new, old, k, t, rng: new >= old or rng.random() < math.exp((new - old) / (_spread(k) * max(1e-3, 1 - t)))))
 _named("threshold_accepting", _walk(lambda new, old, k, t, rng: new >= old - _spread(k) * max(0.0, 1 - t)))
-_named("great_deluge", _walk(lambda new, old, k, t, rng: new >= old or new >= min(k.scores) + (max(k.scores) - min(k.scores)) * min(1.0, t)))
+_named("great_deluge", _walk(lambda new, old, k, t, rng: new >= old or new >= _level(k, t)))
 
 
 @algorithm

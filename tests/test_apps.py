@@ -7,8 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import compare, duck
 from pyspark.sql import functions as F
 
+from marlstone import app_queries as Q
 from marlstone.apps import backtest as B
 from marlstone.apps import factor as A
 from marlstone.apps import optimize as O
@@ -319,3 +321,13 @@ def test_lookbacks():
         with pytest.raises(RequestError):
             parse_lookback(bad)
     assert Query.parse({"start_date": "2024-01-01", "end_date": "2024-01-02", "codes": [], "factors": ["a"]}).source_factors() == ["a"]
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_query_equals_sql(spark, name):
+    df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    if name in Q.SQL:
+        n, differences = compare(df, duck("/root/testdata/sf0.001"), Q.SQL[name])
+        assert not differences and n
+    else:
+        assert df.count() > 0
