@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import shared_dir, table
+from marlstone.llm.common import saved, shared_dir, table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.lines import dedup_lines
 from marlstone.llm.mixing import mix, word_count
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, target and taken words of every document that is left."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(sized).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(saved(sized, "mix-sizes")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [
