@@ -73,3 +73,21 @@ def match_starts(pieces: Column, matches: Column) -> Column:
             lambda base: F.transform(g, lambda _, i: F.get(base, F.floor(i / 64).cast("int")) + total(F.slice(g, F.floor(i / 64).cast("int") * 64 + 1, i % 64 + 1))),
         ),
     )
+
+
+def each(column):
+    """The values of an Arrow column one by one: a batch of long texts is never held twice."""
+    return (v.as_py() for v in column)
+
+
+def hash_sample(df: DataFrame, by: list[str], rows: int, total: int) -> DataFrame:
+    """About `rows` of the `total` rows of df: those with the smallest share of hash values, the same at every run; twice as many are never exceeded. Tasks pass on only what is chosen."""
+    if total <= rows:
+        return df
+    share = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 31))
+    return df.where(share < int((1 << 31) * rows / total)).limit(2 * rows)
+
+
+def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
+    """df, sent to every task if it has at most so many rows; beyond, a join shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

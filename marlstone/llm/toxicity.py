@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import each, hash_sample, table
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 TOKEN = re.compile(r"[^\W_]+")
-#: The model is fitted on at most so many labelled rows, in hash order; both labels get half, if there are enough. Everything else sees all rows.
-TRAIN_ROWS = 6000
+#: The model is fitted on about so many labelled rows (never twice as many), chosen by hash; both labels get half, if there are enough. Everything else sees all rows.
+TRAIN_ROWS = 4000
 MIN_DOCS = 4
 STEMS = (4, 5, 6, 7)
 
@@ -54,7 +55,7 @@ class Model:
         self.known: dict[str, float] = {}
 
     def word(self, w: str) -> float:
-        if len(self.known) >= 300_000:  # a cache, so its bound changes no score
+        if len(self.known) >= 100_000:  # a cache, so its bound changes no score
             self.known.clear()
         get = self.weights.get
         u = self.known[w] = sum(get(f, 0.0) for f in features(w))
@@ -79,40 +80,45 @@ class Model:
         return 1 - math.exp(-safe), n, worst[1], worst[2]
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: int = 150, rate: float = 0.15, ridge: float = 2e-5, lasso: float = 1e-4) -> Model:
+def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: int = 250, rate: float = 0.15, ridge: float = 2e-5, lasso: float = 3e-4) -> Model:
     """Full-batch Adam on the noisy-or likelihood, each label weighing half. Features in fewer than min_docs documents are left out; lasso keeps the rest to those that pay. Without both labels the model scores everything 0."""
     if not len(texts) or len(set(labels)) < 2:
         return Model({}, -60.0)
     y = np.array(labels, dtype=float)
     word_id: dict[str, int] = {}
-    sent_doc, rows, cols = [], [], []
+    sent_doc, sizes, ids = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         for _, _, s in sentences(t.lower()):
-            ids = [word_id.setdefault(w, len(word_id)) for w in sorted(set(TOKEN.findall(s)))]
-            rows += [len(sent_doc)] * len(ids)
-            cols += ids
+            found = set(TOKEN.findall(s))
+            ids.extend(word_id.setdefault(w, len(word_id)) for w in sorted(found))
+            sizes.append(len(found))
             sent_doc.append(d)
-    sent_doc, rows, cols = np.array(sent_doc, dtype=int), np.array(rows, dtype=int), np.array(cols, dtype=int)
+    sent_doc, cols = np.frombuffer(sent_doc, dtype=np.int32), np.frombuffer(ids, dtype=np.int32)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), np.frombuffer(sizes, dtype=np.int32))
     n_s, n_v = len(sent_doc), len(word_id)
     feature_id: dict[str, int] = {}
-    of_word, of_feature = [], []
+    of_word, of_feature = array("i"), array("i")
     for w, i in word_id.items():
         for f in features(w):
             of_word.append(i)
             of_feature.append(feature_id.setdefault(f, len(feature_id)))
-    of_word, of_feature = np.array(of_word, dtype=int), np.array(of_feature, dtype=int)
+    of_word, of_feature = np.frombuffer(of_word, dtype=np.int32), np.frombuffer(of_feature, dtype=np.int32)
     # Documents by feature: each (document, feature) once.
     starts = np.searchsorted(of_word, np.arange(n_v + 1))
     pair = np.unique(sent_doc[rows].astype(np.int64) * n_v + cols)
     docs_, words_ = pair // n_v, pair % n_v
     n_f = starts[words_ + 1] - starts[words_]
-    each = np.repeat(starts[words_] - np.append(0, np.cumsum(n_f)[:-1]), n_f) + np.arange(n_f.sum())
-    seen = np.bincount(np.unique(np.repeat(docs_, n_f) * len(feature_id) + of_feature[each]) % len(feature_id), minlength=len(feature_id))
+    each_ = np.repeat(starts[words_] - np.append(0, np.cumsum(n_f)[:-1]), n_f) + np.arange(n_f.sum())
+    seen = np.zeros(len(feature_id), dtype=np.int64)
+    of_pair = np.repeat(docs_, n_f)
+    for d in np.split(of_feature[each_], np.searchsorted(of_pair, np.arange(1, len(texts)))):
+        seen[np.unique(d)] += 1
     good = seen >= min_docs
     number = np.cumsum(good) - 1
     keep = good[of_feature]
     of_word, of_feature, n_w = of_word[keep], number[of_feature[keep]], int(good.sum())
     names = [f for f, i in feature_id.items() if good[i]]
+    del of_pair, each_, pair, docs_, words_, feature_id
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     theta = np.zeros(n_w + 1)
     theta[-1] = -5.0
@@ -140,11 +146,12 @@ def held_out(doc_id: str | None) -> bool:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options) -> Model:
-    """A model from rows of docs (doc_id, text) with a label toxic of 0 or 1, held-out rows (crc32 of the id as text, mod 5, is 0) left out; at most `rows` of them."""
+    """A model from rows of docs (doc_id, text) with a label toxic of 0 or 1, held-out rows (crc32 of the id as text, mod 5, is 0) left out; about `rows` of them."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", "toxic").distinct()
-    order = F.xxhash64("doc_id")
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # The bounded choice comes first, so only chosen rows' texts are joined.
-    chosen = known.where("toxic = 1").orderBy(order).limit(rows // 2).union(known.where("toxic = 0").orderBy(order).limit(rows // 2))
+    of = lambda label: hash_sample(known.where(F.col("toxic") == label), ["doc_id"], rows // 2, count.get(label, 0))
+    chosen = of(1).union(of(0))
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas().sort_values(["doc_id", "text"])
     return fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), **options)
 
@@ -162,7 +169,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def of(batches):
         m = Model(*shared.value)
         for b in batches:
-            got = [m.score(t) for t in b.column(len(keep)).to_pylist()]
+            got = [m.score(t) for t in each(b.column(len(keep)))]
             arrays = [pa.array([min(1.0, max(0.0, float(g[0]))) for g in got], pa.float64())]
             arrays += [pa.array([None if g[i] is None else int(g[i]) for g in got], pa.int64()) for i in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *arrays], [*keep, *made])
