@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, saved, table
+from .common import ascii_lower, broadcast_below, let, saved, table
 from .licenses import SEPARATORS
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -38,11 +38,6 @@ def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
     return F.when(F.size(ws) >= k, let(ws, roll)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _some(df: DataFrame, most: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def simhashes(grams: DataFrame, by: list[str]) -> DataFrame:
     """by + fp of the grams (by, g) of each group: a bit is 1 if more than half of the hashes have it. 64 counters travel as 16 longs of four 16-bit lanes."""
     x = lambda j: f"(shiftrightunsigned(g, {4 * j}) & 15L)"
@@ -83,13 +78,13 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     shared = F.ceil(2 * m * F.lit(similarity) / (1 + similarity) - 1e-9)
     stride = items.agg(F.min(F.ceil(shared / (m - shared + 1))).alias("s")).first()["s"]
     places = own.select(*key, F.posexplode(_rolling(_words(F.col("text")), k, int(stride))).alias("p", "g"))
-    seeds = places.withColumn("p", F.col("p") * int(stride)).join(_some(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
+    seeds = places.withColumn("p", F.col("p") * int(stride)).join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
     seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds")
     # All windows of those lengths that cover one.
     starts = lambda x: F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.least(x["p"], F.size("_roll") + k - 1 - x["l"]))
     fits = F.filter("_seeds", lambda x: x["l"] <= F.size("_roll") + k - 1)
     laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
-    near = own.join(_some(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(_words(F.col("text")), k))
+    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
     prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"])
@@ -101,9 +96,9 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     blocks = lambda c: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(c, b).alias("v")) for b in range(BLOCKS)])).alias("e")
     index = of_items.select("item", "l", "item_fp", blocks(F.col("item_fp"))).select("item", "l", "item_fp", F.col("e.b").alias("b"), F.explode(F.array(*[F.col("e.v").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("v"))
     probes = prints.select(*key, "l", "s", "fp", blocks(F.col("fp"))).select(*key, "l", "s", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
-    pairs = probes.join(_some(index, BROADCAST_GRAMS), ["l", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "l", "s", "item").distinct()
+    pairs = probes.join(broadcast_below(index, BROADCAST_GRAMS), ["l", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "l", "s", "item").distinct()
     shapes = items.select("item", "item_id", F.col("sh").alias("item_sh"))
-    checked = pairs.join(windows, [*key, "l", "s"]).join(_some(shapes, BROADCAST_DOCS), "item")
+    checked = pairs.join(windows, [*key, "l", "s"]).join(broadcast_below(shapes, BROADCAST_DOCS), "item")
     times = lambda a, g: F.size(F.filter(a, lambda y: y == g))
     both = F.aggregate(F.array_distinct("sh"), F.lit(0), lambda n, g: n + F.least(times(F.col("sh"), g), times(F.col("item_sh"), g)))
     return checked.withColumn("_both", both).withColumn("similarity", F.col("_both") / (2 * F.size("sh") - F.col("_both"))).where(F.col("similarity") >= similarity).select("doc_id", *key, "item_id", "item", "l", "s", "similarity")

@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import each, hash_sample, saved, table
 from .graph import components, forest
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: The tree is fitted on at most so many distinct fingerprints; it decides the work, never the result.
+#: The tree is fitted on about so many distinct fingerprints (never twice as many), chosen by hash; it decides the work, never the result.
 TREE_SAMPLE = 65_536
 LEAF_ROWS = 4096
 BRUTE = 1 << 24
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
     def of(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t, size) for t in each(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
@@ -145,7 +145,7 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, tree_sample: int = TREE_SA
     """
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "op7-classes")
     total = classes.count()
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(tree_sample).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(classes.select("fp"), ["fp"], tree_sample, total).collect()], dtype=np.int64).view(np.uint64)
     nodes = plant(sample, total, radius, leaf_rows)
 
     def deal(batches):

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import hash_sample, saved, table
 from .graph import components, forest
 
-#: The rotation is fitted on at most so many vectors, in hash order. It decides the speed, never the result.
+#: The rotation is fitted on about so many vectors (never twice as many), chosen by hash. It decides the speed, never the result.
 PCA_SAMPLE = 4096
 TILE_ROWS = 2048
 BOX_DIMS = 4
@@ -84,9 +84,9 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     reps = saved(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "op3-reps")
     sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row per vector length
     parts = []
-    for d in sorted(sizes):
+    for d, n_rows in sorted(sizes.items()):
         here = reps.where(F.size("e") == d)
-        sample = here.orderBy(F.xxhash64("rep")).limit(PCA_SAMPLE).select("e").toPandas()
+        sample = hash_sample(here, ["rep"], PCA_SAMPLE, n_rows).orderBy("rep").select("e").toPandas()
         x = np.array(sample["e"].tolist(), dtype=float).reshape(-1, d)
         x /= np.abs(x).max(1, keepdims=True)
         parts.append(_links(here, rotation(x / np.linalg.norm(x, axis=1, keepdims=True)), d, threshold, tile_rows))

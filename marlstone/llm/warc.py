@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, table
+from .common import broadcast_below, hash_sample, saved, shared_dir, table
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -24,10 +24,12 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: The dictionary is trained on the heads of at most so many records, in hash order.
+#: The dictionary is trained on the heads of about so many records (never twice as many), chosen by hash.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 600, 16_384, 64_000
 LEVEL = 3
 ARCHIVE_BYTES = 64 << 20
+#: Repeated payloads (40 bytes each) that are sent to every task instead of shuffling the pages; beyond it both sides are shuffled by digest.
+BROADCAST_ROWS = 200_000
 
 
 def record(rid, url, payload: bytes, digest: str, refers) -> bytes:
@@ -96,8 +98,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     first = own.where(F.octet_length("html") >= min_bytes).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # Only rows of repeated payloads need the other side: lone payloads, the bulk, bring nothing to this join.
     first = first.where("n > 1").drop("n")
-    heads = own.select(F.struct("url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).alias("s"), F.xxhash64("page_id", "url").alias("k")).orderBy("k").limit(SAMPLE_RECORDS).collect()
-    dictionary = train_dictionary([record(0, r["s"]["url"], r["s"]["html"].encode("utf-8", "surrogatepass"), "", None) for r in heads])
+    heads = hash_sample(own, ["page_id", "url"], SAMPLE_RECORDS, own.count()).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("page_id", "url", "html").collect()
+    dictionary = train_dictionary([record(0, r["url"], r["html"].encode("utf-8", "surrogatepass"), "", None) for r in heads])
     shared = spark.sparkContext.broadcast(dictionary)
     base = folder.rstrip("/")
 
@@ -132,18 +134,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             close()
         yield pd.DataFrame(done, columns=["path", "records"])
 
-    linked = own.withColumn("digest", digest).join(F.broadcast(first) if _small(first) else first, "digest", "left")
+    linked = own.withColumn("digest", digest).join(broadcast_below(first, BROADCAST_ROWS), "digest", "left")
     return saved(linked.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("first").cast("string").alias("first")).mapInPandas(write, "path string, records long"), "op5-archives")
 
 
-#: Repeated payloads (40 bytes each) that are sent to every task instead of shuffling the pages; beyond it both sides are shuffled by digest.
-BROADCAST_ROWS = 200_000
-
-
-def _small(repeated: DataFrame) -> bool:
-    return repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def records(path: str, chunk: int = 1 << 20):
     """The uncompressed records of an archive, one at a time: the leading skippable frame gives the dictionary, then each frame is a record."""
     fs, p = _file_system(path)
