@@ -15,7 +15,7 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SEED = "mix-1"
 #: About so many documents to a bucket, which one task orders.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
