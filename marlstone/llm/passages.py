@@ -1,6 +1,6 @@
 """Substring dedup: every word inside a 35-word window that also starts elsewhere is removed.
 
-Recurring passages are found in three steps. (1) Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, so windows whose anchor stands once in the corpus are settled. (2) The stretches around recurring anchors are dealt to shards by anchor. A shard confirms which windows recur, word for word, compiles them into Aho-Corasick automata of bounded size and streams its stretches through them to locate every occurrence. (3) Anchors that recur more often than a shard should hold are settled exactly by counting 128-bit window digests, which are combined before they are shuffled; no group of a hot phrase meets in one task.
+Recurring passages are found in four steps. (0) Of texts that stand more than once, all of whose windows repeat, one goes on for its copies. (1) Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, so windows whose anchor stands once in the corpus are settled. (2) The stretches around recurring anchors are dealt to shards by anchor. A shard confirms which windows recur, word for word, compiles them into Aho-Corasick automata of bounded size and streams its stretches through them to locate every occurrence. (3) Anchors that recur more often than a shard should hold are settled exactly by counting 128-bit window digests, which are combined before they are shuffled; no group of a hot phrase meets in one task.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_parts, saved, table
+from .common import broadcast_below, each, n_parts, saved, table
 
 WINDOW, GRAM = 35, 8
-#: Stretches of one anchor that a shard takes; anchors beyond go by window digests.
-HOT_ANCHOR = 2000
 #: Stretches to a shard, about.
 SHARD_ROWS = 20_000
+#: An anchor with more stretches than a shard should hold goes by window digests.
+HOT_ANCHOR = SHARD_ROWS
+#: Copied documents (24 bytes each) that are sent to every task; beyond it the texts are shuffled to tell them.
+BROADCAST_COPIES = 1_000_000
+ALL = (1 << 31) - 1
 #: Words of patterns to one automaton; a node takes some 50 bytes.
 AUTOMATON_WORDS = 400_000
 PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -106,7 +109,7 @@ class Automaton:
 
 
 def locate(rows: list[tuple], window: int = WINDOW, most_words: int = AUTOMATON_WORDS):
-    """rows (anchor, owner, first word, text of the stretch) of whole anchors, ordered by anchor; yields (owner, start, end) in words of the owner's text."""
+    """rows (anchor, owner, first word, text of the stretch, copies) of whole anchors, ordered by anchor; yields (owner, start, end) in words of the owner's text."""
     auto, waiting = Automaton(), []
 
     def flush():
@@ -126,15 +129,14 @@ def locate(rows: list[tuple], window: int = WINDOW, most_words: int = AUTOMATON_
         j = i
         while j < len(rows) and rows[j][0] == rows[i][0]:
             j += 1
-        group = [(owner, at, auto.spell(text.split(b" "))) for _, owner, at, text in rows[i:j]]
-        lines = Counter(line for _, _, line in group)
-        if len(lines) == 1:
-            line, n = next(iter(lines.items()))
-            if n > 1:
-                auto.add(line)
-            elif len(line) > window:
-                lines = Counter({line: 1})
-        if len(lines) > 1 or (len(group) == 1 and len(group[0][2]) > window):
+        group, lines = [], Counter()
+        for _, owner, at, text, copies in rows[i:j]:
+            line = auto.spell(text.split(b" "))
+            group.append((owner, at, line))
+            lines[line] += copies
+        if len(lines) == 1 and next(iter(lines.values())) > 1:
+            auto.add(next(iter(lines)))  # nothing but copies: the stretch is the pattern
+        else:
             wins: Counter = Counter()
             for line, n in lines.items():
                 for s in range(len(line) - window + 1):
@@ -151,71 +153,79 @@ def locate(rows: list[tuple], window: int = WINDOW, most_words: int = AUTOMATON_
     yield from flush()
 
 
+def copied(docs: DataFrame) -> DataFrame:
+    """(d, h, n, rep) of documents whose text stands n > 1 times; rep marks the one of least d. Texts are told apart by 128 bits."""
+    marks = docs.select("d", "h", F.xxhash64(F.lit(2), "t").alias("h2"))
+    classes = marks.groupBy("h", "h2").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return marks.join(classes, ["h", "h2"]).select("d", "h", "n", (F.col("d") == F.col("least")).alias("rep")).distinct()
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (d, h, t) -> (d, h, ranges): word ranges [start, end) that repeated windows cover, for documents that have any; ranges may overlap."""
+    """docs (doc_id, d, h, t) -> (d, h, ranges): word ranges [start, end) that repeated windows cover, for documents that have any; ranges may overlap. A copied document has the range [0, ALL), which holds for it if it has a window at all."""
 
     def pick(batches):
         for b in batches:
-            d, h, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
-            for t in b.column(2).to_pylist():
+            d, h, w, out = b.column("d").to_numpy(), b.column("h").to_numpy(), b.column("w").to_numpy(), []
+            for t in each(b.column("t")):
                 out.append(anchors(t.encode("utf-8", "surrogatepass").split(), window, gram))
             n = [len(x[0]) for x in out]
             cat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)), pa.array(np.repeat(h, n)), pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32))], ["d", "h", "anchor", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)), pa.array(np.repeat(h, n)), pa.array(np.repeat(w, n)), pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32))], ["d", "h", "w", "anchor", "a", "b"])
 
-    picked = saved(docs.mapInArrow(pick, "d long, h long, anchor long, a int, b int"), "op4-anchors")
+    copies = saved(copied(docs), "op4-copies")
+    firsts = docs.join(broadcast_below(copies.where("not rep").select("d", "h"), BROADCAST_COPIES), ["d", "h"], "left_anti")
+    firsts = firsts.join(broadcast_below(copies.where("rep").select("d", "h", "n"), BROADCAST_COPIES), ["d", "h"], "left")
+    picked = saved(firsts.select("d", "h", F.coalesce("n", F.lit(1)).cast("long").alias("w"), "t").mapInArrow(pick, "d long, h long, w long, anchor long, a int, b int"), "op4-anchors")
     recurring = picked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    around = picked.join(recurring, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("a", "b", "anchor", (F.col("n") > hot_anchor).alias("hot"))).alias("around"))
+    around = picked.join(recurring, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("a", "b", "anchor", (F.col("n") > hot_anchor).alias("hot"))).alias("around"), F.max("w").alias("w"))
     around = saved(around, "op4-around")
-    joined = lambda hot: docs.join(around.select("d", "h", F.filter("around", lambda x: x["hot"] == hot).alias("around")).where(F.size("around") > 0), ["d", "h"])
+    # Every use of the texts below takes the same columns by the same key, so that one plan shuffles them once.
+    joined = lambda hot: docs.join(around.select("d", "h", "w", F.filter("around", lambda x: x["hot"] == hot).alias("around")).where(F.size("around") > 0), ["d", "h"]).select("doc_id", "d", "h", "w", "t", "around")
 
     def stretches(batches):
         for b in batches:
-            d, h, texts, lists = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("t").to_pylist(), b.column("around").to_pylist()
-            for i, t in enumerate(texts):
+            d, h, w = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
+            for i, (t, found) in enumerate(zip(each(b.column("t")), each(b.column("around")))):
                 ws = t.encode("utf-8", "surrogatepass").split()
-                n = len(lists[i])
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["anchor"] for x in lists[i]], pa.int64()),
+                        pa.array([x["anchor"] for x in found], pa.int64()),
                         pa.array([d[i]] * n, pa.int64()),
                         pa.array([h[i]] * n, pa.int64()),
-                        pa.array([x["a"] for x in lists[i]], pa.int32()),
-                        pa.array([b" ".join(ws[x["a"] : x["b"] + window]) for x in lists[i]], pa.binary()),
+                        pa.array([w[i]] * n, pa.int64()),
+                        pa.array([x["a"] for x in found], pa.int32()),
+                        pa.array([b" ".join(ws[x["a"] : x["b"] + window]) for x in found], pa.binary()),
                     ],
-                    ["anchor", "d", "h", "a", "text"],
+                    ["anchor", "d", "h", "w", "a", "text"],
                 )
 
     def shard(pdf):
         pdf = pdf.sort_values("anchor", kind="stable")
-        rows = list(zip(pdf["anchor"], zip(pdf["d"], pdf["h"]), pdf["a"], pdf["text"]))
+        rows = list(zip(pdf["anchor"], zip(pdf["d"], pdf["h"]), pdf["a"], pdf["text"], pdf["w"]))
         got = [(o[0], o[1], s, e) for o, s, e in locate(rows, window)]
         return pd.DataFrame(got, columns=["d", "h", "s", "e"]).astype({"d": "int64", "h": "int64", "s": "int32", "e": "int32"})
 
     def digests(batches):
         for b in batches:
-            d, h, texts, lists = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("t").to_pylist(), b.column("around").to_pylist()
-            for i, t in enumerate(texts):
+            d, h, w = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
+            for i, (t, found) in enumerate(zip(each(b.column("t")), each(b.column("around")))):
                 ws = t.encode("utf-8", "surrogatepass").split()
-                for x in lists[i]:
+                for x in found:
                     lo, hi = window_digests(ws, x["a"], x["b"], window)
                     n = len(lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array([d[i]] * n, pa.int64()), pa.array([h[i]] * n, pa.int64()), pa.array(np.arange(x["a"], x["b"] + 1), pa.int32())], ["w1", "w2", "d", "h", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array([d[i]] * n, pa.int64()), pa.array([h[i]] * n, pa.int64()), pa.array([w[i]] * n, pa.int64()), pa.array(np.arange(x["a"], x["b"] + 1), pa.int32())], ["w1", "w2", "d", "h", "w", "s"])
 
-    sizes = around.select(F.explode("around").alias("x")).groupBy("x.hot").count().collect()
-    sizes = {r["hot"]: r["count"] for r in sizes}
-    parts = []
+    sizes = {r["hot"]: r["count"] for r in around.select(F.explode("around").alias("x")).groupBy("x.hot").count().collect()}
+    found = copies.select("d", "h", F.lit(0).alias("s"), F.lit(ALL).alias("e"))
     if sizes.get(False):
         shards = max(n_parts(docs.sparkSession), -(-sizes[False] // shard_rows))
-        dealt = joined(False).select("d", "h", "t", "around").mapInArrow(stretches, "anchor long, d long, h long, a int, text binary")
-        parts.append(dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(shard, "d long, h long, s int, e int"))
+        dealt = joined(False).mapInArrow(stretches, "anchor long, d long, h long, w long, a int, text binary")
+        found = found.union(dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(shard, "d long, h long, s int, e int"))
     if sizes.get(True):
-        wins = saved(joined(True).select("d", "h", "t", "around").mapInArrow(digests, "w1 long, w2 long, d long, h long, s int"), "op4-hot")
-        again = wins.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        parts.append(wins.join(again, ["w1", "w2"]).select("d", "h", "s", (F.col("s") + window).alias("e")))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "d long, h long, ranges array<struct<s:int,e:int>>")
-    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        wins = joined(True).mapInArrow(digests, "w1 long, w2 long, d long, h long, w long, s int")
+        again = wins.groupBy("w1", "w2").agg(F.sum("w").alias("n")).where("n > 1").drop("n")
+        found = found.union(wins.join(again, ["w1", "w2"]).select("d", "h", "s", (F.col("s") + window).alias("e")))
     return found.groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
 
 
@@ -226,15 +236,15 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     own = own.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("d"), F.xxhash64("t").alias("h"), "t")
-    ranges = repeated_ranges(own.select("d", "h", "t"), window, **options)
+    ranges = repeated_ranges(own, window, **options)
 
     def cut_out(batches):
         for b in batches:
             kept, n, gone = [], [], []
-            for t, rs in zip(b.column("t").to_pylist(), b.column("ranges").to_pylist()):
+            for t, rs in zip(each(b.column("t")), each(b.column("ranges"))):
                 ws = t.encode("utf-8", "surrogatepass").split()
                 n.append(len(ws))
-                if rs:
+                if rs and len(ws) >= window:
                     keep = np.ones(len(ws), dtype=bool)
                     for r in rs:
                         keep[r["s"] : r["e"]] = False
@@ -244,7 +254,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
     schema = T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return own.join(ranges, ["d", "h"], "left").select("doc_id", "t", "ranges").mapInArrow(cut_out, schema)
+    return own.join(ranges, ["d", "h"], "left").select("doc_id", "d", "h", "t", "ranges").mapInArrow(cut_out, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def test_passages_by_brute_force(spark, hot):
 
 
 def test_passages_small_automata():
-    rows = [(k, (k, i), 0, " ".join(f"w{k}_{j + (i == 2)}" for j in range(8)).encode()) for k in range(20) for i in range(3)]
+    rows = [(k, (k, i), 0, " ".join(f"w{k}_{j + (i == 2)}" for j in range(8)).encode(), 1) for k in range(20) for i in range(3)]
     whole = sorted(passages.locate(rows, window=5, most_words=10))
     assert whole == sorted(passages.locate(rows, window=5)) and ((0, 2), 0, 7) in whole and ((0, 0), 0, 8) in whole
 
