@@ -27,18 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and reread: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and reread: cuts the lineage and survives lost executors. narrow: rows of a few numbers and far fewer than the input's, so a sixth of the shuffle partitions writes them, which spares the store thousands of tiny files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (_fewer(df) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(2, -(-n_parts(df.sparkSession) // 6)))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder, for small tables between iterations."""
+    """An eager checkpoint in the shared folder, for narrow tables between iterations."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _fewer(df).checkpoint(eager=True)
 
 
 def let(value: Column, f) -> Column:
@@ -55,6 +59,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
+#: What lies between words of digits, letters a-z and characters beyond ASCII, in lower-cased text.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def plain_words(text: Column) -> Column:
+    """Words of a text in ASCII lower case between SEPARATORS; null and wordless texts give an empty array."""
+
+    def inner(ws):
+        head = F.when(F.get(ws, F.lit(0)) == "", 1).otherwise(0)
+        tail = F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)
+        return F.slice(ws, head + 1, F.size(ws) - head - tail)
+
+    return let(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), inner)
+
+
 def n_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -51,7 +51,7 @@ def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        now = saved(now, f"op10-depth{depth}")
+        now = saved(now, f"op10-depth{depth}", narrow=True)
         # The suffix `step` lines on has the rank of the second half; where it was dropped or lies past the end, the run can't reach this depth.
         ahead = now.select(*KEY, (F.col("line") - step).alias("line"), F.col("place").alias("next"))
         pairs = now.join(ahead, [*KEY, "line"])
@@ -59,8 +59,9 @@ def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
         deeper = suffix_ranks(keys, ["half", "next"])
         now = pairs.withColumnRenamed("place", "half").join(deeper, ["half", "next"]).select(*KEY, "line", "place")
         depth += step
-    now = saved(now, f"op10-depth{depth}")
-    interval = now.groupBy("place").agg(F.min(F.struct(*KEY, "line")).alias("first"))
+    now = saved(now, f"op10-depth{depth}", narrow=True)
+    # Written, so that the join below has plain exchanges on both sides and a hot line's partition can be split.
+    interval = saved(now.groupBy("place").agg(F.min(F.struct(*KEY, "line")).alias("first")), "op10-intervals", narrow=True)
     return now.join(interval, "place").select(*KEY, "line", "place", "first")
 
 
