@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, table
-
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from .common import SEPARATORS, ascii_lower, let, plain_words, table
 
 # The contract's phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -72,7 +70,7 @@ def license_spans(docs: DataFrame, key: list[str], text: str = "text", templates
     th = F.broadcast(spark.createDataFrame(heads, "template int, label string, t_grams int"))
     tg = spark.createDataFrame(grams, "template int, t int, t_words array<string>")
     tg = tg.select(F.xxhash64(*[F.get("t_words", F.lit(j)) for j in range(k)]).alias("h"), "template", "t", "t_words")
-    ws = F.split(F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS, " ")), " ")
+    ws = plain_words(F.col(text))
     rolling = let(F.col("_ws"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
     hits = (
         docs.select(*key, ws.alias("_ws"))
@@ -119,12 +117,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = license_spans(own, ["doc_id"], **options)
     of_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_labels"), F.max("cover").alias("_cover"), F.count("*").alias("n_spans"))
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), SEPARATORS, " ")), F.lit(" "))
-    base = own.select("doc_id", norm.alias("_norm")).select(
-        "doc_id",
-        F.when(F.trim("_norm") == "", 0).otherwise(F.char_length("_norm") - F.char_length(F.replace("_norm", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
-        F.array(*phrase_places(F.col("_norm"))).alias("_at"),
-    )
+    ws, low = plain_words(F.col("text")), ascii_lower(F.col("text"))
+    # Texts without a phrase's rarest word, nearly all, are not searched for phrases.
+    hinted = F.lit(False)
+    for phrase, _ in PHRASES:
+        hinted = hinted | F.contains(low, F.lit(max(phrase.split(), key=len)))
+    norm = F.when(hinted, F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))).otherwise(F.lit(" "))
+    base = own.select("doc_id", F.size(ws).cast("long").alias("n_words"), norm.alias("_norm")).select("doc_id", "n_words", F.array(*phrase_places(F.col("_norm"))).alias("_at"))
     base = base.select("doc_id", "n_words", F.flatten("_at").alias("_all"), F.filter(F.array(*[F.when(F.size(F.get("_at", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()).alias("_base"))
     out = base.join(of_doc, base["doc_id"].eqNullSafe(of_doc["_id"]), "left")
     mine = F.coalesce("_labels", F.array().cast("array<string>"))
