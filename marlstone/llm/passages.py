@@ -172,13 +172,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             cat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)), pa.array(np.repeat(h, n)), pa.array(np.repeat(w, n)), pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32))], ["d", "h", "w", "anchor", "a", "b"])
 
-    copies = saved(copied(docs), "op4-copies")
+    copies = saved(copied(docs), "op4-copies", narrow=True)
     firsts = docs.join(broadcast_below(copies.where("not rep").select("d", "h"), BROADCAST_COPIES), ["d", "h"], "left_anti")
     firsts = firsts.join(broadcast_below(copies.where("rep").select("d", "h", "n"), BROADCAST_COPIES), ["d", "h"], "left")
     picked = saved(firsts.select("d", "h", F.coalesce("n", F.lit(1)).cast("long").alias("w"), "t").mapInArrow(pick, "d long, h long, w long, anchor long, a int, b int"), "op4-anchors")
-    recurring = picked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that both sides of the join are plain exchanges and a hot anchor's partition can be split.
+    recurring = saved(picked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "op4-recurring", narrow=True)
     around = picked.join(recurring, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("a", "b", "anchor", (F.col("n") > hot_anchor).alias("hot"))).alias("around"), F.max("w").alias("w"))
-    around = saved(around, "op4-around")
+    around = saved(around, "op4-around", narrow=True)
     # Every use of the texts below takes the same columns by the same key, so that one plan shuffles them once.
     joined = lambda hot: docs.join(around.select("d", "h", "w", F.filter("around", lambda x: x["hot"] == hot).alias("around")).where(F.size("around") > 0), ["d", "h"]).select("doc_id", "d", "h", "w", "t", "around")
 
