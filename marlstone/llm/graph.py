@@ -11,17 +11,18 @@ from .common import cut
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in edges (u, v), component the smallest id reachable; ids are longs without nulls.
 
-    Only minima are aggregated and joined, so a hot vertex is combined before its shuffle and its join is split by AQE; no list of neighbours is ever gathered. Each round is checkpointed in the shared folder; the driver sees one number a round. Self loops and repeated edges are harmless; no edges give no rows.
+    Only minima are aggregated and joined, so a hot vertex is combined before its shuffle; minima are checkpointed before they are joined, which leaves plain exchanges on both sides, so AQE can split the partition of a hot vertex. No list of neighbours is ever gathered. Each round is checkpointed in the shared folder; the driver sees one number a round. Self loops and repeated edges are harmless; no edges give no rows.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u goes to the least of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)

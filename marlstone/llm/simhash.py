@@ -143,7 +143,7 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, tree_sample: int = TREE_SA
 
     Equal fingerprints are one vertex, so groups of copies cost one row. A leaf gives a spanning forest of its links, never all pairs. Fingerprints of rows without a doc_id link as well; a component of such rows alone has component_id null.
     """
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "op7-classes")
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "op7-classes", narrow=True)
     total = classes.count()
     sample = np.array([r[0] for r in hash_sample(classes.select("fp"), ["fp"], tree_sample, total).collect()], dtype=np.int64).view(np.uint64)
     nodes = plant(sample, total, radius, leaf_rows)
@@ -163,7 +163,7 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, tree_sample: int = TREE_SA
         moved = root != np.arange(len(v))
         return pd.DataFrame({"u": v[moved].view(np.int64), "v": v[root[moved]].view(np.int64)})
 
-    links = saved(classes.select("fp").mapInPandas(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(within, "u long, v long"), "op7-links")
+    links = saved(classes.select("fp").mapInPandas(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(within, "u long, v long"), "op7-links", narrow=True)
     found = components(links).withColumnRenamed("id", "fp")
     named = classes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
