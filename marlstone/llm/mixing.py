@@ -43,7 +43,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str =
     """
     sized = sized.drop("source_size", "target", "taken", "_key", "_bucket", "_upto", "_within")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
-    totals = saved(totals, "op8-totals")
+    totals = saved(totals, "op8-totals", narrow=True)
     most_docs = totals.agg(F.max("_docs")).first()[0] or 0
     buckets = max(1, -(-most_docs // bucket_rows))
     goal = targets(totals.select("source", "source_size"), weights, most)
