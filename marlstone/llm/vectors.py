@@ -94,7 +94,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
-        found = saved(found, "op3-links")
+        found = saved(found, "op3-links", narrow=True)
     else:
         found = spark.createDataFrame([], "rep long, links long, root long")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
