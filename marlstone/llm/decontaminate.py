@@ -10,8 +10,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_below, let, saved, table
-from .licenses import SEPARATORS
+from .common import broadcast_below, let, plain_words, saved, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Windows of similarity 0.8 differ from their item in about 10 of 64 bits, with a deviation of 3: the radius lies four deviations beyond.
@@ -21,17 +20,6 @@ BROADCAST_GRAMS, BROADCAST_DOCS = 2_000_000, 100_000
 LANES = 16
 
 
-def _words(text: Column) -> Column:
-    """Words of letters, digits and characters beyond ASCII, lower case; an empty array if there are none."""
-
-    def inner(ws):
-        head = F.when(F.get(ws, F.lit(0)) == "", 1).otherwise(0)
-        tail = F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)
-        return F.slice(ws, head + 1, F.size(ws) - head - tail)
-
-    return let(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), inner)
-
-
 def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
     """Hashes of the k words at every stride-th place."""
     roll = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k, F.lit(stride)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
@@ -52,7 +40,7 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, sim
 
     Words are runs of letters and digits in lower case. A window has as many words as the item; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing, nor do texts shorter than an item. Rows that share doc_id and text are one document; items that share item_id are tried each. Items of more than 65535 words are refused: counters have 16 bits.
     """
-    entries = saved(items.select("item_id", _words(F.col("text")).alias("_ws")).where(F.size("_ws") > 0).select("item_id", F.size("_ws").alias("l"), F.least(F.lit(shingle), F.size("_ws")).alias("k"), "_ws", F.monotonically_increasing_id().alias("item")), "op9-items")
+    entries = saved(items.select("item_id", plain_words(F.col("text")).alias("_ws")).where(F.size("_ws") > 0).select("item_id", F.size("_ws").alias("l"), F.least(F.lit(shingle), F.size("_ws")).alias("k"), "_ws", F.monotonically_increasing_id().alias("item")), "op9-items", narrow=True)
     shapes = sorted((r["k"], r["most"]) for r in entries.groupBy("k").agg(F.max("l").alias("most")).collect())  # at most `shingle` rows
     if any(most > 65_535 for _, most in shapes):
         raise ValueError("items may have 65535 words at most")
@@ -77,14 +65,14 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     m = F.size("sh")
     shared = F.ceil(2 * m * F.lit(similarity) / (1 + similarity) - 1e-9)
     stride = items.agg(F.min(F.ceil(shared / (m - shared + 1))).alias("s")).first()["s"]
-    places = own.select(*key, F.posexplode(_rolling(_words(F.col("text")), k, int(stride))).alias("p", "g"))
+    places = own.select(*key, F.posexplode(_rolling(plain_words(F.col("text")), k, int(stride))).alias("p", "g"))
     seeds = places.withColumn("p", F.col("p") * int(stride)).join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
-    seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds")
+    seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds", narrow=True)
     # All windows of those lengths that cover one.
     starts = lambda x: F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.least(x["p"], F.size("_roll") + k - 1 - x["l"]))
     fits = F.filter("_seeds", lambda x: x["l"] <= F.size("_roll") + k - 1)
     laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
-    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(_words(F.col("text")), k))
+    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
     prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"])
