@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import correlation
 from ..plans.request import Query, name_list
 from ..plans.spec import RequestError
 from ..query import execute_query
@@ -158,9 +159,8 @@ def information_coefficients(df: DataFrame, factors: list[str], returns: list[st
             for side in (f, r):
                 w = W.partitionBy(time, good).orderBy(F.col(f"`{side}`"))
                 ranks[f"__{f}|{r}|{side}"] = F.when(good, (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2)
-            pair = lambda a, b: F.nanvl(F.corr(a, b), F.lit(None).cast("double"))
-            out.append(pair(F.col(f"`{f}`").cast("double"), F.col(f"`{r}`").cast("double")).alias(f"{f}_{r}_ic"))
-            out.append(pair(F.col(f"`__{f}|{r}|{f}`"), F.col(f"`__{f}|{r}|{r}`")).alias(f"{f}_{r}_rank_ic"))
+            out.append(correlation(F.col(f"`{f}`"), F.col(f"`{r}`")).alias(f"{f}_{r}_ic"))
+            out.append(correlation(F.col(f"`__{f}|{r}|{f}`"), F.col(f"`__{f}|{r}|{r}`")).alias(f"{f}_{r}_rank_ic"))
     return df.repartition(time).withColumns(ranks).groupBy(time).agg(*out)
 
 

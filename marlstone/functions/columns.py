@@ -17,3 +17,11 @@ def safe_div(left: Column, right: Column) -> Column:
 
 def finite_or_null(x: Column) -> Column:
     return F.nanvl(x, null_double())
+
+
+def correlation(x: Column, y: Column, over=lambda c: c) -> Column:
+    """Pearson correlation of the complete pairs, NULL where either side has no spread (the built-in raises there); over puts an aggregate on a window."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
+    return F.when(spread > 0, over(F.covar_pop(a, b)) / spread)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null, safe_div
+from ..functions.columns import correlation, finite_or_null, safe_div
 from ..functions.normal import inverse_normal
 from ..plans.spec import Bool, Choice, Float, Int, operator
 
@@ -170,7 +170,7 @@ def _complete(left, right):
     return F.when(good, _d(left)), F.when(good, _d(right))
 
 
-_pair("corr")(lambda f, left, right: finite_or_null(F.corr(_d(left), _d(right)).over(f.whole())))
+_pair("corr")(lambda f, left, right: correlation(left, right, lambda c: c.over(f.whole())))
 _pair("cov")(lambda f, left, right: F.covar_samp(_d(left), _d(right)).over(f.whole()))
 _pair("beta")(lambda f, left, right: finite_or_null(F.regr_slope(_d(right), _d(left)).over(f.whole())))
 _pair("alpha")(lambda f, left, right: finite_or_null(F.regr_intercept(_d(right), _d(left)).over(f.whole())))
@@ -189,7 +189,7 @@ def rank_corr(f, left, right):
     a, b = _complete(left, right)
     x = yield ranked(f, a, True, "min")
     y = yield ranked(f, b, True, "min")
-    return finite_or_null(F.corr(_d(x), _d(y)).over(f.whole()))
+    return correlation(x, y, lambda c: c.over(f.whole()))
 
 
 def _design(controls):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions.columns import finite_or_null, safe_div
+from ..functions.columns import correlation, finite_or_null, safe_div
 from ..plans.spec import Choice, Float, Int, RequestError, operator
 from .time_series import weighted
 
@@ -77,7 +77,7 @@ _ta("stddev", params=period(2) | {"nbdev": Float(1.0, gt=0)})(lambda f, col, tim
 _ta("var", params=period() | {"nbdev": Float(1.0, gt=0)})(lambda f, col, time_period, nbdev: _full(f, col, time_period, F.var_pop(_d(col)).over(f.rows(time_period))))
 _ta("midPoint", params=period(2))(lambda f, col, time_period: _full(f, col, time_period, (F.max(_d(col)).over(f.rows(time_period)) + F.min(_d(col)).over(f.rows(time_period))) / 2))
 _ta("midPrice", "high low", params=period(2))(lambda f, h, l, time_period: _full(f, _all(h, l), time_period, (F.max(_d(h)).over(f.rows(time_period)) + F.min(_d(l)).over(f.rows(time_period))) / 2))
-_ta("correl", "high low", params=period())(lambda f, h, l, time_period: _full(f, _all(h, l), time_period, finite_or_null(F.corr(_d(h), _d(l)).over(f.rows(time_period)))))
+_ta("correl", "high low", params=period())(lambda f, h, l, time_period: _full(f, _all(h, l), time_period, correlation(h, l, lambda c: c.over(f.rows(time_period)))))
 
 
 @_ta("willr", "high low close", params=period(2))

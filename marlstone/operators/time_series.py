@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null, safe_div
+from ..functions.columns import correlation, finite_or_null, safe_div
 from ..plans.spec import Bool, Choice, Float, Int, RequestError, operator
 
 
@@ -78,7 +78,7 @@ _expanding("unary.expanding_quantile", params=Q)(lambda f, col, min_periods, q:
 _TWO = {
     "beta": lambda x, y, w: finite_or_null(F.regr_slope(_d(y), _d(x)).over(w)),
     "alpha": lambda x, y, w: finite_or_null(F.regr_intercept(_d(y), _d(x)).over(w)),
-    "corr": lambda x, y, w: finite_or_null(F.corr(_d(x), _d(y)).over(w)),
+    "corr": lambda x, y, w: correlation(x, y, lambda c: c.over(w)),
     "cov": lambda x, y, w: F.covar_samp(_d(x), _d(y)).over(w),
     "residual": lambda x, y, w: finite_or_null(_d(y) - F.regr_intercept(_d(y), _d(x)).over(w) - F.regr_slope(_d(y), _d(x)).over(w) * _d(x)),
 }

@@ -226,6 +226,16 @@ def test_equal_trees_are_computed_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("avg(") == 1
 
 
+def test_no_spread_is_no_error(spark):
+    flat = panel(spark, {"x": [2, 2, 2, 2, 3], "y": [1, 2, N, 4, 5]})
+    two = {"left": "x", "right": "y"}
+    got = run(flat, a=ts("binary.rolling_corr", two, window=3, min_periods=2), b=ts("binary.rolling_beta", two, window=3, min_periods=2), c=cs("binary.corr", two), d=cs("binary.rank_corr", two), e=ts("talib.correl", {"high": "x", "low": "y"}, time_period=2), f=ts("unary.rolling_skew", "x", window=3), g=ts("unary.rolling_kurt", "x", window=3), h=cs("unary.zscore", "x"), i=cs("unary.kurt", "x"), j=ts("binary.expanding_corr", two), k=ts("talib.beta", {"high": "x", "low": "x"}, time_period=2), l=ts("binary.rolling_residual", two, window=3, min_periods=2))
+    same(got["a"], [N, N, N, N, 1])
+    same(got["e"], [N, N, N, N, 1])
+    assert got["c"] == got["d"] == got["h"] == got["i"] == [None] * 5 and got["j"][:4] == [None] * 4
+    assert got["f"][2] is None and got["g"][2] is None
+
+
 def test_inverse_normal(spark):
     ps = [1e-12, 1e-5, 0.01, 0.07, 0.3, 0.5, 0.8, 0.975, 1 - 1e-7]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select(inverse_normal(F.col("p"))).collect()
