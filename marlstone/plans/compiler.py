@@ -171,12 +171,13 @@ class Compiler:
         """One grouped pass for all nodes: each gets its columns as arrays in time (code) order, rows outside `on` left out."""
         if not nodes:
             return
-        inputs, plans = {}, []
+        inputs, placed, plans = {}, {}, []
 
         def put(x) -> str:
-            name = self.fresh()
-            inputs[name] = self.column(x)
-            return name
+            if x not in placed:
+                placed[x] = self.fresh()
+                inputs[placed[x]] = self.column(x)
+            return placed[x]
 
         for node in nodes:
             self.done[node] = self.fresh()
@@ -191,23 +192,25 @@ class Compiler:
         names = [f.name for f in kept]
         schema = T.StructType([*kept, *[T.StructField(p[0], T.DoubleType()) for p in plans]])
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        numeric = {n for n in inputs if isinstance(kinds[n], (T.NumericType, T.BooleanType))}
-        order = "time" if family == "TS" else "code"
+        numeric = {n for n in list(inputs) if isinstance(kinds[n], (T.NumericType, T.BooleanType))}
+        order, wanted = "time" if family == "TS" else "code", list(inputs)
 
         def array(pdf, name):
             return pdf[name].to_numpy(dtype=float, na_value=np.nan) if name in numeric else pdf[name].to_numpy(dtype=object)
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order, kind="stable")
-            out = pdf[names].copy()
+            columns = {c: array(pdf, c) for c in wanted}
+            made = {}
             for name, build, fields, on, params in plans:
-                rows = np.ones(len(pdf), dtype=bool) if on is None else pdf[on].to_numpy(dtype=bool)
-                args = [[array(pdf, c)[rows] for c in f] if isinstance(f, list) else array(pdf, f)[rows] for f in fields]
+                rows = slice(None) if on is None else columns[on] == 1
+                args = [[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields]
                 value = np.full(len(pdf), np.nan)
-                if rows.any():
+                if on is None or rows.any():
                     value[rows] = build(*args, **params)
-                out[name] = pd.array(np.where(np.isfinite(value), value, 0.0), dtype="Float64")
-                out.loc[~np.isfinite(value), name] = pd.NA
+                missing = ~np.isfinite(value)
+                made[name] = pd.arrays.FloatingArray(np.where(missing, 0.0, value), missing)
+            out = pd.concat([pdf[names], pd.DataFrame(made, index=pdf.index)], axis=1)
             return out
 
         self.df = df.groupBy(KEY[family]).applyInPandas(one, schema)
