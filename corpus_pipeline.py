@@ -11,7 +11,7 @@ from marlstone.llm.common import saved, shared_dir, table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.lines import dedup_lines
 from marlstone.llm.mixing import mix, word_count
-from marlstone.llm.simhash import simhash_groups
+from marlstone.llm.shingles import near_copies
 from marlstone.llm.toxicity import score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id; rows without an id stay, rows that repeat an id are one document."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest doc_id; rows without an id stay, rows that repeat an id are one document."""
+    found = near_copies(docs.select(*COLUMNS))
+    keep = found.where((F.col("_d") == F.col("first._d")) & (F.col("_d") < NOBODY)).select(F.col("_d").alias("doc_id")).distinct()
     docs = docs.select(*COLUMNS)
     return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null"))
 

@@ -1,0 +1,123 @@
+"""Near copies by exact Jaccard similarity of word-shingle sets: prefix filter, verified pairs, components.
+
+Shingles have one global order. Sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, so every pair that reaches s meets in some prefix shingle and none is lost. Shingles that are frequent in a sample stand last in the order, which decides the work, never the result.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import broadcast_below, each, hash_sample, saved
+from .graph import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: The order's frequent shingles: those in at least so many of about so many sampled texts, at most so many.
+SAMPLE, FREQUENT, MOST = 5_000, 4, 200_000
+BROADCAST_KEYS = 2_000_000
+NOBODY = (1 << 63) - 1
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's words, in ASCII lower case between white space. Fewer words than a shingle: the whole sequence is one; no word: none."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
+        return np.zeros(0, dtype=np.int64)
+    grams = {b" ".join(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64, count=len(grams)).view(np.int64))
+
+
+def name(sh: np.ndarray) -> int:
+    """A set's name: equal sets have the same, and are one vertex."""
+    return xxhash.xxh64_intdigest(sh.tobytes()) - (1 << 63)
+
+
+def prefix(sh: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np.ndarray, bool]:
+    """The first shingles of a set in the global order, and whether a frequent one is the last of them."""
+    n = len(sh) - math.ceil(len(sh) * similarity - 1e-9) + 1 if len(sh) else 0
+    late = frequent[np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)] == sh if len(frequent) else np.zeros(len(sh), dtype=bool)
+    return np.concatenate([sh[~late], sh[late]])[:n], bool(n > (~late).sum())
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _d and _h, which tell rows apart: the id (null: the largest long) and a hash of the text."""
+    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(v, sh) of a column text."""
+
+    def of(batches):
+        for b in batches:
+            for t in each(b.column(0)):
+                sh = shingle_set(t, size)
+                yield pa.RecordBatch.from_pydict({"v": pa.array([name(sh)], pa.int64()), "sh": pa.array([sh], pa.list_(pa.int64()))})
+
+    return texts.select("text").mapInArrow(of, "v long, sh array<long>")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, similarity: float, tag: str) -> DataFrame:
+    """The pairs (u, v) that reach the similarity.
+
+    Prefixes are compared first: of the set whose prefix ends first in the order, what lies behind it is all that can be shared besides. Whole sets travel only for pairs that this bound leaves.
+    """
+    sides = lambda t, *cols: (t.select(F.col("v").alias("u"), *[F.col(c).alias(f"a_{c}") for c in cols]), t.select("v", *[F.col(c).alias(f"b_{c}") for c in cols]))
+    meant = lambda p: saved(p.select(F.col("u").alias("v")).union(p.select("v")).distinct(), f"{tag}-meant", narrow=True)
+    least = (F.col("a_n") + F.col("b_n")) * similarity / (1 + similarity) - 1e-9
+    pairs = saved(pairs.distinct(), f"{tag}-pairs", narrow=True)
+    heads = saved(own.select("v", "n", "late", "pre").join(broadcast_below(meant(pairs), BROADCAST_KEYS), "v", "left_semi").dropDuplicates(["v"]), f"{tag}-heads")
+    a, b = sides(heads, "n", "late", "pre")
+    lengths = pairs.join(a.select("u", "a_n"), "u").join(b.select("v", "b_n"), "v").where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9).select("u", "v")
+    both = saved(lengths, f"{tag}-lengths", narrow=True).join(a, "u").join(b, "v")
+    ends = lambda s: F.struct(f"{s}_late", F.element_at(f"{s}_pre", -1))
+    behind = F.when(ends("a") <= ends("b"), F.col("a_n") - F.size("a_pre")).otherwise(F.col("b_n") - F.size("b_pre"))
+    pairs = saved(both.where(F.size(F.array_intersect("a_pre", "b_pre")) + behind >= least).select("u", "v", "a_n", "b_n"), f"{tag}-likely", narrow=True)
+    sets = saved(_sets(texts, size).join(broadcast_below(meant(pairs), BROADCAST_KEYS), "v", "left_semi").dropDuplicates(["v"]), f"{tag}-sets")
+    a, b = sides(sets, "sh")
+    return saved(pairs.join(a, "u").join(b, "v").where(F.size(F.array_intersect("a_sh", "b_sh")) >= least).select("u", "v"), f"{tag}-links", narrow=True)
+
+
+def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
+    """(_d, _h, first): for each key of keyed(docs) the least key (struct _d, _h) that is reachable by links of at least `similarity`. Texts without words are equal."""
+    texts = keyed(docs).select("_d", "_h", "text")
+    total = texts.count()
+    counted = _sets(hash_sample(texts, ["_d", "_h"], SAMPLE, total), size).select(F.explode("sh").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= frequent)
+    late = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["g"] for r in counted.orderBy(F.desc("n"), "g").limit(MOST).collect()], dtype=np.int64)))
+
+    def of(batches):
+        for b in batches:
+            v, n, ends, pre = [], [], [], []
+            for t in each(b.column(2)):
+                sh = shingle_set(t, size)
+                head, end = prefix(sh, late.value, similarity)
+                v.append(name(sh))
+                n.append(len(sh))
+                ends.append(end)
+                pre.append(head)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.array(ends, pa.bool_()), pa.array(pre, pa.list_(pa.int64()))], ["_d", "_h", "v", "n", "late", "pre"])
+
+    own = saved(texts.mapInArrow(of, "_d long, _h long, v long, n int, late boolean, pre array<long>"), "near-sets")
+    g = W.partitionBy("g")
+    peers = own.select("v", "n", F.explode("pre").alias("g")).withColumns({"lo": F.min("v").over(g), "hi": F.max("v").over(g)})
+    peers = saved(peers.where("lo < hi").distinct(), "near-peers", narrow=True)
+    # Most peers of a shingle are near its least or its greatest one, so only those that these links leave apart are paired with each other.
+    pair = lambda end: peers.where(f"v <> {end}").select(F.least("v", end).alias("u"), F.greatest("v", end).alias("v"))
+    links = _verified(pair("lo").union(pair("hi")), own, texts, size, similarity, "near-star")
+    named = peers.join(components(links).withColumnRenamed("id", "v"), "v", "left").select("g", "v", "n", F.coalesce("component", "v").alias("c"))
+    mixed = saved(named.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("g"), "near-mixed", narrow=True)
+    named = saved(named.join(mixed, "g", "left_semi"), "near-named", narrow=True)
+    a, b = (named.select("g", *[F.col(c).alias(f"{s}{c}") for c in ("v", "n", "c")]) for s in "ab")
+    apart = a.join(b, "g").where((F.col("av") < F.col("bv")) & (F.col("ac") != F.col("bc")) & (F.least("an", "bn") >= F.greatest("an", "bn") * similarity - 1e-9))
+    links = links.union(_verified(apart.select(F.col("av").alias("u"), F.col("bv").alias("v")), own, texts, size, similarity, "near-rest"))
+    classes = own.groupBy("v").agg(F.min(F.struct("_d", "_h")).alias("least"))
+    joined = classes.join(components(links).withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
+    joined = saved(joined.select("v", "c", "least"), "near-joined", narrow=True)
+    first = saved(joined.groupBy("c").agg(F.min("least").alias("first")), "near-first", narrow=True)
+    first = saved(joined.join(first, "c").select("v", "first"), "near-found", narrow=True)
+    return own.select("_d", "_h", "v").join(first, "v").select("_d", "_h", "first")

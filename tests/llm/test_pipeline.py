@@ -96,3 +96,39 @@ def test_hard_rows_and_extra_columns(spark):
     assert {r.doc_id for r in got} == {1, 3, 4, 5, 6, 7, None}  # empty texts are one group, copies too
     for _, f in C.STAGES:
         assert f(spark, spark.createDataFrame([], DOCS), SF).count() == 0
+
+
+def words_of(text):
+    ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def near(a, b):
+    return a == b or (a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9)
+
+
+@pytest.mark.parametrize("frequent", [1, 6])
+def test_near_copies_by_shingle_similarity(spark, frequent):
+    """Every pair of similarity 0.8 links, far beyond 2 bits of SimHash too; pairs below it do not."""
+    import random
+
+    from marlstone.llm.shingles import near_copies
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(rng.choice([3, 30, 120, 400]))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rng.randrange(0, max(1, len(t) // 25) + 1)):
+                t[rng.randrange(len(t))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    texts += ["", None, "  "]
+    sets = [words_of(t) for t in texts]
+    root = grouped(len(texts), lambda i, j: near(sets[i], sets[j]))
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and near(sets[i], sets[j]) and (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r._d: r.first._d for r in near_copies(df, frequent=frequent).collect()}
+    assert far and got == dict(enumerate(root))
+    kept = C.simhash_near_dedup(spark, df.selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "1L as n_chars"), SF)
+    assert {r.doc_id for r in kept.collect()} == set(root)
