@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import saved, shared_dir, table
-from marlstone.llm.decontaminate import contamination
+from marlstone.llm.decontaminate import contamination, row_keys
 from marlstone.llm.lines import dedup_lines
 from marlstone.llm.mixing import mix, word_count
-from marlstone.llm.shingles import near_copies
+from marlstone.llm.shingles import keyed, near_copies
 from marlstone.llm.toxicity import score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-NOBODY = (1 << 63) - 1
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +31,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest doc_id; rows without an id stay, rows that repeat an id are one document."""
-    found = near_copies(docs.select(*COLUMNS))
-    keep = found.where((F.col("_d") == F.col("first._d")) & (F.col("_d") < NOBODY)).select(F.col("_d").alias("doc_id")).distinct()
-    docs = docs.select(*COLUMNS)
-    return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null"))
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest doc_id, rows without an id last; of rows that share id and text one."""
+    keep = near_copies(docs.select(*COLUMNS)).select("first._d", "first._h").distinct()
+    return keyed(docs.select(*COLUMNS)).dropDuplicates(["_d", "_h"]).join(keep, ["_d", "_h"], "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is near a benchmark item. An id that is contaminated in one row goes in all; null ids are one id."""
-    bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.coalesce(F.col("doc_id"), F.lit(NOBODY)).alias("_bad")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.coalesce(F.col("doc_id"), F.lit(NOBODY)) == F.col("_bad"), "left_anti")
+    """Documents without a window that is near a benchmark item. Rows are told apart by id and text, so no row goes for what another holds."""
+    bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keys=True).select("_key", "_key2").distinct()
+    own = docs.select(*COLUMNS, *row_keys("doc_id", "text"))
+    return own.join(bad, ["_key", "_key2"], "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,26 +35,31 @@ def simhashes(grams: DataFrame, by: list[str]) -> DataFrame:
     return packed.select(*by, F.expr(" | ".join(bits)).alias("fp"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """_key and _key2: two hashes of id and text, which tell rows apart, those without an id too."""
+    return [F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("_key"), F.xxhash64(F.lit(9), text, doc_id).alias("_key2")]
+
+
+def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, keys: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and item (doc_id, text; item_id, text) the most similar item-sized window, the first of equals, where it reaches `similarity`.
 
-    Words are runs of letters and digits in lower case. A window has as many words as the item; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing, nor do texts shorter than an item. Rows that share doc_id and text are one document; items that share item_id are tried each. Items of more than 65535 words are refused: counters have 16 bits.
+    Words are runs of letters and digits in lower case. A window has as many words as the item; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing, nor do texts shorter than an item. Rows that share doc_id and text are one document; items that share item_id are tried each. keys: with the row_keys of the document. Items of more than 65535 words are refused: counters have 16 bits.
     """
     entries = saved(items.select("item_id", plain_words(F.col("text")).alias("_ws")).where(F.size("_ws") > 0).select("item_id", F.size("_ws").alias("l"), F.least(F.lit(shingle), F.size("_ws")).alias("k"), "_ws", F.monotonically_increasing_id().alias("item")), "op9-items", narrow=True)
     shapes = sorted((r["k"], r["most"]) for r in entries.groupBy("k").agg(F.max("l").alias("most")).collect())  # at most `shingle` rows
     if any(most > 65_535 for _, most in shapes):
         raise ValueError("items may have 65535 words at most")
-    own = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.xxhash64(F.lit(9), "text", "doc_id").alias("_key2"))
+    own = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     key = ["_key", "_key2"]
     parts = [_matches(own, key, entries.where(F.col("k") == k), k, similarity, radius) for k, _ in shapes]
     if not parts:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], ("_key long, _key2 long, " if keys else "") + f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word int, n_words int, similarity double")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     best = out.groupBy("doc_id", *key, "item_id", "item").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), "l")).alias("b"))
     best = best.groupBy("doc_id", *key, "item_id").agg(F.max("b").alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.l").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    return best.select(*(key if keys else []), "doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.l").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
 def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:

@@ -132,3 +132,13 @@ def test_near_copies_by_shingle_similarity(spark, frequent):
     assert far and got == dict(enumerate(root))
     kept = C.simhash_near_dedup(spark, df.selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "1L as n_chars"), SF)
     assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_rows_without_or_with_equal_ids_are_told_apart(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    other, third = "some clean words that stand in no benchmark at all", "and quite another text of clean words again here"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    got = C.decontamination(spark, make([(None, leak), (None, other), (5, leak), (5, third)]), SF).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, other), (5, third)}
+    got = C.simhash_near_dedup(spark, make([(None, leak), (None, leak), (3, leak), (None, other), (None, other), (4, third), (4, third)]), SF).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(3, leak), (-1, other), (4, third)])
