@@ -43,7 +43,7 @@ def row_keys(doc_id: str, text: str) -> list[Column]:
 def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, keys: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and item (doc_id, text; item_id, text) the most similar item-sized window, the first of equals, where it reaches `similarity`.
 
-    Words are runs of letters and digits in lower case. A window has as many words as the item; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing, nor do texts shorter than an item. Rows that share doc_id and text are one document; items that share item_id are tried each. keys: with the row_keys of the document. Items of more than 65535 words are refused: counters have 16 bits.
+    Words are runs of letters and digits in lower case. A window has as many words as the item, or is the whole text where that is shorter; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing. Rows that share doc_id and text are one document; items that share item_id are tried each. keys: with the row_keys of the document. Items of more than 65535 words are refused: counters have 16 bits.
     """
     entries = saved(items.select("item_id", plain_words(F.col("text")).alias("_ws")).where(F.size("_ws") > 0).select("item_id", F.size("_ws").alias("l"), F.least(F.lit(shingle), F.size("_ws")).alias("k"), "_ws", F.monotonically_increasing_id().alias("item")), "op9-items", narrow=True)
     shapes = sorted((r["k"], r["most"]) for r in entries.groupBy("k").agg(F.max("l").alias("most")).collect())  # at most `shingle` rows
@@ -67,15 +67,17 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     grams = items.select("l", F.explode("sh").alias("g")).distinct()
     # Where shingles of the benchmark stand, by the lengths of the items that hold them. Of the m shingles of a similar window at least
     # b = 2ms / (1 + s) are the item's, so the others part them into runs, the longest of at least b / (m - b + 1): looking at every stride-th place meets it.
+    # A text shorter than the item is one window of w < m shingles, of which s(w + m) / (1 + s) are the item's: the least run over all w counts.
     m = F.size("sh")
-    shared = F.ceil(2 * m * F.lit(similarity) / (1 + similarity) - 1e-9)
-    stride = items.agg(F.min(F.ceil(shared / (m - shared + 1))).alias("s")).first()["s"]
+    shared = lambda w: F.ceil((w + m) * F.lit(similarity) / (1 + similarity) - 1e-9)
+    runs = F.transform(F.sequence(F.greatest(F.lit(1), F.ceil(m * similarity - 1e-9).cast("int")), m), lambda w: F.ceil(shared(w) / (w - shared(w) + 1)))
+    stride = items.agg(F.min(F.array_min(runs)).alias("s")).first()["s"]
     places = own.select(*key, F.posexplode(_rolling(plain_words(F.col("text")), k, int(stride))).alias("p", "g"))
     seeds = places.withColumn("p", F.col("p") * int(stride)).join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
     seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds", narrow=True)
-    # All windows of those lengths that cover one.
-    starts = lambda x: F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.least(x["p"], F.size("_roll") + k - 1 - x["l"]))
-    fits = F.filter("_seeds", lambda x: x["l"] <= F.size("_roll") + k - 1)
+    # All windows of those lengths that cover one; the whole text where it is shorter, but has shingles enough to be similar.
+    starts = lambda x: F.when(x["l"] <= F.size("_roll") + k - 1, F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.greatest(F.lit(0), F.least(x["p"], F.size("_roll") + k - 1 - x["l"])))).otherwise(F.array(F.lit(0)))
+    fits = F.filter("_seeds", lambda x: F.size("_roll") >= (x["l"] - k + 1) * similarity - 1e-9)
     laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
     near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
@@ -94,7 +96,7 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     checked = pairs.join(windows, [*key, "l", "s"]).join(broadcast_below(shapes, BROADCAST_DOCS), "item")
     times = lambda a, g: F.size(F.filter(a, lambda y: y == g))
     both = F.aggregate(F.array_distinct("sh"), F.lit(0), lambda n, g: n + F.least(times(F.col("sh"), g), times(F.col("item_sh"), g)))
-    return checked.withColumn("_both", both).withColumn("similarity", F.col("_both") / (2 * F.size("sh") - F.col("_both"))).where(F.col("similarity") >= similarity).select("doc_id", *key, "item_id", "item", "l", "s", "similarity")
+    return checked.withColumn("_both", both).withColumn("similarity", F.col("_both") / (F.size("sh") + F.size("item_sh") - F.col("_both"))).where(F.col("similarity") >= similarity).select("doc_id", *key, "item_id", "item", (F.size("sh") + k - 1).alias("l"), "s", "similarity")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,3 +370,11 @@ def test_digest_columns(spark):
     want = brute_passages([d.text for d in docs], 35)
     for d, (n, gone, kept) in zip(docs, want):
         assert (got[d.doc_id].n_words, got[d.doc_id].n_removed, got[d.doc_id].kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_contamination_of_texts_shorter_than_the_item(spark):
+    ws = [f"w{i}" for i in range(50)]
+    items = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(ws[2:])), (2, " ".join(ws[:45])), (3, " ".join(ws[:38])), (4, " ".join(ws))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.n_words, round(r.similarity, 4)) for r in decontaminate.contamination(docs, items).collect())
+    assert got == [(1, 0, 48, round(44 / 46, 4)), (2, 0, 45, round(41 / 46, 4)), (4, 0, 50, 1.0)]
