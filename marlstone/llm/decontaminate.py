@@ -17,7 +17,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Rows up to which a side is sent to every task; beyond it the join shuffles. Benchmark grams take 24 bytes, block entries 40, seeded documents about 200.
 BROADCAST_GRAMS, BROADCAST_DOCS = 2_000_000, 100_000
-LANES = 16
 
 
 def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
@@ -26,12 +25,13 @@ def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
     return F.when(F.size(ws) >= k, let(ws, roll)).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhashes(grams: DataFrame, by: list[str]) -> DataFrame:
-    """by + fp of the grams (by, g) of each group: a bit is 1 if more than half of the hashes have it. 64 counters travel as 16 longs of four 16-bit lanes."""
-    x = lambda j: f"(shiftrightunsigned(g, {4 * j}) & 15L)"
-    sums = [F.expr(f"sum(({x(j)} & 1L) + shiftleft({x(j)} & 2L, 15) + shiftleft({x(j)} & 4L, 30) + shiftleft({x(j)} & 8L, 45))").alias(f"_l{j}") for j in range(LANES)]
+def simhashes(grams: DataFrame, by: list[str], lane: int = 16) -> DataFrame:
+    """by + fp of the grams (by, g) of each group: a bit is 1 if more than half of the hashes have it. 64 counters of `lane` bits (16 or 32) travel packed into longs; a group may hold 2^lane - 1 hashes."""
+    per = 64 // lane
+    x = lambda j: f"(shiftrightunsigned(g, {per * j}) & {(1 << per) - 1}L)"
+    sums = [F.expr("sum(" + " + ".join(f"shiftleft({x(j)} & {1 << i}L, {(lane - 1) * i})" for i in range(per)) + ")").alias(f"_l{j}") for j in range(lane)]
     packed = grams.groupBy(*by).agg(F.count("*").alias("_n"), *sums)
-    bits = [f"shiftleft(if(2 * (shiftrightunsigned(_l{b // 4}, {16 * (b % 4)}) & 65535L) > _n, 1L, 0L), {b})" for b in range(64)]
+    bits = [f"shiftleft(if(2 * (shiftrightunsigned(_l{b // per}, {lane * (b % per)}) & {(1 << lane) - 1}L) > _n, 1L, 0L), {b})" for b in range(64)]
     return packed.select(*by, F.expr(" | ".join(bits)).alias("fp"))
 
 
@@ -43,15 +43,13 @@ def row_keys(doc_id: str, text: str) -> list[Column]:
 def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, keys: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and item (doc_id, text; item_id, text) the most similar item-sized window, the first of equals, where it reaches `similarity`.
 
-    Words are runs of letters and digits in lower case. A window has as many words as the item, or is the whole text where that is shorter; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing. Rows that share doc_id and text are one document; items that share item_id are tried each. keys: with the row_keys of the document. Items of more than 65535 words are refused: counters have 16 bits.
+    Words are runs of letters and digits in lower case. A window has as many words as the item, or is the whole text where that is shorter; similarity is the sum of smaller over the sum of larger shingle counts, shingles being `shingle` words long, or the whole item if it is shorter. Null and empty texts match nothing. Rows that share doc_id and text are one document; items that share item_id are tried each. keys: with the row_keys of the document.
     """
     entries = saved(items.select("item_id", plain_words(F.col("text")).alias("_ws")).where(F.size("_ws") > 0).select("item_id", F.size("_ws").alias("l"), F.least(F.lit(shingle), F.size("_ws")).alias("k"), "_ws", F.monotonically_increasing_id().alias("item")), "op9-items", narrow=True)
     shapes = sorted((r["k"], r["most"]) for r in entries.groupBy("k").agg(F.max("l").alias("most")).collect())  # at most `shingle` rows
-    if any(most > 65_535 for _, most in shapes):
-        raise ValueError("items may have 65535 words at most")
     own = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     key = ["_key", "_key2"]
-    parts = [_matches(own, key, entries.where(F.col("k") == k), k, similarity, radius) for k, _ in shapes]
+    parts = [_matches(own, key, entries.where((F.col("k") == k) & ((F.col("l") > 65_535) == long)), k, similarity, radius, long) for k, most in shapes for long in ([False, True] if most > 65_535 else [False])]
     if not parts:
         return docs.sparkSession.createDataFrame([], ("_key long, _key2 long, " if keys else "") + f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word int, n_words int, similarity double")
     out = parts[0]
@@ -62,7 +60,8 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, sim
     return best.select(*(key if keys else []), "doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.l").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
-def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
+def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int, long: bool) -> DataFrame:
+    """The similar windows for items of one k; long: items of more than 65535 words, which need wider counters and shingles counted in groups."""
     items = entries.select("item_id", "item", "l", _rolling(F.col("_ws"), k).alias("sh"))
     grams = items.select("l", F.explode("sh").alias("g")).distinct()
     # Where shingles of the benchmark stand, by the lengths of the items that hold them. Of the m shingles of a similar window at least
@@ -71,7 +70,7 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     m = F.size("sh")
     shared = lambda w: F.ceil((w + m) * F.lit(similarity) / (1 + similarity) - 1e-9)
     runs = F.transform(F.sequence(F.greatest(F.lit(1), F.ceil(m * similarity - 1e-9).cast("int")), m), lambda w: F.ceil(shared(w) / (w - shared(w) + 1)))
-    stride = items.agg(F.min(F.array_min(runs)).alias("s")).first()["s"]
+    stride = items.agg(F.min(F.array_min(runs)).alias("s")).first()["s"] or 1
     places = own.select(*key, F.posexplode(_rolling(plain_words(F.col("text")), k, int(stride))).alias("p", "g"))
     seeds = places.withColumn("p", F.col("p") * int(stride)).join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
     seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds", narrow=True)
@@ -79,11 +78,11 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     starts = lambda x: F.when(x["l"] <= F.size("_roll") + k - 1, F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.greatest(F.lit(0), F.least(x["p"], F.size("_roll") + k - 1 - x["l"])))).otherwise(F.array(F.lit(0)))
     fits = F.filter("_seeds", lambda x: F.size("_roll") >= (x["l"] - k + 1) * similarity - 1e-9)
     laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
-    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
+    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).dropDuplicates(key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
-    prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"])
-    of_items = simhashes(items.select("item", "l", F.explode("sh").alias("g")), ["item", "l"]).withColumnRenamed("fp", "item_fp")
+    prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"], 32 if long else 16)
+    of_items = simhashes(items.select("item", "l", F.explode("sh").alias("g")), ["item", "l"], 32 if long else 16).withColumnRenamed("fp", "item_fp")
     # Within the radius some block differs in at most radius // BLOCKS bits: the item's side is entered under every such value.
     width = 64 // BLOCKS
     flips = [sum(1 << b for b in c) for n in range(radius // BLOCKS + 1) for c in itertools.combinations(range(width), n)]
@@ -96,6 +95,11 @@ def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similar
     checked = pairs.join(windows, [*key, "l", "s"]).join(broadcast_below(shapes, BROADCAST_DOCS), "item")
     times = lambda a, g: F.size(F.filter(a, lambda y: y == g))
     both = F.aggregate(F.array_distinct("sh"), F.lit(0), lambda n, g: n + F.least(times(F.col("sh"), g), times(F.col("item_sh"), g)))
+    if long:
+        each = checked.select(*key, "l", "s", "item", F.explode("sh").alias("g")).groupBy(*key, "l", "s", "item", "g").agg(F.count("*").alias("_c"))
+        theirs = items.select("item", F.explode("sh").alias("g")).groupBy("item", "g").agg(F.count("*").alias("_i"))
+        common = each.join(theirs, ["item", "g"]).groupBy(*key, "l", "s", "item").agg(F.sum(F.least("_c", "_i")).alias("_b"))
+        checked, both = checked.join(common, [*key, "l", "s", "item"]), F.col("_b")
     return checked.withColumn("_both", both).withColumn("similarity", F.col("_both") / (F.size("sh") + F.size("item_sh") - F.col("_both"))).where(F.col("similarity") >= similarity).select("doc_id", *key, "item_id", "item", (F.size("sh") + k - 1).alias("l"), "s", "similarity")
 
 

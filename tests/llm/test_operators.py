@@ -378,3 +378,15 @@ def test_contamination_of_texts_shorter_than_the_item(spark):
     docs = spark.createDataFrame([(1, " ".join(ws[2:])), (2, " ".join(ws[:45])), (3, " ".join(ws[:38])), (4, " ".join(ws))], "doc_id long, text string")
     got = sorted((r.doc_id, r.start_word, r.n_words, round(r.similarity, 4)) for r in decontaminate.contamination(docs, items).collect())
     assert got == [(1, 0, 48, round(44 / 46, 4)), (2, 0, 45, round(41 / 46, 4)), (4, 0, 50, 1.0)]
+
+
+def test_contamination_of_many_repeats_and_of_very_long_items(spark):
+    item = " ".join(f"w{i}" for i in range(50))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.range(1600).selectExpr("cast(null as long) as doc_id", f"'{item}' as text")
+    assert [(r.item_id, r.start_word, r.similarity) for r in decontaminate.contamination(docs, items).collect()] == [(1, 0, 1.0)]
+    long = " ".join(f"w{i}" for i in range(66_000))
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, long + " end"), (8, item)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontaminate.contamination(docs, items).collect())
+    assert got == [(7, 1, 0, 1.0), (7, 2, 0, 1.0), (8, 1, 0, 1.0)]
