@@ -78,20 +78,30 @@ def n_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def match_starts(pieces: Column, matches: Column) -> Column:
-    """Code-point start of each match, from the pieces that split() leaves around them. Sums run in blocks of 64, so thousands of matches in one text stay cheap."""
-    gaps = F.transform(
-        matches,
-        lambda m, i: (F.char_length(F.get(pieces, i)) + F.when(i > 0, F.char_length(F.get(matches, i - 1))).otherwise(0)).cast("long"),
-    )
+#: Running sums add up blocks of so many values, then blocks of blocks.
+FAN, LEVELS = 32, 3
+
+
+def running_sums(values: Column, levels: int = LEVELS) -> Column:
+    """Running sums of an array of longs, each with its own value in it. Blocks of FAN values are summed first and the blocks' sums run the same way, so the work stays near FAN a value for FAN^(levels + 1) values and more."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return let(
-        gaps,
-        lambda g: let(
-            F.when(F.size(g) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / 64).cast("int")), lambda b: total(F.slice(g, F.lit(1), b * 64)))).otherwise(F.array().cast("array<bigint>")),
-            lambda base: F.transform(g, lambda _, i: F.get(base, F.floor(i / 64).cast("int")) + total(F.slice(g, F.floor(i / 64).cast("int") * 64 + 1, i % 64 + 1))),
-        ),
-    )
+    if levels == 0:
+        return let(values, lambda g: F.transform(g, lambda _, i: total(F.slice(g, F.lit(1), i + 1))))
+
+    def blocked(g):
+        block = lambda i: F.floor(i / FAN).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), block(F.size(g) - 1)), lambda b: total(F.slice(g, b * FAN + 1, F.lit(FAN))))
+        return let(
+            running_sums(sums, levels - 1),
+            lambda upto: F.transform(g, lambda _, i: F.when(i >= FAN, F.get(upto, block(i) - 1)).otherwise(F.lit(0).cast("long")) + total(F.slice(g, block(i) * FAN + 1, i % FAN + 1))),
+        )
+
+    return let(values, lambda g: F.when(F.size(g) > FAN, blocked(g)).otherwise(F.transform(g, lambda _, i: total(F.slice(g, F.lit(1), i + 1)))))
+
+
+def match_starts(pieces: Column, matches: Column) -> Column:
+    """Code-point start of each match, from the pieces that split() leaves around them."""
+    return running_sums(F.transform(matches, lambda m, i: (F.char_length(F.get(pieces, i)) + F.when(i > 0, F.char_length(F.get(matches, i - 1))).otherwise(0)).cast("long")))
 
 
 def each(column):

@@ -26,14 +26,16 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least bits a character of a window, by class. Window entropies are discrete; neither value is one of them.
 THRESHOLDS = {"hex": 2.97, "base64": 3.77}
-#: Candidates that match one of these are never secrets: words without digits, digits alone, UUIDs, paths of plain words, filler and counting runs.
+#: Candidates that match a rule's first pattern, and not its second if it has one, are never secrets: words without digits, digits alone, UUIDs, paths of plain words, filler and counting runs. No pattern repeats a group: java.util.regex goes one call deeper for every repeat and ends the JVM on a long candidate.
 ALLOW = (
-    r"^[^0-9]+$",
-    r"^[0-9+/_=-]+$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?([a-z]+/)+[a-z0-9_-]*$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefghij)",
+    (r"^[^0-9]+$", None),
+    (r"^[0-9+/_=-]+$", None),
+    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", None),
+    (r"^/?[a-z][a-z/]*/[a-z0-9_-]*$", "//"),
+    (r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefghij)", None),
 )
+#: Window starts that one chain of incremental counts goes through; chains of a candidate are joined afterwards.
+CHAIN = 256
 KINDS = ("assign", "access", "hex", "entropy-hex", "entropy-base64")
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -51,34 +53,50 @@ def _spans(text: Column, pattern: str, kind: int, quick: str | None = None, keep
 
 
 def entropy_windows(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """Maximal [start, end) stretches of an ASCII candidate that windows of at least `threshold` bits a character cover.
+    """Maximal [start, end) stretches of a candidate (letters of CANDIDATE alone) that windows of at least `threshold` bits a character cover.
 
-    Counts of the window's characters and the sum of c*log2(c) are carried from one window to the next: one character comes in, one goes out.
+    Counts of the window's characters, eight bits each and eight to a long, and the sum of c*log2(c) are carried from one window to the next: one character comes in, one goes out. Chains of CHAIN windows bound what a step copies, so the work is linear in the candidate's length.
     """
+    if not 0 < window < 256:
+        raise ValueError("window must be 1 to 255")
     table_ = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     whole = math.log2(window)
-
-    def step(codes, st, i):
-        into, gone = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(-1)
-        c_out = F.when(gone >= 0, F.get(st["n"], gone)).otherwise(1)
-        c_in = F.get(st["n"], into) - F.when(into == gone, 1).otherwise(0)
+    low, high = ord("+"), ord("z")
+    longs = (high - low) // 8 + 1
+    lane = lambda code: (code % 8) * 8
+
+    def step(codes, st, at, i):
+        into, gone = F.get(codes, at + i), F.when(i >= window, F.get(codes, at + i - window)).otherwise(-1)
+        count = lambda code: F.call_function("shiftrightunsigned", F.get(st["n"], F.floor(code / 8).cast("int")), lane(code)).bitwiseAND(F.lit(255).cast("long")).cast("int")
+        c_out = F.when(gone >= 0, count(gone)).otherwise(1)
+        c_in = count(into) - F.when(into == gone, 1).otherwise(0)
         total = st["s"] + F.get(table_, c_out - 1) - F.get(table_, c_out) + F.get(table_, c_in + 1) - F.get(table_, c_in)
-        counts = F.transform(st["n"], lambda v, k: v + F.when(k == into, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        first = i - window + 1
+        bit = lambda code, k: F.when(F.floor(code / 8).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), lane(code))).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(st["n"], lambda v, k: v + bit(into, k) - F.when(gone >= 0, bit(gone, k)).otherwise(F.lit(0).cast("long")))
+        first = at + i - window + 1
 
         def grow(total):
-            hot = (first >= 0) & (F.lit(whole) - total / window >= threshold)
+            hot = (i >= window - 1) & (F.lit(whole) - total / window >= threshold)
             last = F.element_at(st["out"], -1)
-            joined = F.concat(F.slice(st["out"], F.lit(1), F.size(st["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (i + 1).alias("b"))))
-            fresh = F.concat(st["out"], F.array(F.struct(first.alias("a"), (i + 1).alias("b"))))
+            joined = F.concat(F.slice(st["out"], F.lit(1), F.size(st["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (first + window).alias("b"))))
+            fresh = F.concat(st["out"], F.array(F.struct(first.alias("a"), (first + window).alias("b"))))
             out = F.when(~hot, st["out"]).when((F.size(st["out"]) > 0) & (F.get(st["out"], F.size(st["out"]) - 1)["b"] >= first), joined).otherwise(fresh)
             return F.struct(counts.alias("n"), total.alias("s"), out.alias("out"))
 
         return let(total, grow)
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(candidate)), lambda i: F.ascii(F.substring(candidate, i, F.lit(1))))
-    return let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), start, lambda st, i: step(c, st, i), lambda st: st["out"]))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("s"), none.alias("out"))
+    chain = lambda c, at: F.aggregate(F.sequence(F.lit(0), F.least(F.lit(CHAIN + window - 2), F.size(c) - 1 - at)), start, lambda st, i: step(c, st, at, i), lambda st: st["out"])
+    chains = lambda c: F.when(F.size(c) >= window, F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - window, F.lit(CHAIN)), lambda at: chain(c, at)))).otherwise(none)
+
+    def merged(runs):
+        # Ends grow with starts, so a stretch begins where the run before ended earlier, and ends where the next begins later.
+        begins = F.filter(runs, lambda r, i: (i == 0) | (F.get(runs, i - 1)["b"] < r["a"]))
+        ends = F.filter(runs, lambda r, i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["a"] > r["b"]))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
+
+    return let(let(F.transform(F.split(candidate, ""), lambda x: F.ascii(x) - low), chains), merged)
 
 
 def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple) -> Column:
@@ -88,9 +106,11 @@ def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple) ->
         is_hex = candidate.rlike("^[0-9a-fA-F]+$")
         limit = F.when(is_hex, F.lit(thresholds["hex"])).otherwise(F.lit(thresholds["base64"]))
         listed = F.lit(False)
-        for rule in allow:
-            listed = listed | candidate.rlike(rule)
-        runs = F.transform(entropy_windows(candidate, limit, window), lambda r: F.struct((at + r["a"]).alias("start"), F.when(is_hex, 3).otherwise(4).alias("kind"), (at + r["b"]).alias("end")))
+        for rule, unless in allow:
+            listed = listed | (candidate.rlike(rule) & ~candidate.rlike(unless) if unless else candidate.rlike(rule))
+        kind = F.when(is_hex, 3).otherwise(4)
+        # Limit and kind are worked out once a candidate, not at every step.
+        runs = let(F.struct(limit.alias("limit"), kind.alias("kind")), lambda x: F.transform(entropy_windows(candidate, x["limit"], window), lambda r: F.struct((at + r["a"]).alias("start"), x["kind"].alias("kind"), (at + r["b"]).alias("end"))))
         return F.when(listed, none).otherwise(runs)
 
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
@@ -147,7 +167,7 @@ def _sql() -> str:
 
     # No look-behind here: a run of the alphabet is taken whole, its length judged after.
     run = r"[A-Za-z0-9+/_=-]+"
-    allow = " or ".join(f"regexp_matches(c, {q(rule)})" for rule in ALLOW)
+    allow = " or ".join(f"regexp_matches(c, {q(rule)})" + (f" and not regexp_matches(c, {q(unless)})" if unless else "") for rule, unless in ALLOW)
     return f"""with docs as (select doc_id, coalesce(text, '') as t from documents),
 {kind("assigned", 0, ASSIGN, f"length(g[i]) >= {MIN_ASSIGN}")},
 {kind("access", 1, ACCESS, f"length(m[i]) >= {MIN_ACCESS}")},
