@@ -1,6 +1,6 @@
 """License scans: word k-grams of every document are joined to template positions and vote on diagonals.
 
-Only DataFrame functions. The template side is fixed text in this module (a few thousand grams), so it is broadcast; documents are exploded and probed where they lie, and only hits are shuffled.
+Only DataFrame functions. The template side is fixed text in this module (a few hundred grams), so it is broadcast. A bitmap of the template hashes goes before the join, so of a document only grams that can meet a template, with their own words, become rows; they are probed where the document lies, and only hits are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, ascii_lower, let, plain_words, table
+from .common import SEPARATORS, ascii_lower, let, plain_words, running_sums, table
 
 # The contract's phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -39,6 +39,8 @@ TEMPLATES = (
     ("reserved", "All rights reserved. No part of this publication may be reproduced without permission"),
 )
 GRAM, SLACK, MIN_COVER = 3, 2, 0.75
+#: Bits of the bitmap of template hashes: 64 to a long.
+BITMAP = 1 << 16
 
 
 def _words(text: str) -> list[str]:
@@ -71,13 +73,21 @@ def license_spans(docs: DataFrame, key: list[str], text: str = "text", templates
     tg = spark.createDataFrame(grams, "template int, t int, t_words array<string>")
     tg = tg.select(F.xxhash64(*[F.get("t_words", F.lit(j)) for j in range(k)]).alias("h"), "template", "t", "t_words")
     ws = plain_words(F.col(text))
-    rolling = let(F.col("_ws"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+    rolling = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("p"), F.xxhash64(*[F.get(w, i + j) for j in range(k)]).alias("h")))
+    bits = [0] * (BITMAP // 64)
+    for r in tg.select(F.pmod("h", F.lit(BITMAP)).cast("int").alias("slot")).distinct().collect():  # the templates' grams
+        bits[r.slot // 64] |= 1 << r.slot % 64
+    bitmap = F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in bits])
+    slot = lambda h: F.pmod(h, F.lit(BITMAP)).cast("int")
+    may = lambda h: let(slot(h), lambda n: F.call_function("shiftright", F.get(bitmap, F.floor(n / 64).cast("int")), n % 64).bitwiseAND(F.lit(1).cast("long")) == 1)
+    grams_of = let(F.col("_ws"), lambda w: F.transform(F.filter(rolling(w), lambda x: may(x["h"])), lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.slice(w, x["p"] + 1, F.lit(k)).alias("ws"))))
     hits = (
         docs.select(*key, ws.alias("_ws"))
         .where(F.size("_ws") >= k)
-        .select(*key, "_ws", F.posexplode(rolling).alias("p", "h"))
+        .select(*key, F.explode(grams_of).alias("_g"))
+        .select(*key, F.col("_g.p").alias("p"), F.col("_g.h").alias("h"), F.col("_g.ws").alias("_ws"))
         .join(F.broadcast(tg), "h")
-        .where(F.slice("_ws", F.col("p") + 1, F.lit(k)) == F.col("t_words"))
+        .where(F.col("_ws") == F.col("t_words"))
         .select(*key, "template", "t", "p", (F.col("p") - F.col("t")).alias("d"))
     )
     by = [*key, "template"]
@@ -99,10 +109,10 @@ def phrase_places(norm, phrases=PHRASES):
 
     def of(phrase):
         pieces = F.split(norm, f"(?<= ){phrase}(?= )", -1)
-        upto = F.transform(pieces, lambda p: (F.char_length(p) - F.char_length(F.replace(p, F.lit(" "), F.lit("")))).cast("long"))
+        upto = running_sums(F.transform(pieces, lambda p: (F.char_length(p) - F.char_length(F.replace(p, F.lit(" "), F.lit("")))).cast("long")))
         inside = phrase.count(" ")
         # The words before the i-th match: the blanks of all pieces so far and those inside earlier matches, less the leading one.
-        at = let(upto, lambda u: F.transform(F.slice(u, F.lit(1), F.size(u) - 1), lambda _, i: F.aggregate(F.slice(u, F.lit(1), i + 1), F.lit(-1).cast("long"), lambda s, x: s + x) + i * inside))
+        at = let(upto, lambda u: F.transform(F.slice(u, F.lit(1), F.size(u) - 1), lambda n, i: n - 1 + i * inside))
         return F.when(F.contains(norm, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<bigint>"))
 
     return [of(p) for p, _ in phrases]

@@ -390,3 +390,44 @@ def test_contamination_of_many_repeats_and_of_very_long_items(spark):
     docs = spark.createDataFrame([(7, long + " end"), (8, item)], "doc_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontaminate.contamination(docs, items).collect())
     assert got == [(7, 1, 0, 1.0), (7, 2, 0, 1.0), (8, 1, 0, 1.0)]
+
+
+def test_secrets_in_very_long_candidates(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    image = "".join(rng.choice(letters) for _ in range(1_000_000))
+    many = " ".join("%016x" % (i * 7919 + (1 << 60)) for i in range(1_000_000))
+    rows = [(1, image), (2, "a/" * 50_000 + "b1"), (3, "a/" * 50_000 + "B1"), (4, many)]
+    got = {r.doc_id: r.secret_spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hot = [s for s in got[1] if s.kind == 4]
+    step = lambda i: -sum(image[i : i + 20].count(x) / 20 * math.log2(image[i : i + 20].count(x) / 20) for x in set(image[i : i + 20])) >= 3.77
+    assert all(any(s.start <= i and i + 20 <= s.end for s in hot) == step(i) for i in range(0, 999_980, 991))
+    assert got[2] == [] and got[3] == [] and len(got[4]) == 1_000_000
+    assert [(s.start, s.end) for s in got[4][-2:]] == [(16_999_966, 16_999_982), (16_999_983, 16_999_999)]
+
+
+@pytest.mark.parametrize("path, plain", [("a/b/c/word-with-1", True), ("/ab/cd/1", True), ("aaaaaaaaaaaaaaaaa//b1", False), ("//aaaaaaaaaaaaaaaab/1", False), ("a/b/C/1", False), ("/1", False), ("aaaa1/b", False)])
+def test_paths_of_plain_words(path, plain):
+    rule, unless = secrets.ALLOW[3]
+    assert bool(re.search(rule, path) and not re.search(unless, path)) == plain == bool(re.search(r"^/?([a-z]+/)+[a-z0-9_-]*$", path))
+
+
+def test_licenses_in_very_long_texts(spark):
+    rows = [(1, "word zip " * 500_000 + "Licensed under the MIT License."), (2, "cc by x " * 500_000)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].labels, got[1].score, got[1].n_base) == (1_000_005, "mit", 1.0, 0)
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].last_word) == (1_500_000, 500_000, 0, 1_499_997)
+
+
+def test_licenses_with_a_clashing_extra_column(spark, hard):
+    assert licenses.scan_licenses(hard.withColumnRenamed("source", "labels").withColumnRenamed("lang", "h")).count() == len(HARD)
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.llm.common import running_sums
+
+    for n in (0, 1, 31, 32, 33, 1024, 1025, 40_000):
+        got = spark.range(1).select(running_sums(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i.cast("long"))).alias("x")).first().x
+        assert got == np.cumsum(np.arange(n + 1)).tolist()
