@@ -1,6 +1,6 @@
-"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling; LCP intervals give repeated line runs, and later copies go.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling; LCP intervals give maximal repeated line runs, and later copies go.
 
-Lines are named by 128-bit hashes. A line that stands nowhere else can't begin or continue a repeated run, so it leaves before any sorting: only suffixes that begin with repeated lines are ranked. Ranks come from distinct (rank, next rank) pairs, pre-aggregated and range-sorted with distributed prefix sums, so a line that a third of all documents hold is one row there. Doubling stops at the first power of two that reaches the least run: deeper order does not change which lines go.
+Lines are named by 128-bit hashes. A line that stands nowhere else can't begin or continue a repeated run, so it leaves before any sorting: only suffixes that begin with repeated lines are ranked. Ranks come from distinct (rank, next rank) pairs, pre-aggregated and range-sorted with distributed prefix sums, so a line that a third of all documents hold is one row there. Depth doubles until no two suffixes agree further; suffixes that agree with no other leave, so the rounds shrink. The interval of a suffix at its greatest depth names the earliest copy, and both sequences, compared line by line from there, give the whole run.
 """
 
 from __future__ import annotations
@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from .common import let, n_parts, saved, table
 
-#: A run is at least so many consecutive lines of a document.
-MIN_LINES = 2
-
+#: A run is at least so many consecutive lines of a document; a line of at least MIN_CHARS characters is one by itself.
+MIN_LINES, MIN_CHARS = 2, 40
 
 KEY = ["d", "h"]
 
 
+def _lines(text):
+    """Array of (x, at): the lines that are not blank, at counts all lines."""
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("at"))), lambda s: F.trim(s["x"]) != "")
+
+
+def _ids(x):
+    return [F.xxhash64(x).alias("id1"), F.xxhash64(F.lit(1), x).alias("id2")]
+
+
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, h, line, at, id1, id2): the lines of every text that are not blank; line numbers them, `at` counts all lines. d and h tell documents apart: the id (null: the largest long) and a hash of the text."""
-    pieces = F.transform(F.split(F.col("t"), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("at")))
+    """(d, h, line, at, id1, id2, chars): the lines of every text that are not blank; line numbers them, `at` counts all lines. d and h tell documents apart: the id (null: the largest long) and a hash of the text."""
     own = _keyed(docs, doc_id, text)
-    return own.select(*KEY, F.posexplode(F.filter(pieces, lambda s: F.trim(s["x"]) != "")).alias("line", "s")).select(*KEY, "line", F.col("s.at").alias("at"), F.xxhash64("s.x").alias("id1"), F.xxhash64(F.lit(1), "s.x").alias("id2"))
+    return own.select(*KEY, F.posexplode(_lines(F.col("t"))).alias("line", "s")).select(*KEY, "line", F.col("s.at").alias("at"), *_ids(F.col("s.x")), F.char_length("s.x").alias("chars"))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -39,51 +46,74 @@ def suffix_ranks(keys: DataFrame, cols: list[str]) -> DataFrame:
     return ordered.withColumn("_local", local).join(F.broadcast(before), "_part").select(*cols, (F.col("_before") + F.col("_local") + 1).alias("place"))
 
 
-def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Suffixes in an LCP interval of at least min_lines: d, h, line, place, first (the interval's earliest suffix: struct d, h, line).
+def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """The suffix array level by level: (depth, rows) with rows d, h, line, chars, place, first (the earliest suffix of the interval: struct d, h, line).
 
-    place is the interval's start in the suffix array, equal for suffixes that agree in their first min_lines lines. Suffixes that share less with any other are left out.
+    place is the start of the LCP interval in the suffix array, equal for suffixes that agree in their first `depth` lines; suffixes that agree so far with no other are left out. Depths are 1, min_lines and its doubles, until no two suffixes agree: as many as the logarithm of the longest repeated run, each written.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     names = lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1")
-    now = lines.join(suffix_ranks(names, ["id1", "id2"]), ["id1", "id2"]).select(*KEY, "line", "place")
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
+    now = lines.join(suffix_ranks(names, ["id1", "id2"]), ["id1", "id2"])
+    now = now.groupBy(*KEY, "line").agg(F.first("chars").alias("chars"), F.first("place").alias("place"))  # repeated rows are one document
+    depth, levels = 1, []
+    while True:
         now = saved(now, f"op10-depth{depth}", narrow=True)
+        if depth == 1 or depth >= min_lines:
+            # Written, so that the join has plain exchanges on both sides and a hot line's partition can be split.
+            interval = saved(now.groupBy("place").agg(F.min(F.struct(*KEY, "line")).alias("first")), "op10-intervals", narrow=True)
+            levels.append((depth, now.join(interval, "place")))
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
         # The suffix `step` lines on has the rank of the second half; where it was dropped or lies past the end, the run can't reach this depth.
         ahead = now.select(*KEY, (F.col("line") - step).alias("line"), F.col("place").alias("next"))
         pairs = now.join(ahead, [*KEY, "line"])
         keys = pairs.groupBy("place", "next").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("place", "half")
         deeper = suffix_ranks(keys, ["half", "next"])
-        now = pairs.withColumnRenamed("place", "half").join(deeper, ["half", "next"]).select(*KEY, "line", "place")
+        if deeper.isEmpty():
+            return levels
+        now = pairs.withColumnRenamed("place", "half").join(deeper, ["half", "next"]).select(*KEY, "line", "chars", "place")
         depth += step
-    now = saved(now, f"op10-depth{depth}", narrow=True)
-    # Written, so that the join below has plain exchanges on both sides and a hot line's partition can be split.
-    interval = saved(now.groupBy("place").agg(F.min(F.struct(*KEY, "line")).alias("first")), "op10-intervals", narrow=True)
-    return now.join(interval, "place").select(*KEY, "line", "place", "first")
 
 
-def later_runs(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Maximal repeated runs that are later copies: d, h, line, n_lines, and the earliest copy's d, h, line as first_d, first_h, first_line."""
-    later = suffixes.where(F.struct(*KEY, "line") != F.col("first")).select(*KEY, "line", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"), (F.col("line") - F.col("first.line")).alias("_shift"))
-    same = [*KEY, "first_d", "first_h", "_shift"]
-    later = later.withColumn("_isle", F.col("line") - F.row_number().over(W.partitionBy(*same).orderBy("line")))
-    runs = later.groupBy(*same, "_isle").agg(F.min("line").alias("line"), (F.max("line") - F.min("line") + min_lines).alias("n_lines"))
-    return runs.select(*KEY, "line", "n_lines", "first_d", "first_h", (F.col("line") - F.col("_shift")).alias("first_line"))
+def later_suffixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """d, h, line, chars, depth, first of the suffixes that begin as an earlier one does: the greatest depth at which one does, and the earliest that does so."""
+    parts = [t.where(F.struct(*KEY, "line") != F.col("first")).select(*KEY, "line", "chars", F.lit(depth).alias("depth"), "first") for depth, t in levels]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.groupBy(*KEY, "line").agg(F.first("chars").alias("chars"), F.max(F.struct("depth", "first")).alias("_b")).select(*KEY, "line", "chars", "_b.depth", "_b.first")
+
 
+def later_runs(later: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Maximal repeated runs that are later copies: d, h, line, n_lines, and the earliest copy's d, h, line as first_d, first_h, first_line.
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    A run begins where the line before doesn't continue the same copy, and goes on as long as both texts agree: less than twice its suffix's depth, for else an interval of that depth would hold it.
+    """
+    later = later.select(*KEY, "line", "depth", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"), F.col("first.line").alias("first_line"))
+    same = W.partitionBy(*KEY, "first_d", "first_h", F.col("line") - F.col("first_line")).orderBy("line")
+    heads = saved(later.withColumn("_before", F.lag("line").over(same)).where("_before is null or _before < line - 1").drop("_before"), "op10-heads", narrow=True)
+    ids = _keyed(docs, doc_id, text).select(*KEY, F.transform(_lines(F.col("t")), lambda s: F.struct(*_ids(s["x"]))).alias("ids")).dropDuplicates(KEY)
+    ids = saved(ids.join(heads.select(*KEY).union(heads.select("first_d", "first_h")).distinct(), KEY, "left_semi"), "op10-ids", narrow=True)
+    mine = heads.join(ids, KEY).withColumn("_a", F.slice("ids", F.col("line") + 1, F.col("depth") * 2)).drop("ids")
+    theirs = ids.select(F.col("d").alias("first_d"), F.col("h").alias("first_h"), "ids")
+    both = mine.join(theirs, ["first_d", "first_h"]).withColumn("_b", F.slice("ids", F.col("first_line") + 1, F.col("depth") * 2))
+    differ = F.array_position(F.zip_with("_a", "_b", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    n = F.when(differ > 0, differ - 1).otherwise(F.size("_a")).cast("long")
+    return both.select(*KEY, "line", n.alias("n_lines"), "first_d", "first_h", "first_line")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the later copies of repeated line runs cut from text, and columns n_lines, n_removed (long) added or replaced.
 
-    A line goes if it lies in a run of at least min_lines consecutive lines of which a copy stands earlier, in a document of smaller doc_id (null last) or further up in the same one; so the first copy always stays. Blank lines belong to no run, are skipped between the lines of one and stay. Rows that share doc_id and text are one document: none is a copy of the other. A null text has no lines and stays null; a text whose lines all go becomes empty. Other columns are kept.
+    A line goes if it lies in a run of at least min_lines consecutive lines, or has at least min_chars characters itself, of which a copy stands earlier, in a document of smaller doc_id (null last) or further up in the same one; so the first copy always stays. Blank lines belong to no run, are skipped between the lines of one and stay. Rows that share doc_id and text are one document: none is a copy of the other. A null text has no lines and stays null; a text whose lines all go becomes empty. Other columns are kept.
     """
     lines = line_table(docs, doc_id, text)
-    later = repeated_suffixes(lines, min_lines).where(F.struct(*KEY, "line") != F.col("first"))
-    covered = later.select(*KEY, F.explode(F.sequence(F.col("line"), F.col("line") + (min_lines - 1))).alias("line")).distinct()
+    later = saved(later_suffixes(repeated_suffixes(lines, min_lines)), "op10-later", narrow=True)
+    runs = later_runs(later, docs, doc_id, text).where(F.col("n_lines") >= min_lines)
+    covered = runs.select(*KEY, F.explode(F.sequence(F.col("line"), (F.col("line") + F.col("n_lines") - 1).cast("int"))).alias("line"))
+    covered = covered.union(later.where(F.col("chars") >= min_chars).select(*KEY, "line")).distinct()
     gone = lines.select(*KEY, "line", "at").join(covered, [*KEY, "line"]).groupBy(*KEY).agg(F.collect_set("at").alias("_gone"))
-    gone = gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_gone")
+    gone = saved(gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_gone"), "op10-gone", narrow=True)
     kept_as = docs.drop("n_lines", "n_removed", "_d", "_h", "_gone")
     t = F.coalesce(F.col(text), F.lit(""))
     rows = kept_as.join(gone, (F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)) == F.col("_d")) & (F.xxhash64(t) == F.col("_h")), "left")
@@ -104,7 +134,8 @@ SQL = {
 ls as (select *, row_number() over (partition by doc_id order by pos) as line from raw where trim(x) <> ''),
 wins as (select doc_id, line, string_agg(x, chr(10)) over w as win, count(*) over w as n from ls window w as (partition by doc_id order by line rows between current row and {MIN_LINES - 1} following)),
 later as (select doc_id, line from (select doc_id, line, row_number() over (partition by win order by doc_id, line) as copy from wins where n = {MIN_LINES}) where copy > 1),
-gone as (select distinct doc_id, line + k as line from later, unnest(range({MIN_LINES})) as u(k)),
+alone as (select doc_id, line from (select doc_id, line, x, row_number() over (partition by x order by doc_id, line) as copy from ls) where copy > 1 and length(x) >= {MIN_CHARS}),
+gone as (select doc_id, line + k as line from later, unnest(range({MIN_LINES})) as u(k) union select doc_id, line from alone),
 marked as (select raw.doc_id, raw.pos, raw.x, ls.line, gone.line is not null as gone from raw left join ls using (doc_id, pos) left join gone on gone.doc_id = ls.doc_id and gone.line = ls.line)
 select doc_id, count(line) as n_lines, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(x, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from marked group by doc_id"""
 }

@@ -329,17 +329,18 @@ def test_contamination_hard_rows(spark, hard, empty):
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
-def brute_lines(rows, m):
+def brute_lines(rows, m, long=lines.MIN_CHARS):
     cut = [[(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for _, t in rows]
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
     first, out = set(), {}
     for i in order:
         gone = set()
-        for k in range(len(cut[i]) - m + 1):
-            win = tuple(x for _, x in cut[i][k : k + m])
-            if win in first:
-                gone |= {at for at, _ in cut[i][k : k + m]}
-            first.add(win)
+        for n in {1, m}:
+            for k in range(len(cut[i]) - n + 1):
+                win = tuple(x for _, x in cut[i][k : k + n])
+                if win in first and (n == m or len(win[0]) >= long):
+                    gone |= {at for at, _ in cut[i][k : k + n]}
+                first.add(win)
         out[rows[i][0]] = "\n".join(x for at, x in enumerate((rows[i][1] or "").split("\n")) if at not in gone)
     return out
 
@@ -347,11 +348,16 @@ def brute_lines(rows, m):
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
 def test_lines_by_brute_force(spark, m):
     rng = random.Random(m)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "d d", f"u{i}"]) for _ in range(rng.randrange(14)))) for i in range(60)]
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "d d", f"u{i}", "a line of some length"]) for _ in range(rng.randrange(14)))) for i in range(60)]
     rows += [(60, rows[5][1]), (61, "\n".join("ab"[k % 2] for k in range(40))), (62, ""), (63, "x\r\ny")]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, line string")
-    got = {r.doc_id: r.text for r in lines.dedup_lines(df, min_lines=m).collect()}
-    assert got == brute_lines(rows, m)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df, min_lines=m, min_chars=20).collect()}
+    assert got == brute_lines(rows, m, 20)
+
+
+def runs_of(df, m):
+    later = lines.later_suffixes(lines.repeated_suffixes(lines.line_table(df), m))
+    return lines.later_runs(later, df)
 
 
 def test_lines_hard_rows(spark, hard, empty):
@@ -360,10 +366,35 @@ def test_lines_hard_rows(spark, hard, empty):
     by = {r.doc_id: r for r in out.collect()}
     assert by[1].text is None and by[7].text == HARD[8][1] and by[8].text == ""
     assert lines.dedup_lines(empty).count() == 0
-    runs = lines.later_runs(lines.repeated_suffixes(lines.line_table(spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd")], "doc_id long, text string"))))
+    runs = runs_of(spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd"), (2, "x\na\nb\nc\nd")], "doc_id long, text string"), 2)
     assert [(r.d, r.line, r.n_lines, r.first_d, r.first_line) for r in runs.collect()] == [(2, 1, 4, 1, 0)]
 
 
+def test_lines_maximal_runs_of_2_to_100_lines(spark):
+    rng = random.Random(4)
+    sources = [[f"s{i}.{k}" for k in range(120)] for i in range(6)]
+    texts, want = list(sources), []
+    for n in [2, 3, 4, 7, 8, 31, 32, 33, 64, 65, 99, 100]:
+        i, at, lead = rng.randrange(6), rng.randrange(20), rng.randrange(4)
+        texts.append([f"u{n}.{k}" for k in range(lead)] + sources[i][at : at + n] + [f"v{n}"])
+        want.append((len(texts) - 1, lead, n, i, at))
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [depth for depth, _ in lines.repeated_suffixes(lines.line_table(df), 2)] == [1, 2, 4, 8, 16, 32, 64]
+    assert sorted((r.d, r.line, r.n_lines, r.first_d, r.first_line) for r in runs_of(df, 2).collect()) == want
+    # Random lines: every run is a copy of an earlier place, ends where the texts differ, and together they cover what brute force removes.
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(60))] for _ in range(40)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for m in (2, 3):
+        covered = set()
+        for r in runs_of(df, m).collect():
+            a, b = texts[r.d][r.line :], texts[r.first_d][r.first_line :]
+            assert (r.first_d, r.first_line) < (r.d, r.line) and a[: r.n_lines] == b[: r.n_lines]
+            assert a[r.n_lines : r.n_lines + 1] != b[r.n_lines : r.n_lines + 1] or not b[r.n_lines :] or not a[r.n_lines :]
+            covered |= {(r.d, k) for k in range(r.line, r.line + r.n_lines)} if r.n_lines >= m else set()
+        kept = brute_lines([(i, "\n".join(t)) for i, t in enumerate(texts)], m)
+        assert all("\n".join(x for k, x in enumerate(t) if (i, k) not in covered) == kept[i] for i, t in enumerate(texts))
+
+
 def test_digest_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in passages.op4_substring_dedup(spark, SF).collect()}
