@@ -1,15 +1,12 @@
 """Substring dedup: every word inside a 35-word window that also starts elsewhere is removed.
 
-Recurring passages are found in four steps. (0) Of texts that stand more than once, all of whose windows repeat, one goes on for its copies. (1) Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, so windows whose anchor stands once in the corpus are settled. (2) The stretches around recurring anchors are dealt to shards by anchor. A shard confirms which windows recur, word for word, compiles them into Aho-Corasick automata of bounded size and streams its stretches through them to locate every occurrence. (3) Anchors that recur more often than a shard should hold are settled exactly by counting 128-bit window digests, which are combined before they are shuffled; no group of a hot phrase meets in one task.
+Three steps. (1) Confirm recurring passages. Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, and the windows of a text that share one are a stretch. Stretches are counted by anchor and digest, so all copies of a text, however many, are one row; of those that share an anchor with a different stretch the windows are counted by 128-bit digests. What recurs, merged where windows overlap, are the passages: one row a distinct stretch. (2) Compile them into Aho-Corasick automata, sharded by the documents that need them: a shard is a bucket of documents and each passage that may occur in one of them, once. (3) Stream the shard's documents, whole texts, through its automata, which locate every occurrence. A hot passage is in many shards, so no group of a hot phrase meets in one task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +17,14 @@ from .common import broadcast_below, each, n_parts, saved, table
 
 WINDOW, GRAM = 35, 8
 #: Stretches to a shard, about.
-SHARD_ROWS = 20_000
-#: An anchor with more stretches than a shard should hold goes by window digests.
-HOT_ANCHOR = SHARD_ROWS
-#: Copied documents (24 bytes each) that are sent to every task; beyond it the texts are shuffled to tell them.
-BROADCAST_COPIES = 1_000_000
-ALL = (1 << 31) - 1
+SHARD_ROWS = 5_000
+#: Keys of documents (24 bytes each) that are sent to every task; beyond it the texts are shuffled to find them.
+BROADCAST_KEYS = 1_000_000
 #: Words of patterns to one automaton; a node takes some 50 bytes.
 AUTOMATON_WORDS = 400_000
+#: Rows that share id and text are spread over buckets by so many.
+REPEATS = 64
+NOBODY = (1 << 63) - 1
 PRIME = np.uint64(0x9E3779B185EBCA87)
 NOBODY = (1 << 63) - 1
 
@@ -51,10 +48,11 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(ws: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """(anchor hash, first window, last window) of each stretch of window starts that share an anchor."""
+    """(anchor hash, digest of the words, first window, last window) of each stretch of window starts that share an anchor."""
     if len(ws) < window:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-    g = gram_hashes(word_hashes(ws), gram)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    h = word_hashes(ws)
+    g = gram_hashes(h, gram)
     span = window - gram + 1
     pos = np.empty(len(ws) - window + 1, dtype=np.int64)
     for at in range(0, len(pos), 1 << 16):
@@ -62,200 +60,189 @@ def anchors(ws: list[bytes], window: int = WINDOW, gram: int = GRAM):
         pos[at : at + n] = np.lib.stride_tricks.sliding_window_view(g[at : at + n + span - 1], span).argmin(1) + np.arange(at, at + n)
     first = np.nonzero(np.append(True, pos[1:] != pos[:-1]))[0]
     last = np.append(first[1:], len(pos)) - 1
-    return g[pos[first]], first.astype(np.int32), last.astype(np.int32)
+    raw, digest = h.tobytes(), xxhash.xxh3_64_intdigest
+    own = np.fromiter((digest(raw[8 * a : 8 * (b + window)]) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(first))
+    return g[pos[first]], own, first.astype(np.int32), last.astype(np.int32)
 
 
-def window_digests(ws: list[bytes], a: int, b: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests, as two longs, of the windows that start at a..b."""
-    raw = b"".join(xxhash.xxh3_128_digest(b" ".join(ws[s : s + window])) for s in range(a, b + 1))
+def window_digests(ws: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, as two longs, of all windows."""
+    raw = b"".join(xxhash.xxh3_128_digest(b" ".join(ws[s : s + window])) for s in range(len(ws) - window + 1))
     two = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
     return two[:, 0], two[:, 1]
 
 
+def merged(spans) -> list[tuple[int, int]]:
+    """Sorted [start, end) spans, joined where they meet."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 class Automaton:
-    """Word sequences as patterns. Words become characters by a dictionary of the shard."""
+    """Word sequences as patterns. Words become characters by a dictionary of the patterns' words; all others are one character that no pattern has."""
 
     def __init__(self):
         self.letters: dict[bytes, str] = {}
-        self.clear()
-
-    def clear(self) -> None:
         self.trie, self.size = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
 
-    def spell(self, ws: list[bytes]) -> str:
-        letters = self.letters
-        out = []
+    def add(self, ws: list[bytes]) -> None:
+        letters, out = self.letters, []
         for w in ws:
             c = letters.get(w)
             if c is None:
                 n = len(letters) + 1
                 c = letters[w] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no characters
             out.append(c)
-        return "".join(out)
-
-    def add(self, pattern: str) -> None:
-        if self.trie.add_word(pattern, len(pattern)):
-            self.size += len(pattern)
+        if self.trie.add_word("".join(out), len(out)):
+            self.size += len(out)
 
-    def spans(self, line: str) -> list[tuple[int, int]]:
+    def spans(self, ws: list[bytes]) -> list[tuple[int, int]]:
         """Merged [start, end) that matches cover."""
-        out: list[list[int]] = []
-        for end, n in self.trie.iter(line):
-            start = end - n + 1
-            while out and out[-1][1] >= start:
-                start = min(start, out.pop()[0])
-            out.append([start, end + 1])
-        return [(a, b) for a, b in out]
+        get = self.letters.get
+        return merged({(end - n + 1, end + 1) for end, n in self.trie.iter("".join([get(w, "\0") for w in ws]))})
 
 
-def locate(rows: list[tuple], window: int = WINDOW, most_words: int = AUTOMATON_WORDS):
-    """rows (anchor, owner, first word, text of the stretch, copies) of whole anchors, ordered by anchor; yields (owner, start, end) in words of the owner's text."""
-    auto, waiting = Automaton(), []
-
-    def flush():
-        if auto.size:
+def automata(patterns, most_words: int = AUTOMATON_WORDS):
+    """Compiled automata, of about most_words words each, that hold all patterns."""
+    auto = Automaton()
+    for p in patterns:
+        auto.add(p.split(b" "))
+        if auto.size >= most_words:
             auto.trie.make_automaton()
-            found: dict[str, list] = {}
-            for owner, at, line in waiting:
-                if line not in found:
-                    found[line] = auto.spans(line)
-                for a, b in found[line]:
-                    yield owner, at + a, at + b
-        waiting.clear()
-        auto.clear()
-
-    i = 0
-    while i < len(rows):
-        j = i
-        while j < len(rows) and rows[j][0] == rows[i][0]:
-            j += 1
-        group, lines = [], Counter()
-        for _, owner, at, text, copies in rows[i:j]:
-            line = auto.spell(text.split(b" "))
-            group.append((owner, at, line))
-            lines[line] += copies
-        if len(lines) == 1 and next(iter(lines.values())) > 1:
-            auto.add(next(iter(lines)))  # nothing but copies: the stretch is the pattern
-        else:
-            wins: Counter = Counter()
-            for line, n in lines.items():
-                for s in range(len(line) - window + 1):
-                    wins[line[s : s + window]] += n
-            for w, n in wins.items():
-                if n > 1:
-                    auto.add(w)
-        waiting += group
-        if auto.size >= most_words or len(waiting) >= SHARD_ROWS or len(auto.letters) > 1_000_000:
-            yield from flush()
-            if len(auto.letters) > 1_000_000:
-                auto.letters.clear()
-        i = j
-    yield from flush()
-
-
-def copied(docs: DataFrame) -> DataFrame:
-    """(d, h, n, rep) of documents whose text stands n > 1 times; rep marks the one of least d. Texts are told apart by 128 bits."""
-    marks = docs.select("d", "h", F.xxhash64(F.lit(2), "t").alias("h2"))
-    classes = marks.groupBy("h", "h2").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return marks.join(classes, ["h", "h2"]).select("d", "h", "n", (F.col("d") == F.col("least")).alias("rep")).distinct()
-
-
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_anchor: int = HOT_ANCHOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (doc_id, d, h, t) -> (d, h, ranges): word ranges [start, end) that repeated windows cover, for documents that have any; ranges may overlap. A copied document has the range [0, ALL), which holds for it if it has a window at all."""
+            yield auto
+            auto = Automaton()
+    if auto.size:
+        auto.trie.make_automaton()
+        yield auto
+
+
+def locate(texts: list[bytes], patterns, most_words: int = AUTOMATON_WORDS) -> list[list[tuple[int, int]]]:
+    """For each text the merged word spans [start, end) in which a pattern stands. One automaton at a time is in memory."""
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for auto in automata(patterns, most_words):
+        for i, t in enumerate(texts):
+            found[i] += auto.spans(t.split())
+    return [merged(f) for f in found]
+
+
+def cut_out(texts: list[bytes], spans, window: int = WINDOW):
+    """Columns text, n_words, n_removed."""
+    kept, n, gone = [], [], []
+    for t, rs in zip(texts, spans):
+        ws = t.split()
+        n.append(len(ws))
+        left, at = [], 0
+        for a, b in rs:
+            left += ws[at:a]
+            at = b
+        left += ws[at:]
+        gone.append(len(ws) - len(left))
+        kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+    return [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
+
+
+def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs (d, h, t) -> (d, h, anchor, own, a, b): the stretches of every text whose anchor stands in another stretch too; anchor and own, the digest of its words, name a stretch."""
 
     def pick(batches):
         for b in batches:
-            d, h, w, out = b.column("d").to_numpy(), b.column("h").to_numpy(), b.column("w").to_numpy(), []
+            d, h, out = b.column("d").to_numpy(), b.column("h").to_numpy(), []
             for t in each(b.column("t")):
                 out.append(anchors(t.encode("utf-8", "surrogatepass").split(), window, gram))
             n = [len(x[0]) for x in out]
             cat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)), pa.array(np.repeat(h, n)), pa.array(np.repeat(w, n)), pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32))], ["d", "h", "w", "anchor", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(d, n)), pa.array(np.repeat(h, n)), pa.array(cat(0, np.uint64).view(np.int64)), pa.array(cat(1, np.uint64).view(np.int64)), pa.array(cat(2, np.int32)), pa.array(cat(3, np.int32))],
+                ["d", "h", "anchor", "own", "a", "b"],
+            )
 
-    copies = saved(copied(docs), "op4-copies", narrow=True)
-    firsts = docs.join(broadcast_below(copies.where("not rep").select("d", "h"), BROADCAST_COPIES), ["d", "h"], "left_anti")
-    firsts = firsts.join(broadcast_below(copies.where("rep").select("d", "h", "n"), BROADCAST_COPIES), ["d", "h"], "left")
-    picked = saved(firsts.select("d", "h", F.coalesce("n", F.lit(1)).cast("long").alias("w"), "t").mapInArrow(pick, "d long, h long, w long, anchor long, a int, b int"), "op4-anchors")
+    picked = saved(docs.select("d", "h", "t").mapInArrow(pick, "d long, h long, anchor long, own long, a int, b int"), "op4-anchors")
     # Written, so that both sides of the join are plain exchanges and a hot anchor's partition can be split.
-    recurring = saved(picked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "op4-recurring", narrow=True)
-    around = picked.join(recurring, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("a", "b", "anchor", (F.col("n") > hot_anchor).alias("hot"))).alias("around"), F.max("w").alias("w"))
-    around = saved(around, "op4-around", narrow=True)
-    # Every use of the texts below takes the same columns by the same key, so that one plan shuffles them once.
-    joined = lambda hot: docs.join(around.select("d", "h", "w", F.filter("around", lambda x: x["hot"] == hot).alias("around")).where(F.size("around") > 0), ["d", "h"]).select("doc_id", "d", "h", "w", "t", "around")
+    recurring = saved(picked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "op4-recurring", narrow=True)
+    return saved(picked.join(recurring, "anchor"), "op4-around")
 
-    def stretches(batches):
+
+def recurring_passages(docs: DataFrame, around: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, own, passages): for each distinct stretch what recurs of it, an array of passages, words joined by one space. docs (d, h, t) holds each (d, h) once; stretches without a recurring window are left out."""
+    name = ["anchor", "own"]
+    distinct = saved(around.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "a", "b")).alias("rep")), "op4-distinct")
+    mixed = saved(distinct.groupBy("anchor").agg(F.count("*").alias("_k")).where("_k > 1").select("anchor", F.lit(True).alias("mixed")), "op4-mixed", narrow=True)
+    flagged = distinct.join(mixed, "anchor", "left").select(*name, "n", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rep")
+    wanted = saved(flagged.groupBy("rep.d", "rep.h").agg(F.collect_list(F.struct("rep.a", "rep.b", *name, "n", "mixed")).alias("of")), "op4-wanted")
+
+    def read(batches):
         for b in batches:
-            d, h, w = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
-            for i, (t, found) in enumerate(zip(each(b.column("t")), each(b.column("around")))):
+            for t, of in zip(each(b.column("t")), each(b.column("of"))):
                 ws = t.encode("utf-8", "surrogatepass").split()
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x["anchor"] for x in found], pa.int64()),
-                        pa.array([d[i]] * n, pa.int64()),
-                        pa.array([h[i]] * n, pa.int64()),
-                        pa.array([w[i]] * n, pa.int64()),
-                        pa.array([x["a"] for x in found], pa.int32()),
-                        pa.array([b" ".join(ws[x["a"] : x["b"] + window]) for x in found], pa.binary()),
-                    ],
-                    ["anchor", "d", "h", "w", "a", "text"],
-                )
-
-    def shard(pdf):
-        pdf = pdf.sort_values("anchor", kind="stable")
-        rows = list(zip(pdf["anchor"], zip(pdf["d"], pdf["h"]), pdf["a"], pdf["text"], pdf["w"]))
-        got = [(o[0], o[1], s, e) for o, s, e in locate(rows, window)]
-        return pd.DataFrame(got, columns=["d", "h", "s", "e"]).astype({"d": "int64", "h": "int64", "s": "int32", "e": "int32"})
-
-    def digests(batches):
+                texts = [b" ".join(ws[x["a"] : x["b"] + window]) for x in of]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x[c] for x in of], k) for c, k in (("anchor", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("mixed", pa.bool_()))], pa.array(texts, pa.binary())], [*name, "n", "mixed", "text"])
+
+    def windows(batches):
         for b in batches:
-            d, h, w = b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
-            for i, (t, found) in enumerate(zip(each(b.column("t")), each(b.column("around")))):
-                ws = t.encode("utf-8", "surrogatepass").split()
-                for x in found:
-                    lo, hi = window_digests(ws, x["a"], x["b"], window)
-                    n = len(lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array([d[i]] * n, pa.int64()), pa.array([h[i]] * n, pa.int64()), pa.array([w[i]] * n, pa.int64()), pa.array(np.arange(x["a"], x["b"] + 1), pa.int32())], ["w1", "w2", "d", "h", "w", "s"])
-
-    sizes = {r["hot"]: r["count"] for r in around.select(F.explode("around").alias("x")).groupBy("x.hot").count().collect()}
-    found = copies.select("d", "h", F.lit(0).alias("s"), F.lit(ALL).alias("e"))
-    if sizes.get(False):
-        shards = max(n_parts(docs.sparkSession), -(-sizes[False] // shard_rows))
-        dealt = joined(False).mapInArrow(stretches, "anchor long, d long, h long, w long, a int, text binary")
-        found = found.union(dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(shard, "d long, h long, s int, e int"))
-    if sizes.get(True):
-        wins = joined(True).mapInArrow(digests, "w1 long, w2 long, d long, h long, w long, s int")
-        again = wins.groupBy("w1", "w2").agg(F.sum("w").alias("n")).where("n > 1").drop("n")
-        found = found.union(wins.join(again, ["w1", "w2"]).select("d", "h", "s", (F.col("s") + window).alias("e")))
-    return found.groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-
-
-def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
+            for anchor, own, n, t in zip(b.column("anchor").to_pylist(), b.column("own").to_pylist(), b.column("n").to_pylist(), each(b.column("text"))):
+                lo, hi = window_digests(t.split(b" "), window)
+                k = len(lo)
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array([anchor] * k, pa.int64()), pa.array([own] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(np.arange(k), pa.int32())], ["w1", "w2", *name, "n", "s"])
+
+    def passages(batches):
+        for b in batches:
+            anchor, own, out = b.column("anchor"), b.column("own"), []
+            for t, starts in zip(each(b.column("text")), each(b.column("starts"))):
+                if starts is None:
+                    out.append([t])
+                else:
+                    ws = t.split(b" ")
+                    out.append([b" ".join(ws[x:y]) for x, y in merged((s, s + window) for s in starts)])
+            yield pa.RecordBatch.from_arrays([anchor, own, pa.array(out, pa.list_(pa.binary()))], [*name, "passages"])
+
+    keys = broadcast_below(wanted.select("d", "h"), BROADCAST_KEYS)
+    texts = saved(docs.join(keys, ["d", "h"], "left_semi").join(wanted, ["d", "h"]).select("t", "of").mapInArrow(read, "anchor long, own long, n long, mixed boolean, text binary"), "op4-stretches")
+    wins = saved(texts.where("mixed").drop("mixed").mapInArrow(windows, "w1 long, w2 long, anchor long, own long, n long, s int"), "op4-windows")
+    again = saved(wins.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "op4-again")
+    starts = wins.join(again, ["w1", "w2"]).groupBy(*name).agg(F.collect_set("s").alias("starts"))
+    plain, found = texts.where("not mixed").select(*name, "text", F.lit(None).cast("array<int>").alias("starts")), texts.where("mixed").join(starts, name).select(*name, "text", "starts")
+    return saved(plain.union(found).mapInArrow(passages, "anchor long, own long, passages array<binary>"), "op4-passages")
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_rows: int = SHARD_ROWS, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, text, n_words, n_removed for each row of docs: text is what is left, its words joined by one space.
 
     Words are split at ASCII white space and compared unchanged. Each window is judged on the input, so all copies go, the first one too. A null text has no words. Repeated rows are documents of their own, whose windows repeat each other. Other columns are not carried.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     own = own.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("d"), F.xxhash64("t").alias("h"), "t")
-    ranges = repeated_ranges(own, window, **options)
-
-    def cut_out(batches):
+    key = ["d", "h"]
+    # Rows that share id and text: each counts, one is read for all, and they are dealt to several buckets.
+    repeats = saved(own.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / REPEATS).cast("int").alias("spread")), "op4-repeats", narrow=True)
+    once = own.join(broadcast_below(repeats, BROADCAST_KEYS), key, "left_anti").select(*key, "t").union(own.join(broadcast_below(repeats, BROADCAST_KEYS), key, "left_semi").select(*key, "t").dropDuplicates(key))
+    around = stretches(own, window, gram)
+    found = recurring_passages(once, around, window)
+    spread = lambda t: t.join(broadcast_below(repeats, BROADCAST_KEYS), key, "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
+    buckets = max(4 * n_parts(docs.sparkSession), -(-around.count() // shard_rows))
+    bucket = lambda salt: F.pmod(F.xxhash64(*key, salt), F.lit(buckets)).alias("bucket")
+    needs = spread(around).select("anchor", "own", *key, F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt")).select(bucket(F.col("salt")), "anchor", "own").distinct()
+    patterns = needs.join(found, ["anchor", "own"]).select("bucket", "passages")
+    has = saved(around.select(*key).distinct(), "op4-has", narrow=True)
+    dealt = spread(own.join(broadcast_below(has, BROADCAST_KEYS), key, "left_semi")).select("doc_id", "t", bucket(F.pmod(F.monotonically_increasing_id(), F.col("spread")).cast("int")))
+
+    def stream(rows, passages):
+        ids, texts = rows.column("doc_id").combine_chunks(), [t.encode("utf-8", "surrogatepass") for t in each(rows.column("t"))]
+        spans = locate(texts, (p for ps in each(passages.column("passages")) for p in ps), most_words)
+        return pa.Table.from_arrays([ids, *cut_out(texts, spans)], ["doc_id", "text", "n_words", "n_removed"])
+
+    def pass_on(batches):
         for b in batches:
-            kept, n, gone = [], [], []
-            for t, rs in zip(each(b.column("t")), each(b.column("ranges"))):
-                ws = t.encode("utf-8", "surrogatepass").split()
-                n.append(len(ws))
-                if rs and len(ws) >= window:
-                    keep = np.ones(len(ws), dtype=bool)
-                    for r in rs:
-                        keep[r["s"] : r["e"]] = False
-                    ws = [ws[i] for i in np.nonzero(keep)[0]]
-                gone.append(n[-1] - len(ws))
-                kept.append(b" ".join(ws).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+            texts = [t.encode("utf-8", "surrogatepass") for t in each(b.column("t"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cut_out(texts, [[]] * len(texts))], ["doc_id", "text", "n_words", "n_removed"])
 
     schema = T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return own.join(ranges, ["d", "h"], "left").select("doc_id", "d", "h", "t", "ranges").mapInArrow(cut_out, schema)
+    out = dealt.groupBy("bucket").cogroup(patterns.groupBy("bucket")).applyInArrow(stream, schema)
+    return out.union(own.join(broadcast_below(has, BROADCAST_KEYS), key, "left_anti").select("doc_id", "t").mapInArrow(pass_on, schema))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
