@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHashes of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
 
-Only DataFrame functions. A window that is similar enough to an item shares whole shingles with it, so windows are laid out only where a shingle of the benchmark stands; each gets a SimHash of its shingles, window and item meet in a block of eight bits that differs in at most radius/8 bits, and candidates within the radius are verified by the weighted Jaccard similarity of their shingles, repeats counted.
+Only DataFrame functions. A window that is similar enough to an item shares whole shingles with it, so windows are laid out only where a shingle of the benchmark stands, for the items that hold it; each gets a SimHash of its shingles, a window and such an item meet in a block of eight bits that differs in at most radius/8 bits, and candidates within the radius are verified by the weighted Jaccard similarity of their shingles, repeats counted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_below, let, plain_words, saved, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Windows of similarity 0.8 differ from their item in about 10 of 64 bits, with a deviation of 3: the radius lies four deviations beyond.
+#: Windows of similarity 0.8 differ from their item in about 10 of 64 bits, with a deviation of 3: the radius lies four deviations beyond. A wider radius than that of its blocks alone would choose little by itself: eight bits with up to two flips let through 37 of 256 values; the items that a window meets come from its shingles.
 RADIUS, BLOCKS = 23, 8
 #: Rows up to which a side is sent to every task; beyond it the join shuffles. Benchmark grams take 24 bytes, block entries 40, seeded documents about 200.
 BROADCAST_GRAMS, BROADCAST_DOCS = 2_000_000, 100_000
@@ -60,37 +60,45 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, sim
     return best.select(*(key if keys else []), "doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.l").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
-def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int, long: bool) -> DataFrame:
-    """The similar windows for items of one k; long: items of more than 65535 words, which need wider counters and shingles counted in groups."""
+def candidates(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int, long: bool):
+    """(items, windows, pairs) for items of one k; long: items of more than 65535 words, which need wider counters. pairs: key, l, s, item within the radius."""
     items = entries.select("item_id", "item", "l", _rolling(F.col("_ws"), k).alias("sh"))
-    grams = items.select("l", F.explode("sh").alias("g")).distinct()
-    # Where shingles of the benchmark stand, by the lengths of the items that hold them. Of the m shingles of a similar window at least
+    grams = items.select("item", "l", F.explode("sh").alias("g")).distinct()
+    # Where shingles of the benchmark stand, with the items that hold them. Of the m shingles of a similar window at least
     # b = 2ms / (1 + s) are the item's, so the others part them into runs, the longest of at least b / (m - b + 1): looking at every stride-th place meets it.
     # A text shorter than the item is one window of w < m shingles, of which s(w + m) / (1 + s) are the item's: the least run over all w counts.
     m = F.size("sh")
     shared = lambda w: F.ceil((w + m) * F.lit(similarity) / (1 + similarity) - 1e-9)
     runs = F.transform(F.sequence(F.greatest(F.lit(1), F.ceil(m * similarity - 1e-9).cast("int")), m), lambda w: F.ceil(shared(w) / (w - shared(w) + 1)))
     stride = items.agg(F.min(F.array_min(runs)).alias("s")).first()["s"] or 1
-    places = own.select(*key, F.posexplode(_rolling(plain_words(F.col("text")), k, int(stride))).alias("p", "g"))
-    seeds = places.withColumn("p", F.col("p") * int(stride)).join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "l", "p")
-    seeds = saved(seeds.groupBy(*key).agg(F.collect_set(F.struct("l", "p")).alias("_seeds")), "op9-seeds", narrow=True)
+    with_size = let(plain_words(F.col("text")), lambda ws: F.transform(_rolling(ws, k, int(stride)), lambda g: F.struct(g.alias("g"), F.size(ws).alias("n"))))
+    places = own.select(*key, F.posexplode(with_size).alias("p", "_x")).select(*key, (F.col("p") * int(stride)).alias("p"), F.col("_x.g").alias("g"), F.col("_x.n").alias("n"))
+    seeds = places.join(broadcast_below(grams, BROADCAST_GRAMS), "g").select(*key, "item", "l", "p", "n")
+    seeds = saved(seeds.groupBy(*key).agg(F.max("n").alias("n"), F.collect_set(F.struct("item", "l", "p")).alias("_seeds")), "op9-seeds", narrow=True)
     # All windows of those lengths that cover one; the whole text where it is shorter, but has shingles enough to be similar.
-    starts = lambda x: F.when(x["l"] <= F.size("_roll") + k - 1, F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.greatest(F.lit(0), F.least(x["p"], F.size("_roll") + k - 1 - x["l"])))).otherwise(F.array(F.lit(0)))
-    fits = F.filter("_seeds", lambda x: F.size("_roll") >= (x["l"] - k + 1) * similarity - 1e-9)
-    laid = F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["l"].alias("l"), s.alias("s"))))))
+    starts = lambda x: F.when(x["l"] <= F.col("n"), F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.greatest(F.lit(0), F.least(x["p"], F.col("n") - x["l"])))).otherwise(F.array(F.lit(0)))
+    fits = F.filter("_seeds", lambda x: F.col("n") - k + 1 >= (x["l"] - k + 1) * similarity - 1e-9)
+    laid = lambda *cols: F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(*[x[c].alias(c) for c in cols], s.alias("s"))))))).alias("w")
     near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).dropDuplicates(key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
-    windows = near.select("doc_id", *key, "_roll", F.explode(laid).alias("w")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
+    windows = near.select("doc_id", *key, "_roll", laid("l")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
+    meant = seeds.select(*key, laid("item", "l")).select(*key, F.col("w.item").alias("item"), F.col("w.l").alias("l"), F.col("w.s").alias("s"))
     prints = simhashes(windows.select(*key, "l", "s", F.explode("sh").alias("g")), [*key, "l", "s"], 32 if long else 16)
-    of_items = simhashes(items.select("item", "l", F.explode("sh").alias("g")), ["item", "l"], 32 if long else 16).withColumnRenamed("fp", "item_fp")
+    of_items = simhashes(items.select("item", F.explode("sh").alias("g")), ["item"], 32 if long else 16).withColumnRenamed("fp", "item_fp")
     # Within the radius some block differs in at most radius // BLOCKS bits: the item's side is entered under every such value.
     width = 64 // BLOCKS
     flips = [sum(1 << b for b in c) for n in range(radius // BLOCKS + 1) for c in itertools.combinations(range(width), n)]
     block = lambda c, b: F.shiftrightunsigned(c, width * b).bitwiseAND((1 << width) - 1)
     blocks = lambda c: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(c, b).alias("v")) for b in range(BLOCKS)])).alias("e")
-    index = of_items.select("item", "l", "item_fp", blocks(F.col("item_fp"))).select("item", "l", "item_fp", F.col("e.b").alias("b"), F.explode(F.array(*[F.col("e.v").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("v"))
-    probes = prints.select(*key, "l", "s", "fp", blocks(F.col("fp"))).select(*key, "l", "s", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
-    pairs = probes.join(broadcast_below(index, BROADCAST_GRAMS), ["l", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "l", "s", "item").distinct()
+    index = of_items.select("item", "item_fp", blocks(F.col("item_fp"))).select("item", "item_fp", F.col("e.b").alias("b"), F.explode(F.array(*[F.col("e.v").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("v"))
+    probes = meant.join(prints, [*key, "l", "s"]).select(*key, "l", "s", "fp", "item", blocks(F.col("fp"))).select(*key, "l", "s", "fp", "item", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
+    pairs = probes.join(broadcast_below(index, BROADCAST_GRAMS), ["item", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "l", "s", "item").distinct()
+    return items, windows, pairs
+
+
+def _matches(own: DataFrame, key: list[str], entries: DataFrame, k: int, similarity: float, radius: int, long: bool) -> DataFrame:
+    """The similar windows for items of one k; long as for candidates."""
+    items, windows, pairs = candidates(own, key, entries, k, similarity, radius, long)
     shapes = items.select("item", "item_id", F.col("sh").alias("item_sh"))
     checked = pairs.join(windows, [*key, "l", "s"]).join(broadcast_below(shapes, BROADCAST_DOCS), "item")
     times = lambda a, g: F.size(F.filter(a, lambda y: y == g))

@@ -475,3 +475,53 @@ def test_running_sums(spark):
     for n in (0, 1, 31, 32, 33, 1024, 1025, 40_000):
         got = spark.range(1).select(running_sums(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i.cast("long"))).alias("x")).first().x
         assert got == np.cumsum(np.arange(n + 1)).tolist()
+
+
+def test_contamination_meets_few_of_many_items(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("bcdfgh") + str(rng.randrange(900)) for _ in range(30)) for _ in range(10_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) + " " + texts[i * 7] + " tail") for i in range(300)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    from marlstone.llm.common import plain_words
+
+    entries = items.select("item_id", plain_words(F.col("text")).alias("_ws"), F.lit(30).alias("l"), F.lit(5).alias("k"), F.col("item_id").alias("item"))
+    own = docs.select("doc_id", "text", *decontaminate.row_keys("doc_id", "text"))
+    _, windows, pairs = decontaminate.candidates(own, ["_key", "_key2"], entries, 5, 0.8, decontaminate.RADIUS, False)
+    assert 300 <= pairs.count() <= windows.count() < 300 * 60  # all pairs would be 10,000 a window
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items).collect()) == [(i, i * 7) for i in range(300)]
+
+
+def near_items(rng, sizes):
+    """Items, and a document for each with a window of it whose words were changed at the edges and inside, repeated shingles among them."""
+    items, docs = [], []
+    for i in range(1000):
+        n = rng.choice(sizes)
+        pool = [f"{rng.choice('abcdefgh')}{rng.randrange(40 if rng.random() < 0.7 else 2)}" for _ in range(n)]
+        ws = (pool[: max(5, n // 3)] * 3)[:n] if rng.random() < 0.2 else pool
+        near, n = list(ws), len(ws)
+        for _ in range(rng.randrange(1, max(2, n // 12) + 1)):
+            at = rng.choice([0, n - 1, rng.randrange(n)])
+            near[at] = f"new{rng.randrange(10**6)}"
+        cut = rng.randrange(2) if n > 8 else 0
+        items.append((i, " ".join(ws)))
+        docs.append((i, " ".join([f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(9))] + near[cut:] + [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(9))])))
+    return items, docs
+
+
+@pytest.mark.parametrize("sizes", [range(5, 16), range(16, 101)])
+def test_contamination_recall_near_the_threshold(spark, sizes):
+    """Against every item-sized window compared outright: similarities from 0.8 on, most below 0.9."""
+    import duckdb
+    import pandas as pd
+
+    items, docs = near_items(random.Random(len(sizes)), sizes)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = {(d, i): (s, round(j, 6)) for d, i, s, _, j in con.execute(decontaminate.sql()).fetchall()}
+    got = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 6)) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    close = [k for k, (_, j) in want.items() if j < 0.85]
+    print("pairs", len(want), "of 0.80 to 0.85", len(close), "found", len(want.keys() & got.keys()), "short", len(sizes))
+    assert len(want) > 60 and len(close) > 8 and want == {k: v for k, v in got.items() if k in want}
