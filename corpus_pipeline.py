@@ -11,7 +11,7 @@ from marlstone.llm.common import saved, shared_dir, table
 from marlstone.llm.decontaminate import contamination, row_keys
 from marlstone.llm.lines import dedup_lines
 from marlstone.llm.mixing import mix, word_count
-from marlstone.llm.shingles import keyed, near_copies
+from marlstone.llm.simhash import keyed, near_copies
 from marlstone.llm.toxicity import score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import corpus_pipeline as C
 from marlstone.llm import decontaminate, mixing, toxicity
 from oracle import norm
-from test_operators import DOCS, HARD, brute_fingerprint, brute_lines, grouped
+from test_operators import DOCS, HARD, brute_lines, grouped
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,10 +50,11 @@ def test_line_dedup(stages):
 
 
 def test_simhash(stages):
+    """Near duplicates on word shingles take five words and a similarity of 0.8."""
     out, _ = stages
     before = sorted(rows(out["line_dedup"]).values(), key=lambda r: r.doc_id)
-    fps = [brute_fingerprint(r.text) for r in before]
-    root = grouped(len(before), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    sets = [words_of(r.text) for r in before]
+    root = grouped(len(before), lambda i, j: near(sets[i], sets[j]))
     assert rows(out["simhash_near_dedup"]) == {r.doc_id: r for i, r in enumerate(before) if root[i] == i}
 
 
@@ -107,16 +108,16 @@ def near(a, b):
     return a == b or (a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9)
 
 
-@pytest.mark.parametrize("frequent", [1, 6])
-def test_near_copies_by_shingle_similarity(spark, frequent):
-    """Every pair of similarity 0.8 links, far beyond 2 bits of SimHash too; pairs below it do not."""
+@pytest.mark.parametrize("leaf_rows", [40, 65_536])
+def test_near_copies_by_shingle_similarity(spark, leaf_rows):
+    """Every pair of similarity 0.8 that lies within the radius links, and no pair below it; leaves of a few rows find the same."""
     import random
 
-    from marlstone.llm.shingles import near_copies
+    from marlstone.llm.simhash import NEAR_RADIUS, NEAR_WIDE, majority, near_copies, shingle_hashes
 
     rng = random.Random(5)
     texts = []
-    for _ in range(12):
+    for _ in range(40):
         base = [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(rng.choice([3, 30, 120, 400]))]
         for _ in range(8):
             t = list(base)
@@ -125,15 +126,30 @@ def test_near_copies_by_shingle_similarity(spark, frequent):
             texts.append(" ".join(t))
     texts += ["", None, "  "]
     sets = [words_of(t) for t in texts]
-    root = grouped(len(texts), lambda i, j: near(sets[i], sets[j]))
-    far = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and near(sets[i], sets[j]) and (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 2]
+    prints = [tuple(map(majority, shingle_hashes(t))) for t in texts]
+    apart = lambda i, j: [((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(prints[i], prints[j])]
+    found = lambda i, j: apart(i, j)[0] <= NEAR_RADIUS and sum(apart(i, j)) <= NEAR_WIDE
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and near(sets[i], sets[j])]
+    close = [found(i, j) for i, j in pairs if len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j])]
+    print("pairs", len(pairs), "found", sum(found(i, j) for i, j in pairs), "below 0.9", len(close), sum(close))
+    assert sum(found(i, j) for i, j in pairs) > 0.98 * len(pairs) and sum(apart(i, j)[0] > 2 for i, j in pairs) > 50
+    root = grouped(len(texts), lambda i, j: near(sets[i], sets[j]) and (not sets[i] or found(i, j)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r._d: r.first._d for r in near_copies(df, frequent=frequent).collect()}
-    assert far and got == dict(enumerate(root))
+    got = {r._d: r.first._d for r in near_copies(df, leaf_rows=leaf_rows).collect()}
+    assert got == dict(enumerate(root))
     kept = C.simhash_near_dedup(spark, df.selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "1L as n_chars"), SF)
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_near_copies_of_many_repeated_rows(spark):
+    from marlstone.llm.simhash import near_copies
+
+    base = [f"w{i}" for i in range(100)]
+    texts = [(None, " ".join(base))] * 50 + [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(1, 99)]
+    got = near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == 148 and {r.first._d for r in got} == {1}
+
+
 def test_rows_without_or_with_equal_ids_are_told_apart(spark):
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     other, third = "some clean words that stand in no benchmark at all", "and quite another text of clean words again here"
