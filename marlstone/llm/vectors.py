@@ -1,6 +1,6 @@
 """Embedding near-dedup: exact cosine links within a label by PCA-ordered tiled comparison.
 
-Vectors are normalised and rotated to the principal axes, so most of a product comes from the leading coordinates. Each label is cut into tiles along the first axis. A pair of tiles is compared only if the boxes of their leading coordinates come close enough for a link; inside, the leading products are accumulated first, the rest is bounded by the product of the suffix norms (Cauchy-Schwarz), and only pairs whose bound reaches the threshold are finished, with the original components in double precision.
+Vectors are normalised and rotated to the principal axes, so most of a product comes from the leading coordinates. Each label is cut into slabs along the first axis and these into tiles along the second. Tiles meet in the cells of a grid over both axes, as wide as a link reaches, and a pair is compared only if the boxes of their leading coordinates come close enough for a link; inside, the leading products are accumulated first, the rest is bounded by the product of the suffix norms (Cauchy-Schwarz), and only pairs whose bound reaches the threshold are finished, with the original components in double precision.
 """
 
 from __future__ import annotations
@@ -74,14 +74,15 @@ def _matrix(raw: bytes, d: int) -> np.ndarray:
 def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
-    Vectors link when their labels are equal and not null, they have the same length and their cosine in double precision is at least `threshold`. Null, empty, zero vectors and those with a null or non-finite component link with nothing, nor do rows without a label. Rows whose label and components are equal are compared once and counted each; copies are never expanded into pairs. A row with a null vec_id keeps component_id null, no links and kept false. vec_id is a key: rows that share one and differ in their components are pooled as one vertex.
+    Vectors link when their labels are equal and not null, they have the same length and their cosine in double precision is at least `threshold`. Null, empty, zero vectors and those with a null or non-finite component link with nothing, nor do rows without a label. Rows whose label and components are equal are compared once and counted each; copies are never expanded into pairs. A row with a null vec_id keeps component_id null, no links and kept false. Rows that share a vec_id and differ in their components are vectors of their own.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     good = own.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    # Copies collapse to their least id; a hot vector is combined before the shuffle.
-    reps = saved(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "op3-reps")
+    # Copies collapse to one class with a number of its own; a hot vector is combined before the shuffle.
+    name = lambda t: t.withColumns({"h1": F.xxhash64("label", "e"), "h2": F.xxhash64(F.lit(1), "e", "label")})
+    reps = saved(name(good.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))).withColumn("rep", F.monotonically_increasing_id()), "op3-reps")
     sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row per vector length
     parts = []
     for d, n_rows in sorted(sizes.items()):
@@ -100,11 +101,18 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     classes = (
-        reps.join(linked, "rep", "left")
+        reps.select("rep", "h1", "h2", "n", "least")
+        .join(linked, "rep", "left")
         .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     )
-    return own.join(classes, ["label", "e"], "left").select(
+    classes = saved(classes, "op3-classes", narrow=True)
+    smallest = saved(classes.groupBy("c").agg(F.min("least").alias("component_id")), "op3-smallest", narrow=True)
+    classes = saved(classes.join(smallest, "c").select("h1", "h2", "n_links", "component_id"), "op3-named", narrow=True)
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
+    # Rows without links anywhere are kept from meeting in one hash: each has its own.
+    keyed = name(own.withColumn("_ok", usable)).withColumns({c: F.when(F.col("_ok"), F.col(c)).otherwise(F.xxhash64(F.lit(c), "vec_id")) for c in ("h1", "h2")}).select("vec_id", "h1", "h2")
+    return keyed.join(classes, ["h1", "h2"], "left").select(
         "vec_id",
         F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
@@ -115,31 +123,36 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 def _links(reps: DataFrame, axes: np.ndarray, d: int, threshold: float, tile_rows: int) -> DataFrame:
     """(rep, links, root) by tile pair: links counts linked vectors, copies included; root is the least rep linked to within the pair."""
     box = min(BOX_DIMS, d)
+    reach2 = 2 - 2 * threshold + 1e-9
+    reach = math.sqrt(max(reach2, 1e-4))
 
     def blocks(batches):
         for pdf in batches:
-            for lab, g in pdf.groupby("label", sort=True):
+            for (lab, _), g in pdf.groupby(["label", "_slab"], sort=True):
                 x = np.array(g["e"].tolist(), dtype=float).reshape(len(g), d)
                 x /= np.abs(x).max(1, keepdims=True)  # before the norm, so that it can't overflow
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 p = x @ axes
-                o = np.argsort(p[:, 0], kind="stable")
+                o = np.argsort(p[:, min(1, d - 1)], kind="stable")
                 for at in range(0, len(o), tile_rows):
                     t = o[at : at + tile_rows]
                     lo, hi = p[t, :box].min(0), p[t, :box].max(0)
                     yield pd.DataFrame({"label": [lab], "tile": [int(g["rep"].iloc[t].min())], "ids": [g["rep"].to_numpy()[t].tobytes()], "n": [g["n"].to_numpy()[t].tobytes()], "x": [x[t].tobytes()], "lo": [lo.tolist()], "hi": [hi.tolist()]})
 
-    # Each label is range-sorted along the first axis, whatever its size: a hot one simply fills more partitions.
-    first = F.aggregate(F.zip_with("e", F.array(*[F.lit(float(v)) for v in axes[:, 0]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))
+    # Each label is range-sorted by slab and second axis, whatever its size: a hot one simply fills more partitions.
+    along = lambda k: F.aggregate(F.zip_with("e", F.array(*[F.lit(float(v)) for v in axes[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scale = F.array_max(F.transform("e", F.abs))  # before the norm, so that it can't overflow
+    norm = scale * F.sqrt(F.aggregate(F.transform("e", lambda v: v / scale), F.lit(0.0), lambda s, v: s + v * v))
     n = reps.count()
-    ordered = reps.withColumn("_p", first / norm).repartitionByRange(max(1, math.ceil(n / (tile_rows * 4))), "label", "_p").sortWithinPartitions("label", "_p").drop("_p")
+    ordered = reps.select("label", "e", "rep", "n", F.floor(along(0) / norm / reach).alias("_slab"), (along(min(1, d - 1)) / norm).alias("_p"))
+    ordered = ordered.repartitionByRange(max(1, math.ceil(n / (tile_rows * 4))), "label", "_slab", "_p").sortWithinPartitions("label", "_slab", "_p").drop("_p")
     tiles = saved(ordered.mapInPandas(blocks, "label string, tile long, ids binary, n binary, x binary, lo array<double>, hi array<double>"), "op3-tiles")
-    reach2 = 2 - 2 * threshold + 1e-9
-    heads = tiles.select("label", "tile", "lo", "hi")
-    b = heads.select("label", *[F.col(c).alias(f"{c}2") for c in ("tile", "lo", "hi")])
+    # Tiles that may link share a cell of the grid: one side enters the cells of its box, the other those within reach of it.
+    cells = lambda k, by: F.sequence(F.floor((F.get("lo", F.lit(k)) - by) / reach), F.floor((F.get("hi", F.lit(k)) + by) / reach))
+    entered = lambda by: tiles.select("label", "tile", "lo", "hi", F.explode(cells(0, by)).alias("c1")).select("label", "tile", "lo", "hi", "c1", F.explode(cells(min(1, d - 1), by)).alias("c2"))
+    b = entered(reach * (1 + 1e-9)).select("label", "c1", "c2", *[F.col(c).alias(f"{c}2") for c in ("tile", "lo", "hi")])
     gap2 = F.aggregate(F.zip_with(F.zip_with("lo", "hi2", lambda u, v: u - v), F.zip_with("lo2", "hi", lambda u, v: u - v), lambda u, v: F.greatest(u, v, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v * v)
-    near = heads.join(b, "label").where((F.col("tile") <= F.col("tile2")) & (gap2 <= reach2)).select("tile", "tile2")
+    near = saved(entered(0.0).join(b, ["label", "c1", "c2"]).where((F.col("tile") <= F.col("tile2")) & (gap2 <= reach2)).select("tile", "tile2").distinct(), "op3-near", narrow=True)
     right = tiles.select(*[F.col(c).alias(f"{c}2") for c in ("tile", "ids", "n", "x")])
     pairs = near.join(tiles.select("tile", "ids", "n", "x"), "tile").join(right, "tile2")
 
