@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. A folder of our own is set only where that is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. A folder of our own is set only where that is unset and the master is local, as in tests; on a cluster that would be a folder of one machine, so it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="marlstone-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -118,5 +120,5 @@ def hash_sample(df: DataFrame, by: list[str], rows: int, total: int) -> DataFram
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df, sent to every task if it has at most so many rows; beyond, a join shuffles both sides."""
+    """df, sent to every task if it has at most so many rows; beyond, a join shuffles both sides. df is counted, so it should be a written table or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

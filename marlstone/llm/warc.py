@@ -24,7 +24,7 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: The dictionary is trained on the heads of about so many records (never twice as many), chosen by hash.
+#: The dictionary is trained on the first SAMPLE_BYTES characters of about so many records (never twice as many), chosen by a hash of id and payload. It decides the size of the archives, never what they hold.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 600, 16_384, 64_000
 LEVEL = 3
 ARCHIVE_BYTES = 64 << 20
@@ -81,10 +81,27 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     return b"".join(samples)[-size:] or b"WARC/1.1\r\n"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with its scheme, as Spark resolves it: a path without one is in the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def uri(path: str) -> str:
+    """A path as Arrow names it: file:/a is file:///a, and s3a and s3n are s3."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return ("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest
+
+
 def _file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    path = uri(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -95,13 +112,15 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     spark = pages.sparkSession
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
-    first = own.where(F.octet_length("html") >= min_bytes).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    # Only rows of repeated payloads need the other side: lone payloads, the bulk, bring nothing to this join.
-    first = first.where("n > 1").drop("n")
-    heads = hash_sample(own, ["page_id", "url"], SAMPLE_RECORDS, own.count()).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("page_id", "url", "html").collect()
+    # One pass over the payloads gives what all else is decided by.
+    narrow = saved(own.select("page_id", digest.alias("digest"), F.octet_length("html").alias("bytes")), "op5-digests")
+    first = narrow.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # Only rows of repeated payloads need the other side: lone payloads, the bulk, bring nothing to this join. Written, so that a hot payload's partition can be split.
+    first = saved(first.where("n > 1").drop("n"), "op5-first", narrow=True)
+    heads = hash_sample(own, ["page_id", "html"], SAMPLE_RECORDS, narrow.count()).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("page_id", "url", "html").collect()
     dictionary = train_dictionary([record(0, r["url"], r["html"].encode("utf-8", "surrogatepass"), "", None) for r in heads])
     shared = spark.sparkContext.broadcast(dictionary)
-    base = folder.rstrip("/")
+    base = qualified(spark, folder.rstrip("/"))
 
     def write(batches):
         raw = shared.value
