@@ -22,6 +22,8 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 TOKEN = re.compile(r"[^\W_]+")
 #: The model is fitted on about so many labelled rows (never twice as many), chosen by hash; both labels get half, if there are enough. Everything else sees all rows.
 TRAIN_ROWS = 4000
+#: And on at most so many bytes of text, half for each label: rows are taken in the order of the hash while they fit.
+TRAIN_BYTES = 16_000_000
 MIN_DOCS = 4
 STEMS = (4, 5, 6, 7)
 
@@ -51,7 +53,6 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.base = float(np.log1p(np.exp(bias)))
         self.known: dict[str, float] = {}
 
     def word(self, w: str) -> float:
@@ -145,14 +146,29 @@ def held_out(doc_id: str | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options) -> Model:
-    """A model from rows of docs (doc_id, text) with a label toxic of 0 or 1, held-out rows (crc32 of the id as text, mod 5, is 0) left out; about `rows` of them."""
+def fitting(rows, budget: int) -> list[tuple]:
+    """Of rows (doc_id, mark, size, ...) those that fit the budget of bytes, taken in the order given; one that doesn't is passed over."""
+    out, spent = [], 0
+    for r in rows:
+        if spent + r[2] <= budget:
+            spent += r[2]
+            out.append((r[0], r[1]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, **options) -> Model:
+    """A model from rows of docs (doc_id, text) with a label toxic of 0 or 1, held-out rows (crc32 of the id as text, mod 5, is 0) left out; about `rows` of them and at most `most_bytes` bytes of text. Of rows that share an id one is taken, the one of least hash; an id with both labels counts for both."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", "toxic").distinct()
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # The bounded choice comes first, so only chosen rows' texts are joined.
+    # The bounded choice comes first: ids, then sizes, then the texts of those that fit.
     of = lambda label: hash_sample(known.where(F.col("toxic") == label), ["doc_id"], rows // 2, count.get(label, 0))
     chosen = of(1).union(of(0))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas().sort_values(["doc_id", "text"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "mark", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("mark", "size")).alias("m"))
+    sizes = sizes.select("doc_id", "m.mark", "m.size", "toxic", F.xxhash64(F.lit("order"), "doc_id").alias("place")).orderBy("place", "doc_id").collect()
+    picked = [(*r, label) for label in (0, 1) for r in fitting([x for x in sizes if x["toxic"] == label], most_bytes // 2)]
+    wanted = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, toxic int")
+    got = texts.join(F.broadcast(wanted), ["doc_id", "mark"]).dropDuplicates(["doc_id", "toxic"]).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
     return fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), **options)
 
 

@@ -525,3 +525,56 @@ def test_contamination_recall_near_the_threshold(spark, sizes):
     close = [k for k, (_, j) in want.items() if j < 0.85]
     print("pairs", len(want), "of 0.80 to 0.85", len(close), "found", len(want.keys() & got.keys()), "short", len(sizes))
     assert len(want) > 60 and len(close) > 8 and want == {k: v for k, v in got.items() if k in want}
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(2, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.001], 1), (4, [0.0, 1.0], 1), (5, [-0.0, 1.0], 1), (6, [0.0, 0.0], 1), (None, None, None)]
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(-1, 0, -1, False), (2, 1, 2, True), (2, 2, 2, True), (3, 1, 2, False), (4, 2, 2, False), (5, 2, 2, False), (6, 0, 6, True)]
+
+
+def test_archive_paths():
+    assert warc.uri("file:/a/b") == "file:///a/b" == warc.uri("file:///a/b") and warc.uri("/a/b") == "/a/b"
+    assert warc.uri("s3a://bucket/a") == "s3://bucket/a" and warc.uri("hdfs://n:8020/a") == "hdfs://n:8020/a"
+
+
+def plain_noisy_or(weights, bias, text):
+    """Score and the worst sentence's place, said outright: a sentence's logit sums the weights of its distinct words and their beginnings."""
+    safe, worst, at = 1.0, None, 0
+    pieces = re.split(r"([.!?\n]+)", (text or "").lower())
+    for k, piece in enumerate(pieces):
+        if k % 2 == 0 and piece.strip():
+            z = bias
+            for w in set(re.findall(r"[^\W_]+", piece)):
+                z += sum(weights.get(f, 0.0) for f in [w, *[w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n]])
+            safe *= 1 - 1 / (1 + math.exp(-z))
+            if worst is None or z > worst[0]:
+                worst = (z, at, at + len(piece))
+        at += len(piece)
+    return 1 - safe, worst and worst[1:]
+
+
+def test_toxicity_by_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        s, where = plain_noisy_or(model.weights, model.bias, r.text)
+        g = got[r.doc_id]
+        assert abs(g.score - s) < 1e-9 and ((g.worst_start, g.worst_end) == where if where else g.worst_start is None)
+
+
+def test_toxicity_training_is_bounded(spark):
+    assert toxicity.fitting([(1, 0, 5), (2, 0, 9), (3, 0, 4)], 10) == [(1, 0), (3, 0)]
+    docs = spark.createDataFrame([(i, ("you idiot. " if i % 2 else "a fine day. ") * (2 if i < 100 else 200_000)) for i in range(104)] + [(1, "other text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(104)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, most_bytes=20_000)
+    assert model.score("you idiot")[0] > 0.5 > model.score("a fine day")[0]
+
+
+def test_scores_and_groups_with_clashing_extra_columns(spark, hard):
+    renamed = hard.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id")
+    assert simhash.simhash_groups(renamed).count() == len(HARD)
+    model = toxicity.Model({"idiot": 9.0}, -4.0)
+    assert toxicity.score(hard.withColumnRenamed("lang", "score").withColumnRenamed("source", "_text2"), model, keep=["doc_id", "score"]).count() == len(HARD)
