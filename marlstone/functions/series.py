@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 
 
@@ -39,10 +41,7 @@ def recur(x, start: int, seed: float, k: float) -> np.ndarray:
     """Exponential smoothing with factor k: seed stands at `start`."""
     out = blank(len(x))
     if start < len(x):
-        value = out[start] = seed
-        for i in range(start + 1, len(x)):
-            value += k * (x[i] - value)
-            out[i] = value
+        out[start:] = list(accumulate(x[start + 1 :].tolist(), lambda value, v: value + k * (v - value), initial=float(seed)))
     return out
 
 
@@ -80,13 +79,11 @@ def kama(x, n, fast=2, slow=30):
     if len(x) <= n:
         return out
     low, high = 2 / (slow + 1), 2 / (fast + 1)
-    moves = np.abs(np.diff(x))
-    value = x[n - 1]
-    for i in range(n, len(x)):
-        path = moves[i - n : i].sum()
-        ratio = 1.0 if path == 0 else min(1.0, abs(x[i] - x[i - n]) / path)
-        value += (ratio * (high - low) + low) ** 2 * (x[i] - value)
-        out[i] = value
+    path = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(x)), n).sum(1)
+    ratio = np.where(path == 0, 1.0, np.minimum(1.0, np.abs(x[n:] - x[:-n]) / np.where(path == 0, 1.0, path)))
+    factor = (ratio * (high - low) + low) ** 2
+    steps = zip(x[n:].tolist(), factor.tolist())
+    out[n:] = list(accumulate(steps, lambda value, s: value + s[1] * (s[0] - value), initial=float(x[n - 1])))[1:]
     return out
 
 
@@ -106,10 +103,7 @@ def wilder_sum(x, n):
     if n == 1:
         return x.copy()
     if len(x) >= n - 1:
-        value = out[n - 2] = x[: n - 1].sum()
-        for i in range(n - 1, len(x)):
-            value += x[i] - value / n
-            out[i] = value
+        out[n - 2 :] = list(accumulate(x[n - 1 :].tolist(), lambda value, v: value + v - value / n, initial=float(x[: n - 1].sum())))
     return out
 
 
@@ -177,18 +171,11 @@ def rsi(x, n):
 def obv(close, volume):
     """Starts at the first volume. Here a gap in close counts: its row adds its volume, the row after it adds nothing."""
     out = blank(len(close))
-    total, started = 0.0, False
-    for i in range(len(close)):
-        v = volume[i]
-        if v != v:
-            if started:
-                out[i] = total
-            continue
-        if not started:
-            total, started = v, True
-        elif close[i] != close[i]:
-            total += v
-        elif close[i - 1] == close[i - 1]:
-            total += v * np.sign(close[i] - close[i - 1])
-        out[i] = total
+    there = ~np.isnan(volume)
+    if there.any():
+        start = int(there.argmax())
+        step = np.concatenate([[0.0], np.sign(np.diff(close))])
+        step = np.where(np.isnan(close), 1.0, np.where(np.isnan(step), 0.0, step))
+        step[start] = 1.0
+        out[start:] = np.cumsum(np.where(there, volume * step, 0.0)[start:])
     return out

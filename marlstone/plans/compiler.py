@@ -1,6 +1,6 @@
 """Compilation of a factor graph to a DataFrame plan.
 
-Row-wise nodes become expressions inside whatever uses them. Window nodes are computed in batches: all that are ready for the present partitioning (by code or by time) share one projection, and a family is exhausted before the other's turn, so the panel is shuffled once per change between code and time, however many operators there are. Kernels that are ready together share one grouped pass. Equal subtrees are computed once.
+Row-wise nodes become expressions inside whatever uses them. Window nodes are computed in batches: all that are ready for the present partitioning (by code or by time) share one projection, and a family is exhausted before the other's turn, so the panel is shuffled once per change between code and time, however many operators there are. Kernels that are ready together share one pass over partitions that are sorted by series (or section). Equal subtrees are computed once.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,7 +168,7 @@ class Compiler:
                 self.df = self.df.withColumns(made)
 
     def kernels(self, nodes: list[Node], family: str) -> None:
-        """One grouped pass for all nodes: each gets its columns as arrays in time (code) order, rows outside `on` left out."""
+        """One pass for all nodes over partitions sorted by key and order. Columns pass through as Arrow arrays; each kernel gets its inputs of a series (section) as arrays, rows outside `on` left out."""
         if not nodes:
             return
         inputs, placed, plans = {}, {}, []
@@ -187,33 +187,58 @@ class Compiler:
                 on = self.fresh()
                 inputs[on] = self.mask(node)
             plans.append((self.done[node], node.op.build, fields, on, {k: list(v) if isinstance(v, tuple) else v for k, v in node.params}))
-        df = self.df.withColumns(inputs)
         kept = [f for f in self.df.schema.fields]
         names = [f.name for f in kept]
+        key, order = KEY[family], "time" if family == "TS" else "code"
+        df = self.df.withColumns(inputs).repartition(key).sortWithinPartitions(key, order)
         schema = T.StructType([*kept, *[T.StructField(p[0], T.DoubleType()) for p in plans]])
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        numeric = {n for n in list(inputs) if isinstance(kinds[n], (T.NumericType, T.BooleanType))}
-        order, wanted = "time" if family == "TS" else "code", list(inputs)
-
-        def array(pdf, name):
-            return pdf[name].to_numpy(dtype=float, na_value=np.nan) if name in numeric else pdf[name].to_numpy(dtype=object)
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            columns = {c: array(pdf, c) for c in wanted}
-            made = {}
-            for name, build, fields, on, params in plans:
-                rows = slice(None) if on is None else columns[on] == 1
-                args = [[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields]
-                value = np.full(len(pdf), np.nan)
-                if on is None or rows.any():
-                    value[rows] = build(*args, **params)
-                missing = ~np.isfinite(value)
-                made[name] = pd.arrays.FloatingArray(np.where(missing, 0.0, value), missing)
-            out = pd.concat([pdf[names], pd.DataFrame(made, index=pdf.index)], axis=1)
-            return out
-
-        self.df = df.groupBy(KEY[family]).applyInPandas(one, schema)
+        wanted = list(inputs)
+
+        def array(table, name):
+            column, kind = table.column(name), kinds[name]
+            if isinstance(kind, T.BooleanType):
+                column = column.cast(pa.int8())
+            elif not isinstance(kind, T.NumericType):
+                return column.to_pandas().to_numpy(dtype=object)
+            return column.cast(pa.float64()).to_numpy()
+
+        def run(batches, ends):
+            """The batches as one, a series after another; ends: where each series ends."""
+            table = pa.Table.from_batches(batches)
+            columns = {c: array(table, c) for c in wanted}
+            made = [np.full(len(table), np.nan) for _ in plans]
+            for s, e in zip([0, *ends], ends):
+                for out, (_, build, fields, on, params) in zip(made, plans):
+                    rows = slice(s, e) if on is None else s + np.nonzero(columns[on][s:e] == 1)[0]
+                    if on is None or len(rows):
+                        out[rows] = build(*[[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields], **params)
+            values = [pa.array(x, mask=~np.isfinite(x)) for x in made]
+            return pa.Table.from_arrays([*[table.column(n) for n in names], *values], [*names, *[p[0] for p in plans]]).combine_chunks().to_batches()
+
+        def kernels(batches):
+            waiting, held, last = [], 0, None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                codes = b.column(key)
+                number = codes.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                cuts = np.nonzero(number[1:] != number[:-1])[0] + 1
+                if waiting and codes[0].as_py() != last:
+                    yield from run(waiting, [held])
+                    waiting, held = [], 0
+                if len(cuts):  # all series of the batch but the last one are whole
+                    whole = int(cuts[-1])
+                    yield from run([*waiting, b.slice(0, whole)], [held + int(c) for c in cuts])
+                    waiting, held = [], 0
+                    b = b.slice(whole)
+                waiting.append(b)
+                held += b.num_rows
+                last = codes[-1].as_py()
+            if waiting:
+                yield from run(waiting, [held])
+
+        self.df = df.mapInArrow(kernels, schema)
 
 
 def add_derivatives(panel: DataFrame, derivatives: dict[str, Node]) -> DataFrame:
