@@ -1,6 +1,6 @@
 """Substring dedup: every word inside a 35-word window that also starts elsewhere is removed.
 
-Three steps. (1) Confirm recurring passages. Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, and the windows of a text that share one are a stretch. Stretches are counted by anchor and digest, so all copies of a text, however many, are one row; of those that share an anchor with a different stretch the windows are counted by 128-bit digests. What recurs, merged where windows overlap, are the passages: one row a distinct stretch. (2) Compile them into Aho-Corasick automata, sharded by the documents that need them: a shard is a bucket of documents and each passage that may occur in one of them, once. (3) Stream the shard's documents, whole texts, through its automata, which locate every occurrence. A hot passage is in many shards, so no group of a hot phrase meets in one task.
+Three steps. (1) Confirm recurring passages. Every window picks an anchor, the 8-word gram in it of least hash; equal windows pick equal anchors, and the windows of a text that share one are a stretch. Stretches are counted by anchor and digest, so all copies of a text, however many, are one row; of those that share an anchor with a different stretch the windows are counted by anchor and digest, 128 bits. What recurs, merged where windows overlap, are the passages: one row a distinct stretch. (2) Compile them into Aho-Corasick automata, sharded by the documents that need them: a shard is a bucket of documents and each passage that may occur in one of them, once. (3) Stream the shard's documents, whole texts, through its automata, which locate every occurrence. A hot passage is in many shards, so no group of a hot phrase meets in one task.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from .common import broadcast_below, each, n_parts, saved, table
 
 WINDOW, GRAM = 35, 8
 #: Stretches to a shard, about.
-SHARD_ROWS = 5_000
+SHARD_ROWS = 20_000
 #: Keys of documents (24 bytes each) that are sent to every task; beyond it the texts are shuffled to find them.
 BROADCAST_KEYS = 1_000_000
 #: Words of patterns to one automaton; a node takes some 50 bytes.
-AUTOMATON_WORDS = 400_000
+AUTOMATON_WORDS = 1_000_000
 #: Rows that share id and text are spread over buckets by so many.
 REPEATS = 64
 NOBODY = (1 << 63) - 1
@@ -65,11 +65,10 @@ def anchors(ws: list[bytes], window: int = WINDOW, gram: int = GRAM):
     return g[pos[first]], own, first.astype(np.int32), last.astype(np.int32)
 
 
-def window_digests(ws: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests, as two longs, of all windows."""
-    raw = b"".join(xxhash.xxh3_128_digest(b" ".join(ws[s : s + window])) for s in range(len(ws) - window + 1))
-    two = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
-    return two[:, 0], two[:, 1]
+def window_digests(ws: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """64-bit digests, as longs, of all windows."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(b" ".join(ws[s : s + window])) for s in range(len(ws) - window + 1)), dtype=np.uint64).view(np.int64)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -173,7 +172,7 @@ def recurring_passages(docs: DataFrame, around: DataFrame, window: int = WINDOW)
     distinct = saved(around.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "a", "b")).alias("rep")), "op4-distinct")
     mixed = saved(distinct.groupBy("anchor").agg(F.count("*").alias("_k")).where("_k > 1").select("anchor", F.lit(True).alias("mixed")), "op4-mixed", narrow=True)
     flagged = distinct.join(mixed, "anchor", "left").select(*name, "n", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rep")
-    wanted = saved(flagged.groupBy("rep.d", "rep.h").agg(F.collect_list(F.struct("rep.a", "rep.b", *name, "n", "mixed")).alias("of")), "op4-wanted")
+    wanted = flagged.groupBy("rep.d", "rep.h").agg(F.collect_list(F.struct("rep.a", "rep.b", *name, "n", "mixed")).alias("of"))
 
     def read(batches):
         for b in batches:
@@ -185,9 +184,9 @@ def recurring_passages(docs: DataFrame, around: DataFrame, window: int = WINDOW)
     def windows(batches):
         for b in batches:
             for anchor, own, n, t in zip(b.column("anchor").to_pylist(), b.column("own").to_pylist(), b.column("n").to_pylist(), each(b.column("text"))):
-                lo, hi = window_digests(t.split(b" "), window)
-                k = len(lo)
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array([anchor] * k, pa.int64()), pa.array([own] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(np.arange(k), pa.int32())], ["w1", "w2", *name, "n", "s"])
+                w = window_digests(t.split(b" "), window)
+                k = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * k, pa.int64()), pa.array([own] * k, pa.int64()), pa.array(w), pa.array([n] * k, pa.int64()), pa.array(np.arange(k), pa.int32())], [*name, "w", "n", "s"])
 
     def passages(batches):
         for b in batches:
@@ -200,13 +199,14 @@ def recurring_passages(docs: DataFrame, around: DataFrame, window: int = WINDOW)
                     out.append([b" ".join(ws[x:y]) for x, y in merged((s, s + window) for s in starts)])
             yield pa.RecordBatch.from_arrays([anchor, own, pa.array(out, pa.list_(pa.binary()))], [*name, "passages"])
 
-    keys = broadcast_below(wanted.select("d", "h"), BROADCAST_KEYS)
+    keys = broadcast_below(saved(distinct.select("rep.d", "rep.h").distinct(), "op4-readers", narrow=True), BROADCAST_KEYS)
     texts = saved(docs.join(keys, ["d", "h"], "left_semi").join(wanted, ["d", "h"]).select("t", "of").mapInArrow(read, "anchor long, own long, n long, mixed boolean, text binary"), "op4-stretches")
-    wins = saved(texts.where("mixed").drop("mixed").mapInArrow(windows, "w1 long, w2 long, anchor long, own long, n long, s int"), "op4-windows")
-    again = saved(wins.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "op4-again")
-    starts = wins.join(again, ["w1", "w2"]).groupBy(*name).agg(F.collect_set("s").alias("starts"))
-    plain, found = texts.where("not mixed").select(*name, "text", F.lit(None).cast("array<int>").alias("starts")), texts.where("mixed").join(starts, name).select(*name, "text", "starts")
-    return saved(plain.union(found).mapInArrow(passages, "anchor long, own long, passages array<binary>"), "op4-passages")
+    # Equal windows have equal anchors, so anchor and digest name a window. All windows count; those of a stretch that stands twice recur anyway and need no answer.
+    wins = saved(texts.where("mixed").drop("mixed").mapInArrow(windows, "anchor long, own long, w long, n long, s int"), "op4-windows")
+    again = saved(wins.groupBy("anchor", "w").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "op4-again")
+    starts = wins.where("n = 1").select(*name, "w", "s").join(again, ["anchor", "w"]).groupBy(*name).agg(F.collect_set("s").alias("starts"))
+    plain, found = texts.where("not mixed or n > 1").select(*name, "text", F.lit(None).cast("array<int>").alias("starts")), texts.where("mixed and n = 1").join(starts, name).select(*name, "text", "starts")
+    return plain.union(found).mapInArrow(passages, "anchor long, own long, passages array<binary>")
 
 
 def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_rows: int = SHARD_ROWS, most_words: int = AUTOMATON_WORDS) -> DataFrame:
