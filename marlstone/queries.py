@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import series_sql
 from .query import execute_query
 
 SPAN = {"start_date": "1900-01-01", "end_date": "2199-12-31", "codes": []}
@@ -455,14 +456,29 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["filtered"] = filtered
 SQL["filtered"] = f"with {SERIES_SQL}, r as (select time, code, x, x / nullif(lag(x) over (partition by code order by time), 0) - 1 as rise from panel) select time, code, round(x + {NUDGE}, 6) + 0.0 as x, round(rise + {NUDGE}, 6) + 0.0 as rise, true as up from r where rise > 0"
 
-# Recursive ones have no plain SQL; tests hold them against worked examples.
-for _name, _cases in {
-    "ts_recursive_averages": [_case(f"talib.{k}", "c", "", time_period=5) for k in ("ema", "dema", "tema", "kama", "t3", "rsi", "trix")]
-    + [_case("talib.ma", "c", "", time_period=5, ma_type=2), _case("talib.apo", "c", "", fast_period=3, slow_period=6), _case("talib.ppo", "c", "", fast_period=3, slow_period=6), _case("talib.macd", "c", "", fast_period=3, slow_period=6, signal_period=3), _case("talib.bBands", "c", "", time_period=5, output="upper")],
-    "ts_recursive_ranges": [_case(f"talib.{k}", "h l c", "", time_period=5) for k in ("atr", "natr", "adx", "adxr", "dx", "plus_di", "minus_di")] + [_case(f"talib.{k}", "h l", "", time_period=5) for k in ("plus_dm", "minus_dm")] + [_case("talib.obv", "c v", "")],
-    "ts_weighted": [_case(f"unary.ewm_{k}", "x", "", span=5.0) for k in ("mean", "std", "var")] + [_case(f"binary.ewm_{k}", "x y", "", alpha=0.3) for k in ("cov", "corr")],
-}.items():
-    _register(_name, series_panel, _group("TS", _cases)[0], None, "", "")
+# Recursive ones are folds over a code's list of values.
+for _name, _cases, (_ctes, _table) in (
+    (
+        "ts_recursive_averages",
+        [_case(f"talib.{k}", "c", k, time_period=5) for k in ("ema", "dema", "tema", "kama", "t3", "rsi", "trix")]
+        + [_case("talib.ma", "c", "ma", time_period=5, ma_type=2), _case("talib.apo", "c", "apo", fast_period=3, slow_period=6), _case("talib.ppo", "c", "ppo", fast_period=3, slow_period=6), _case("talib.macd", "c", "macd", fast_period=3, slow_period=6, signal_period=3), _case("talib.bBands", "c", "bBands", time_period=5, output="upper")],
+        series_sql.averages(5, 3, 6, 3, 0.7),
+    ),
+    ("ts_recursive_ranges", [_case(f"talib.{k}", "h l c", k, time_period=5) for k in ("atr", "natr", "adx", "adxr", "dx", "plus_di", "minus_di")] + [_case(f"talib.{k}", "h l", k, time_period=5) for k in ("plus_dm", "minus_dm")] + [_case("talib.obv", "c v", "obv")], series_sql.ranges(5)),
+    ("ts_weighted", [_case(f"unary.ewm_{k}", "x", f"ewm_{k}", span=5.0) for k in ("mean", "std", "var")] + [_case(f"binary.ewm_{k}", "x y", f"ewm_{k}", alpha=0.3) for k in ("cov", "corr")], series_sql.weighted(5.0, 0.3)),
+):
+    _register(_name, series_panel, *_group("TS", _cases), SERIES_SQL, "", ctes=_ctes, table=_table)
 _d, _s = _group("TS", [_case("unary.expanding_rank", "x", "case when x is not null then len(list_filter(list(x) over p, lambda q: q < x)) + 1 end"), _case("unary.expanding_rank_pct", "x", "case when x is not null then len(list_filter(list(x) over p, lambda q: q <= x)) / count(x) over p end", ties_method="max")])
 _register("ts_expanding_ranks", series_panel, _d, _s, SERIES_SQL, WINDOWS)
-_register("cs_neutral", section_panel, {"by_group": node("CS", "controls.neutralize_by", {"target": "x", "controls": ["g"]}, {"intercept": True}), "by_number": node("CS", "controls.neutralize_by", {"target": "x", "controls": ["c"]}, {"intercept": True}), "score": node("CS", "unary.rank_normal", {"col": "x"})}, None, "", "")
+_register(
+    "cs_neutral",
+    section_panel,
+    {"by_group": node("CS", "controls.neutralize_by", {"target": "x", "controls": ["g"]}, {"intercept": True}), "by_number": node("CS", "controls.neutralize_by", {"target": "x", "controls": ["v"]}, {"intercept": True}), "score": node("CS", "unary.rank_normal", {"col": "x"})},
+    {
+        "by_group": "case when count(x) over t <= len(list_distinct(list(g) filter (x is not null) over t)) then x - avg(x) over t else x - avg(x) over tg end",
+        "by_number": "case when count(x) over t <= 2 or var_pop(case when x is not null then v end) over t = 0 then x - avg(x) over t else x - regr_intercept(x, v) over t - regr_slope(x, v) over t * v end",
+        "score": series_sql.inverse_normal("((rank() over (partition by time, x is null order by x) + (count(*) over (partition by time, x) - 1) / 2.0 - 0.5) / count(x) over t)").join(["case when x is not null then ", " end"]),
+    },
+    SECTION_SQL,
+    SECTIONS,
+)
