@@ -15,8 +15,8 @@ from .common import broadcast_below, let, plain_words, saved, table
 SHINGLE, SIMILARITY = 5, 0.8
 #: Windows of similarity 0.8 differ from their item in about 10 of 64 bits, with a deviation of 3: the radius lies four deviations beyond. A wider radius than that of its blocks alone would choose little by itself: eight bits with up to two flips let through 37 of 256 values; the items that a window meets come from its shingles.
 RADIUS, BLOCKS = 23, 8
-#: Rows up to which a side is sent to every task; beyond it the join shuffles. Benchmark grams take 24 bytes, block entries 40, seeded documents about 200.
-BROADCAST_GRAMS, BROADCAST_DOCS = 2_000_000, 100_000
+#: Rows up to which a side is sent to every task; beyond it the join shuffles. Benchmark grams take 24 bytes, block entries 40, items about 200. Seeds (16 bytes each) are counted one by one, for a document may have many.
+BROADCAST_GRAMS, BROADCAST_DOCS, BROADCAST_SEEDS = 2_000_000, 100_000, 1_000_000
 
 
 def _rolling(ws: Column, k: int, stride: int = 1) -> Column:
@@ -79,7 +79,8 @@ def candidates(own: DataFrame, key: list[str], entries: DataFrame, k: int, simil
     starts = lambda x: F.when(x["l"] <= F.col("n"), F.sequence(F.greatest(F.lit(0), x["p"] - x["l"] + k), F.greatest(F.lit(0), F.least(x["p"], F.col("n") - x["l"])))).otherwise(F.array(F.lit(0)))
     fits = F.filter("_seeds", lambda x: F.col("n") - k + 1 >= (x["l"] - k + 1) * similarity - 1e-9)
     laid = lambda *cols: F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(*[x[c].alias(c) for c in cols], s.alias("s"))))))).alias("w")
-    near = own.join(broadcast_below(seeds, BROADCAST_DOCS), key).dropDuplicates(key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
+    few = (seeds.agg(F.sum(F.size("_seeds"))).first()[0] or 0) <= BROADCAST_SEEDS
+    near = own.join(F.broadcast(seeds) if few else seeds, key).dropDuplicates(key).withColumn("_roll", _rolling(plain_words(F.col("text")), k))
     windows = near.select("doc_id", *key, "_roll", laid("l")).select("doc_id", *key, F.col("w.l").alias("l"), F.col("w.s").alias("s"), F.slice("_roll", F.col("w.s") + 1, F.col("w.l") - k + 1).alias("sh"))
     windows = saved(windows, "op9-windows")
     meant = seeds.select(*key, laid("item", "l")).select(*key, F.col("w.item").alias("item"), F.col("w.l").alias("l"), F.col("w.s").alias("s"))
