@@ -9,11 +9,12 @@ from .apps import workers
 from .apps.backtest import build_messages, exchange_code, run_backtest
 from .apps.factor import analyze_factors
 from .apps.optimize import analyze_sensitivity, optimize_backtest
-from .queries import NUDGE, SECTION_SQL, _rounded, node, section_panel
+from .queries import NUDGE, SECTION_SQL, SPAN, _rounded, node, section_panel
 from .query import execute_query
 from .sources.panel import latest
 
-SPAN = {"start_date": "2024-01-03", "end_date": "2024-01-28", "codes": []}
+# The source's dates are a feature of panel_source; all else takes every day.
+PANEL_SPAN = {"start_date": "2024-01-03", "end_date": "2024-01-28", "codes": []}
 _r = lambda e, n: f"round(({e})::double + {NUDGE}, 6) + 0.0 as {n}"
 _in_span = "time >= timestamp '2024-01-03' and time < timestamp '2024-01-29'"
 
@@ -27,7 +28,7 @@ def panel_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = section_panel(spark, sf_dir)
     wide = p.select("time", "code", F.when(F.col("v") % 4 != 0, F.col("c")).alias("close"), F.when(F.col("v") % 3 == 0, F.col("x")).alias("roe_ttm"), F.when(F.col("v") % 5 == 0, F.col("y")).alias("weight_A"), F.when(F.col("v") % 6 == 0, F.lit(1.0)).alias("is_st"))
     long = wide.unpivot(["time", "code"], ["close", "roe_ttm", "weight_A", "is_st"], "factor", "value").where("value is not null")
-    out = execute_query(SPAN | {"lookback": "2D", "factors": ["close", "roe_ttm", "weight_A", "is_st", "absent"]}, long).data
+    out = execute_query(PANEL_SPAN | {"lookback": "2D", "factors": ["close", "roe_ttm", "weight_A", "is_st", "absent"]}, long).data
     return _shape(out, "close", "roe_ttm", "weight_A", "is_st", "absent")
 
 
@@ -44,7 +45,6 @@ select time, code, {_r('close', 'close')}, {_r('roe_ttm', 'roe_ttm')}, {_r('weig
 FACTORS = {
     "dataset_query": SPAN
     | {
-        "lookback": "2D",
         "derivatives": {
             "size": node("DIRECT", "unary.get", {"col": "v"}),
             "f": node("DIRECT", "unary.get", {"col": "x"}),
@@ -79,9 +79,9 @@ def factor_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AVERAGE_RANK = "case when f is not null and ret is not null then (rank() over (partition by time, f is null or ret is null order by {c}) + rank() over (partition by time, f is null or ret is null order by {c} desc) * -1 + count(*) over (partition by time, f is null or ret is null) + 1) / 2.0 end"
-IC_SQL = f"""with {SECTION_SQL}, d as (select time, x as f, y as ret from panel where {_in_span}), k as (select *, {_AVERAGE_RANK.format(c='f')} as rf, {_AVERAGE_RANK.format(c='ret')} as rr from d)
+IC_SQL = f"""with {SECTION_SQL}, d as (select time, x as f, y as ret from panel), k as (select *, {_AVERAGE_RANK.format(c='f')} as rf, {_AVERAGE_RANK.format(c='ret')} as rr from d)
 select time, {_r('corr(f, ret)', 'f_ret_ic')}, {_r('corr(rf, rr)', 'f_ret_rank_ic')} from k group by time"""
-GROUPS_SQL = f"""with {SECTION_SQL}, d as (select time, y as ret, v, case when x is not null then floor((rank() over (partition by time, x is null order by x) - 1) * 3 / count(x) over (partition by time)) end as g from panel where {_in_span})
+GROUPS_SQL = f"""with {SECTION_SQL}, d as (select time, y as ret, v, case when x is not null then floor((rank() over (partition by time, x is null order by x) - 1) * 3 / count(x) over (partition by time)) end as g from panel)
 select time, {", ".join(_r(f"case when sum(v) filter (g = {g}) > 0 then sum(v * ret) filter (g = {g}) / sum(v) filter (g = {g}) end", f"f_ret_group{g}") for g in range(3))} from d group by time"""
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from ..plans.request import parse_date
 from ..plans.spec import RequestError
 from .backtest import BacktestRequest, Prepared, check_config, prepare_backtest, summary
-from .search import ALGORITHMS, Grid, search
+from .search import ALGORITHMS, Grid, steps, together
 
 MAX_COMBINATIONS, MAX_CASES = 100_000, 100
 
@@ -119,7 +119,7 @@ RESULT = "time date, window_net_value double, daily_return double, path_net_valu
 def optimize_backtest(request: Any, long: DataFrame | None = None, panel: DataFrame | None = None) -> DataFrame:
     """Per algorithm and repetition the chained out-of-sample path: in each window parameters are chosen by training Sharpe ratio and then held.
 
-    Training scores are cached by (window, candidate) over all algorithms. The whole data span is prepared once; all holding runs of a request form one parallel job.
+    Training scores are cached by (window, candidate) over all algorithms. The whole data span is prepared once. All searches advance in rounds: what they propose in a round is one parallel job, and so are all holding runs.
     """
     r = OptimizationRequest.parse(request)
     prepared = prepare_backtest(r.backtest, long, panel).cache()
@@ -135,18 +135,18 @@ def _optimize(r: OptimizationRequest, prepared: Prepared) -> DataFrame:
     def run_params(index: int) -> dict:
         return b.params | r.grid.params(index)
 
-    def train(window: Window, index: int) -> float | None:
-        if (window.number, index) not in scores:
-            days, error = _net_values(prepared.run_many([{"run": 0, "params": run_params(index), "start": window.training_start, "end": window.training_end}])).get(0, ([], "no result"))
+    def score(asked: list) -> dict:
+        new = list(dict.fromkeys((k[2], i) for k, i in asked if (k[2].number, i) not in scores))
+        got = _net_values(prepared.run_many([{"run": n, "params": run_params(i), "start": w.training_start, "end": w.training_end} for n, (w, i) in enumerate(new)])) if new else {}
+        for n, (w, i) in enumerate(new):
+            days, error = got.get(n, ([], "no result"))
             values = np.array([d[1] for d in days], dtype=float)
-            scores[window.number, index] = None if error or not len(values) else summary(values, b.annual_trading_days, b.risk_free_rate)["sharpeRatio"]
-        return scores[window.number, index]
-
-    chosen = {}
-    for a, name in enumerate(r.algorithms):
-        for rep in range(1, r.repetitions + 1):
-            for w in r.windows:
-                chosen[name, rep, w] = search(name, r.grid, lambda i, w=w: train(w, i), r.budget, r.seed + 1_000_003 * a + 1009 * rep + w.number)
+            scores[w.number, i] = None if error or not len(values) else summary(values, b.annual_trading_days, b.risk_free_rate)["sharpeRatio"]
+        return {(k, i): scores[k[2].number, i] for k, i in asked}
+
+    searches = {(name, rep, w): steps(name, r.grid, r.budget, r.seed + 1_000_003 * a + 1009 * rep + w.number) for a, name in enumerate(r.algorithms) for rep in range(1, r.repetitions + 1) for w in r.windows}
+    found = together(searches, score)
+    chosen = {k: found[k] for k in searches}
     plan = list(chosen)
     held = _net_values(prepared.run_many([{"run": n, "params": run_params(chosen[k].selected_index), "start": k[2].holding_start, "end": k[2].holding_end} for n, k in enumerate(plan)]))
     rows, paths = [], {}

@@ -6,7 +6,7 @@ Each algorithm is a generator of proposals: it is sent what is known so far and
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -342,18 +342,18 @@ class Selection:
     score: float
 
 
-def search(name: str, grid: Grid, evaluate: Callable[[int], float | None], budget: int, seed: int) -> Selection:
-    """Runs one algorithm: `budget` different candidates at most, the first drawn at random. Ties go to the earlier; candidates without a score rank last. evaluate may keep a cache of its own."""
+def steps(name: str, grid: Grid, budget: int, seed: int) -> Generator[int, float | None, Selection]:
+    """One algorithm as a generator: yields a candidate, is sent its score, returns the selection. `budget` different candidates at most, the first drawn at random. Ties go to the earlier; candidates without a score rank last."""
     rng = np.random.default_rng(seed)
     known = Known([], [])
 
-    def take(i: int) -> None:
-        s = evaluate(i)
+    def take(i: int):
+        s = yield i
         known.indices.append(i)
         known.scores.append(-math.inf if s is None or not math.isfinite(s) else float(s))
 
     first = _any(grid, rng)
-    take(first)
+    yield from take(first)
     proposals, idle = ALGORITHMS[name](grid, known, rng, budget), 0
     while len(known.indices) < min(budget, grid.size):
         i = next(proposals)
@@ -366,5 +366,25 @@ def search(name: str, grid: Grid, evaluate: Callable[[int], float | None], budge
                 continue
             i = left[int(rng.integers(len(left)))]
         idle = 0
-        take(i)
+        yield from take(i)
     return Selection(first, known.best(), tuple(known.indices), max(known.scores))
+
+
+def together(searches: dict, evaluate: Callable[[list], dict]) -> dict:
+    """Selections of many searches (key: generator of steps), a round at a time: evaluate gets all (key, candidate) that wait and returns their scores."""
+    out, waiting = {}, {k: next(g) for k, g in searches.items()}
+    while waiting:
+        scores = evaluate(list(waiting.items()))
+        following = {}
+        for k, i in waiting.items():
+            try:
+                following[k] = searches[k].send(scores[k, i])
+            except StopIteration as end:
+                out[k] = end.value
+        waiting = following
+    return out
+
+
+def search(name: str, grid: Grid, evaluate: Callable[[int], float | None], budget: int, seed: int) -> Selection:
+    """Runs one algorithm by itself. evaluate may keep a cache of its own."""
+    return together({0: steps(name, grid, budget, seed)}, lambda asked: {(k, i): evaluate(i) for k, i in asked})[0]

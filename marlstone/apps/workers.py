@@ -43,10 +43,11 @@ def suspended_flag(names: DataFrame, days: DataFrame) -> DataFrame:
     return hit.select(F.col("day").cast("timestamp_ntz").alias("time"), F.col("ts_code").alias("code"), F.lit("is_st").alias("factor"), F.lit(1.0).alias("value")).distinct()
 
 
-def index_weights(df: DataFrame, index: str) -> DataFrame:
-    """Members of an index (index_code, con_code, trade_date, weight) as the factor weight_<INDEX>, dots left out."""
-    rows = df.where(F.col("index_code") == index)
-    return clean_long(rows.select(F.to_timestamp_ntz("trade_date", F.lit("yyyyMMdd")).alias("time"), F.col("con_code").alias("code"), F.lit("weight_" + index.replace(".", "")).alias("factor"), F.col("weight").cast("double").alias("value")))
+def index_weights(df: DataFrame, index: str | None = None) -> DataFrame:
+    """Members of indices (index_code, con_code, trade_date, weight) as factors weight_<INDEX>, dots left out: one factor an index_code, or that of `index` alone."""
+    rows = df.where(F.col("index_code") == index if index else F.col("index_code").isNotNull())
+    name = F.concat(F.lit("weight_"), F.replace("index_code", F.lit("."), F.lit("")))
+    return clean_long(rows.select(F.to_timestamp_ntz("trade_date", F.lit("yyyyMMdd")).alias("time"), F.col("con_code").alias("code"), name.alias("factor"), F.col("weight").cast("double").alias("value")))
 
 
 def first_reports(df: DataFrame, announced: str = "f_ann_date", period: str = "end_date", code: str = "ts_code", tie: str | None = None) -> DataFrame:
@@ -154,7 +155,7 @@ WORKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "cashflow": lambda df: _reports(df, True),
     "fina-indicator": lambda df: _reports(df, False, "ann_date"),
     "dividend": clean_dividends,
-    "index-weight": lambda df: index_weights(df, df.select("index_code").first()[0]),
+    "index-weight": index_weights,
 }
 _KEYS = ("ts_code", "end_date", "f_ann_date", "ann_date", "end_type", "report_type", "comp_type")
 

@@ -331,3 +331,32 @@ def test_query_equals_sql(spark, name):
         assert not differences and n
     else:
         assert df.count() > 0
+
+
+def test_index_weights_of_several_indices(spark):
+    rows = [("000300.SH", "a", "20240102", 1.5), ("000905.SH", "a", "20240102", 0.5), ("000905.SH", "b", "20240102", 0.25), (None, "c", "20240102", 1.0)]
+    df = spark.createDataFrame(rows, "index_code string, con_code string, trade_date string, weight double")
+    got = sorted((r.code, r.factor, r.value) for r in K.WORKERS["index-weight"](df).collect())
+    assert got == [("a", "weight_000300SH", 1.5), ("a", "weight_000905SH", 0.5), ("b", "weight_000905SH", 0.25)]
+
+
+def test_searches_advance_in_rounds():
+    grid = S.Grid({"a": list(range(30)), "b": [0, 1, 2]})
+    names, rounds = list(S.ALGORITHMS), []
+    score = lambda i: -abs(i - 40.0)
+
+    def evaluate(asked):
+        rounds.append(len(asked))
+        return {(k, i): score(i) for k, i in asked}
+
+    found = S.together({n: S.steps(n, grid, 12, 3) for n in names}, evaluate)
+    assert len(rounds) == 12 and rounds[0] == len(names)
+    assert all(found[n] == S.search(n, grid, score, 12, 3) for n in names)
+
+
+def test_callbacks_left_out_do_nothing_and_engine_statistics(spark):
+
+    request = Q._backtest_request([]) | {"callbacks": {"onSnapshot": Q._TREND, "onBar": None}}
+    r = Q.run_backtest(request, panel=Q._small_limits(Q.market_panel(spark, "/root/testdata/sf0.001")))
+    stat = {x.name: x.value for x in r.engine_stat.collect()}
+    assert r.error is None and stat["trades"] == r.trade_details.count() and stat["orders"] == stat["trades"] + stat["rejected"] == r.orders.count() and stat["snapshots"] == 2 * stat["days"] > 0
