@@ -11,6 +11,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,8 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     sizes = sizes.select("doc_id", "m.mark", "m.size", "toxic", F.xxhash64(F.lit("order"), "doc_id").alias("place")).orderBy("place", "doc_id").collect()
     picked = [(*r, label) for label in (0, 1) for r in fitting([x for x in sizes if x["toxic"] == label], most_bytes // 2)]
     wanted = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, toxic int")
-    got = texts.join(F.broadcast(wanted), ["doc_id", "mark"]).dropDuplicates(["doc_id", "toxic"]).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
-    return fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), **options)
+    rows_ = texts.join(F.broadcast(wanted), ["doc_id", "mark"]).dropDuplicates(["doc_id", "toxic"]).select(F.col("doc_id").cast("string").alias("id"), "text", "toxic")
+
+    def learn(batches):
+        """The bounded sample in one task, which spares the driver the memory; the weights come back."""
+        parts = [b.to_pandas() for b in batches]
+        got = pd.concat(parts).sort_values(["id", "toxic", "text"]) if parts else pd.DataFrame({"text": [], "toxic": []})
+        model = fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), **options)
+        names = sorted(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *names], pa.string()), pa.array([model.bias, *[model.weights[n] for n in names]], pa.float64())], ["name", "weight"])
+
+    learned = {r["name"]: r["weight"] for r in rows_.coalesce(1).mapInArrow(learn, "name string, weight double").collect()}
+    bias = learned.pop("", -60.0)
+    return Model(learned, bias)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
