@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words by ASCII white space; bytes.split() in Python splits at the same six characters.
@@ -106,6 +107,17 @@ def match_starts(pieces: Column, matches: Column) -> Column:
     return running_sums(F.transform(matches, lambda m, i: (F.char_length(F.get(pieces, i)) + F.when(i > 0, F.char_length(F.get(matches, i - 1))).otherwise(0)).cast("long")))
 
 
+def ordered_sums(df: DataFrame, order: list[str], values: list[str], tag: str) -> DataFrame:
+    """df with _before_<v> for each of values: its sum over the rows that come before in the order, from a range sort and the partitions' sums. Only one row a partition meets in one task."""
+    placed = saved(df.repartitionByRange(n_parts(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), tag)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_all_{v}") for v in values]).select("_part", *[zero(F.sum(f"_all_{v}").over(before)).alias(f"_upto_{v}") for v in values])
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = placed.withColumns({f"_before_{v}": zero(F.sum(v).over(within)) for v in values}).join(F.broadcast(parts), "_part")
+    return out.withColumns({f"_before_{v}": F.col(f"_before_{v}") + F.col(f"_upto_{v}") for v in values}).drop("_part", *[f"_upto_{v}" for v in values])
+
+
 def each(column):
     """The values of an Arrow column one by one: a batch of long texts is never held twice."""
     return (v.as_py() for v in column)

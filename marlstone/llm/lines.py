@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, n_parts, saved, table
+from .common import let, ordered_sums, saved, table
 
 #: A run is at least so many consecutive lines of a document; a line of at least MIN_CHARS characters is one by itself.
 MIN_LINES, MIN_CHARS = 2, 40
@@ -39,11 +39,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def suffix_ranks(keys: DataFrame, cols: list[str]) -> DataFrame:
     """keys (distinct cols, n) with `place`: 1 + the members of all smaller keys, which is their place in the suffix array, from the partition sums of a range sort."""
-    ordered = saved(keys.repartitionByRange(n_parts(keys.sparkSession), *cols).withColumn("_part", F.spark_partition_id()), "op10-order")
-    sums = ordered.groupBy("_part").agg(F.sum("n").alias("_n"))  # one row a partition
-    before = sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = F.coalesce(F.sum("n").over(W.partitionBy("_part").orderBy(*cols).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ordered.withColumn("_local", local).join(F.broadcast(before), "_part").select(*cols, (F.col("_before") + F.col("_local") + 1).alias("place"))
+    return ordered_sums(keys, cols, ["n"], "op10-order").select(*cols, (F.col("_before_n") + 1).alias("place"))
 
 
 def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:

@@ -578,3 +578,13 @@ def test_scores_and_groups_with_clashing_extra_columns(spark, hard):
     assert simhash.simhash_groups(renamed).count() == len(HARD)
     model = toxicity.Model({"idiot": 9.0}, -4.0)
     assert toxicity.score(hard.withColumnRenamed("lang", "score").withColumnRenamed("source", "_text2"), model, keep=["doc_id", "score"]).count() == len(HARD)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = [(i * 7919) % 100_003 for i in range(20_000)]
+    df = spark.createDataFrame([(f"host{i:05d}", s) for i, s in enumerate(sizes)] + [(None, 5)], "source string, source_size long")
+    from pyspark.sql import functions as F
+
+    got = [r.target for r in mixing.targets(df).orderBy(F.col("source").asc_nulls_last()).collect()]
+    want = water_fill([*sizes, 5], [(1, 2, 3)[i % 3] for i in range(len(sizes) + 1)], 3)
+    assert got == pytest.approx(want)
