@@ -122,11 +122,7 @@ def optimize_backtest(request: Any, long: DataFrame | None = None, panel: DataFr
     Training scores are cached by (window, candidate) over all algorithms. The whole data span is prepared once. All searches advance in rounds: what they propose in a round is one parallel job, and so are all holding runs.
     """
     r = OptimizationRequest.parse(request)
-    prepared = prepare_backtest(r.backtest, long, panel).cache()
-    try:
-        return _optimize(r, prepared)
-    finally:
-        prepared.close()
+    return _optimize(r, prepare_backtest(r.backtest, long, panel))
 
 
 def _optimize(r: OptimizationRequest, prepared: Prepared) -> DataFrame:
