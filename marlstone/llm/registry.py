@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, passages, secrets, simhash, toxicity, vectors, warc
+from . import bpe, decontaminate, licenses, lines, mixing, passages, resample, search, secrets, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_lexical_search": search.op11_lexical_search,
+    "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_bpe": bpe.op13_bpe,
 }
-SQL = secrets.SQL | licenses.SQL | vectors.SQL | passages.SQL | warc.SQL | mixing.SQL | decontaminate.SQL | lines.SQL
+SQL = secrets.SQL | licenses.SQL | vectors.SQL | passages.SQL | warc.SQL | mixing.SQL | decontaminate.SQL | lines.SQL | search.SQL | resample.SQL
