@@ -198,8 +198,8 @@ def test_decode_of_any_ids(spark, tokenizer):
 
 
 def test_words_of_every_known_character(spark, tokenizer):
-    """The JVM's classes agree with the library's on each character that the JVM knows; texts with others go to the library."""
-    points = spark.range(0x110000).where("not id between 55296 and 57343").select(F.col("id").cast("int").alias("c"))
+    """The JVM's classes agree with the library's on each character that the JVM knows; texts with others go to the library. U+FEFF, which UTF-32 would drop as a mark here, is among ODD."""
+    points = spark.range(0x110000).where("not id between 55296 and 57343 and id <> 65279").select(F.col("id").cast("int").alias("c"))
     as_text = F.expr("decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')")
     texts = points.select("c", as_text.alias("x")).where(~F.col("x").rlike(bpe.UNKNOWN))
     split = texts.select("c", *[F.size(bpe.split_words(F.concat(F.lit(p), "x"), [])).alias(n) for p, n in (("a", "letter"), ("1", "digit"), ("!", "other"))]).toPandas()
