@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions.columns import correlation, finite_or_null, safe_div
+from ..functions import windows
+from ..functions.columns import safe_div
 from ..plans.spec import Choice, Float, Int, RequestError, operator
-from .time_series import weighted
+from .time_series import rising_mean
 
 
 def _d(c):
@@ -23,10 +24,6 @@ def period(least=1):
     return {"time_period": Int(ge=least)}
 
 
-def _full(f, valid, n, value):
-    return F.when(F.count(valid).over(f.rows(n)) == n, value)
-
-
 def _all(*cols):
     good = cols[0].isNotNull()
     for c in cols[1:]:
@@ -71,57 +68,85 @@ _lagged("rocp", lambda x, y: safe_div(x, y) - 1)
 _lagged("rocr", safe_div)
 _lagged("rocr100", lambda x, y: 100 * safe_div(x, y))
 
-# Windows.
-_ta("sma", params=period())(lambda f, col, time_period: _full(f, col, time_period, F.avg(_d(col)).over(f.rows(time_period))))
-_ta("stddev", params=period(2) | {"nbdev": Float(1.0, gt=0)})(lambda f, col, time_period, nbdev: _full(f, col, time_period, F.stddev_pop(_d(col)).over(f.rows(time_period)) * nbdev))
-_ta("var", params=period() | {"nbdev": Float(1.0, gt=0)})(lambda f, col, time_period, nbdev: _full(f, col, time_period, F.var_pop(_d(col)).over(f.rows(time_period))))
-_ta("midPoint", params=period(2))(lambda f, col, time_period: _full(f, col, time_period, (F.max(_d(col)).over(f.rows(time_period)) + F.min(_d(col)).over(f.rows(time_period))) / 2))
-_ta("midPrice", "high low", params=period(2))(lambda f, h, l, time_period: _full(f, _all(h, l), time_period, (F.max(_d(h)).over(f.rows(time_period)) + F.min(_d(l)).over(f.rows(time_period))) / 2))
-_ta("correl", "high low", params=period())(lambda f, h, l, time_period: _full(f, _all(h, l), time_period, correlation(h, l, lambda c: c.over(f.rows(time_period)))))
 
+# Windows: kernels over all series of a pass, by functions whose time doesn't depend on the window.
+def _window(name, fields="col", params=None):
+    """A kernel g(rows, n, series..., other parameters) for windows of time_period rows, NULL where one of the series lacks a value in the window."""
+
+    def enter(g):
+        def build(rows, *x, time_period, **more):
+            good = ~np.isnan(np.vstack(x)).any(0)
+            return np.where(windows.counts(rows, good, time_period) == time_period, g(rows, time_period, *x, **more), np.nan)
+
+        build.__doc__ = g.__doc__
+        return _ta(name, fields, joint=True, params=params or period())(build)
+
+    return enter
+
+
+def _middle(top, bottom):
+    return (top + bottom) / 2
 
-@_ta("willr", "high low close", params=period(2))
-def willr(f, high, low, close, time_period):
-    w = f.rows(time_period)
-    top, bottom = F.max(_d(high)).over(w), F.min(_d(low)).over(w)
-    return _full(f, _all(high, low, close), time_period, F.when(top == bottom, 0.0).otherwise(-100 * safe_div(top - _d(close), top - bottom)))
 
+_window("sma")(lambda rows, n, x: windows.moments(rows, x, n, 1)[1])
+_window("stddev", params=period(2) | {"nbdev": Float(1.0, gt=0)})(lambda rows, n, x, nbdev: np.sqrt(windows.moments(rows, x, n)[2] / n) * nbdev)
+_window("var", params=period() | {"nbdev": Float(1.0, gt=0)})(lambda rows, n, x, nbdev: windows.moments(rows, x, n)[2] / n)
+_window("midPoint", params=period(2))(lambda rows, n, x: _middle(windows.largest(rows, x, n), windows.smallest(rows, x, n)))
+_window("midPrice", "high low", params=period(2))(lambda rows, n, h, l: _middle(windows.largest(rows, h, n), windows.smallest(rows, l, n)))
 
-def _weighting(name, weight):
-    def build(f, col, time_period):
-        mean, rows = yield from weighted(f, col, time_period, lambda i: weight(i, time_period))
-        return _full(f, col, time_period, mean)
 
-    _ta(name, params=period())(build)
+@_window("correl", "high low")
+def correl(rows, n, x, y):
+    _, _, _, xx, yy, xy = windows.pairs(rows, x, y, n)
+    return np.where((xx > 0) & (yy > 0), xy / np.sqrt(xx * yy), np.nan)
 
 
-_weighting("wma", lambda i, n: i + 1)
-_weighting("trima", lambda i, n: F.least(i + 1, n - i))
+@_window("willr", "high low close", params=period(2))
+def willr(rows, n, high, low, close):
+    top, bottom = windows.largest(rows, high, n), windows.smallest(rows, low, n)
+    return np.where(top == bottom, 0.0, -100 * (top - close) / (top - bottom))
+
+
+_window("wma")(lambda rows, n, x: rising_mean(rows, x, n))
+
+
+@_window("trima")
+def trima(rows, n, x):
+    """A mean of means: the weights of the two lengths fold to a triangle."""
+    k = n - n // 2
+    first = np.where(windows.counts(rows, ~np.isnan(x), k) == k, windows.moments(rows, x, k, 1)[1], np.nan)
+    return windows.moments(rows, first, n // 2 + 1, 1)[1]
 
 
 def _regression(name, value):
-    def build(f, col, time_period):
-        row = yield F.row_number().over(f.series()).cast("double")
-        w = f.rows(time_period)
-        slope, intercept = F.regr_slope(_d(col), row).over(w), F.regr_intercept(_d(col), row).over(w)
-        return _full(f, col, time_period, value(slope, intercept, row, time_period))
+    def build(rows, n, x):
+        _, at, mean, xx, _, xy = windows.pairs(rows, rows.at.astype(float), x, n)
+        slope = xy / xx
+        return value(slope, lambda row: mean + slope * (row - at), rows.at, n)
 
-    _ta(name, params=period(2))(build)
+    _window(name, params=period(2))(build)
 
 
-_regression("linearreg", lambda b, a, row, n: a + b * row)
-_regression("linearreg_slope", lambda b, a, row, n: b)
-_regression("linearreg_intercept", lambda b, a, row, n: a + b * (row - n + 1))
-_regression("linearreg_angle", lambda b, a, row, n: F.degrees(F.atan(b)))
-_regression("tsf", lambda b, a, row, n: a + b * (row + 1))
+_regression("linearreg", lambda slope, line, row, n: line(row))
+_regression("linearreg_slope", lambda slope, line, row, n: slope)
+_regression("linearreg_intercept", lambda slope, line, row, n: line(row - n + 1))
+_regression("linearreg_angle", lambda slope, line, row, n: np.degrees(np.arctan(slope)))
+_regression("tsf", lambda slope, line, row, n: line(row + 1))
 
 
-@_ta("beta", "high low", params=period())
-def beta(f, high, low, time_period):
+def _before(rows, x):
+    """Each series' values one row later."""
+    out = np.append(np.nan, x[:-1]) if len(x) else x
+    out[rows.starts[rows.starts < rows.ends]] = np.nan
+    return out
+
+
+@_ta("beta", "high low", joint=True, params=period())
+def beta(rows, high, low, time_period):
     """Slope of the second series' returns on the first's."""
-    x = yield safe_div(_d(high), F.lag(_d(high)).over(f.series())) - 1
-    y = yield safe_div(_d(low), F.lag(_d(low)).over(f.series())) - 1
-    return _full(f, _all(x, y), time_period, finite_or_null(F.regr_slope(y, x).over(f.rows(time_period))))
+    x, y = (np.where(b != 0, a / b, np.nan) - 1 for a, b in ((s, _before(rows, s)) for s in (high, low)))
+    n, _, _, xx, _, xy = windows.pairs(rows, x, y, time_period)
+    return np.where((n == time_period) & (xx > 0), xy / xx, np.nan)
 
 
 @_ta("ad", "high low close volume")
@@ -138,45 +163,41 @@ def trange(f, high, low, close):
     return F.when(good.isNotNull(), F.greatest(_d(high), before) - F.least(_d(low), before))
 
 
-def _since(f, high, low, n):
-    """Row of the latest highest high, of the latest lowest low, and this row."""
-    row = yield F.row_number().over(f.series())
-    w = f.between(-n, 0)
-    top = F.max_by(row, F.when(high.isNotNull(), F.struct(high, row))).over(w)
-    bottom = F.min_by(row, F.when(low.isNotNull(), F.struct(low, -row))).over(w)
-    full = F.count(_all(high, low)).over(w) == n + 1
-    return top, bottom, row, full
+def _since(rows, high, low, n):
+    """Row of the latest highest high and of the latest lowest low of n + 1 rows, and where all of them stand."""
+    top, bottom = windows.place_of(rows, high, n + 1, True, earliest=False), windows.place_of(rows, low, n + 1, False, earliest=False)
+    return top, bottom, windows.counts(rows, ~np.isnan(high) & ~np.isnan(low), n + 1) == n + 1
 
 
-@_ta("aroon", "high low", params=period(2) | {"output": Choice("down", "up", default="up")})
-def aroon(f, high, low, time_period, output):
-    top, bottom, row, full = yield from _since(f, high, low, time_period)
-    return F.when(full, 100 * (time_period - (row - (top if output == "up" else bottom))) / time_period)
+@_ta("aroon", "high low", joint=True, params=period(2) | {"output": Choice("down", "up", default="up")})
+def aroon(rows, high, low, time_period, output):
+    top, bottom, full = _since(rows, high, low, time_period)
+    return np.where(full, 100 * (time_period - (rows.at - (top if output == "up" else bottom))) / time_period, np.nan)
 
 
-@_ta("aroonOsc", "high low", params=period(2))
-def aroon_osc(f, high, low, time_period):
-    top, bottom, _, full = yield from _since(f, high, low, time_period)
-    return F.when(full, 100 * (top - bottom) / time_period)
+@_ta("aroonOsc", "high low", joint=True, params=period(2))
+def aroon_osc(rows, high, low, time_period):
+    top, bottom, full = _since(rows, high, low, time_period)
+    return np.where(full, 100 * (top - bottom) / time_period, np.nan)
 
 
-@_ta("cci", "high low close", params=period(2))
-def cci(f, high, low, close, time_period):
-    price = yield (_d(high) + _d(low) + _d(close)) / 3
-    mean = yield F.avg(price).over(f.rows(time_period))
-    rows = yield F.collect_list(price).over(f.rows(time_period))
-    far = F.aggregate(rows, F.lit(0.0), lambda s, x: s + F.abs(x - mean)) / time_period
-    return F.when(F.size(rows) == time_period, F.when(far == 0, 0.0).otherwise(safe_div(price - mean, 0.015 * far)))
+@_window("cci", "high low close", params=period(2))
+def cci(rows, n, high, low, close):
+    """Distance from the mean in mean distances from it."""
+    price = (high + low + close) / 3
+    mean = windows.moments(rows, price, n, 1)[1]
+    far = windows.mean_distance(rows, price, n, mean)
+    return np.where(far == 0, 0.0, (price - mean) / (0.015 * far))
 
 
-@_ta("mfi", "high low close volume", params=period(2))
-def mfi(f, high, low, close, volume, time_period):
-    price = yield (_d(high) + _d(low) + _d(close)) / 3
-    step = yield F.signum(price - F.lag(price).over(f.series()))
-    flow = price * _d(volume)
-    w = f.rows(time_period)
-    up, every = F.sum(F.when(step > 0, flow).otherwise(0.0)).over(w), F.sum(F.when(step != 0, flow).otherwise(0.0)).over(w)
-    return _full(f, _all(step, volume), time_period, F.when(every < 1, 0.0).otherwise(100 * safe_div(up, every)))
+@_ta("mfi", "high low close volume", joint=True, params=period(2))
+def mfi(rows, high, low, close, volume, time_period):
+    price = (high + low + close) / 3
+    step = np.sign(price - _before(rows, price))
+    flow = price * volume
+    up, every = (windows.sums(rows, np.where(s, flow, 0.0), time_period) for s in (step > 0, (step > 0) | (step < 0)))
+    full = windows.counts(rows, ~np.isnan(step) & ~np.isnan(volume), time_period) == time_period
+    return np.where(full, np.where(every < 1, 0.0, 100 * up / every), np.nan)
 
 
 def _rising(p):
@@ -184,15 +205,18 @@ def _rising(p):
         raise RequestError("the periods must increase")
 
 
-@_ta("ultOsc", "high low close", rule=_rising, params={"period1": Int(7, ge=1), "period2": Int(14, ge=2), "period3": Int(28, ge=3)})
-def ult_osc(f, high, low, close, period1, period2, period3):
-    before = yield F.lag(_d(close)).over(f.series())
-    good = _all(high, low, close, before)
-    floor = F.least(_d(low), before)
-    pressure = yield F.when(good.isNotNull(), _d(close) - floor)
-    reach = yield F.when(good.isNotNull(), F.greatest(_d(high), before) - floor)
-    part = lambda n: safe_div(F.sum(pressure).over(f.rows(n)), F.sum(reach).over(f.rows(n)))
-    return _full(f, pressure, period3, 100 * (4 * part(period1) + 2 * part(period2) + part(period3)) / 7)
+@_ta("ultOsc", "high low close", joint=True, rule=_rising, params={"period1": Int(7, ge=1), "period2": Int(14, ge=2), "period3": Int(28, ge=3)})
+def ult_osc(rows, high, low, close, period1, period2, period3):
+    before = _before(rows, close)
+    good = ~np.isnan(high + low + close + before)
+    floor = np.minimum(low, before)
+    pressure, reach = np.where(good, close - floor, np.nan), np.where(good, np.maximum(high, before) - floor, np.nan)
+
+    def part(n):
+        below = windows.sums(rows, reach, n)
+        return np.where(below != 0, windows.sums(rows, pressure, n) / below, np.nan)
+
+    return np.where(windows.counts(rows, good, period3) == period3, 100 * (4 * part(period1) + 2 * part(period2) + part(period3)) / 7, np.nan)
 
 
 # Recursive ones.

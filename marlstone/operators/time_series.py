@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import windows
 from ..functions.columns import correlation, finite_or_null, safe_div
 from ..plans.spec import Bool, Choice, Float, Int, RequestError, operator
 
@@ -46,8 +45,8 @@ def _least(window, min_periods):
     return window if min_periods is None else min_periods
 
 
-# One definition serves the rolling and the expanding form of an aggregate.
-_ONE = {
+# Expanding forms: Spark carries these aggregates from row to row.
+_SO_FAR = {
     "mean": lambda c, w: F.avg(_d(c)).over(w),
     "sum": lambda c, w: F.sum(_d(c)).over(w),
     "min": lambda c, w: F.min(c).over(w),
@@ -57,35 +56,118 @@ _ONE = {
     "std": lambda c, w: F.stddev_samp(_d(c)).over(w),
     "var": lambda c, w: F.var_samp(_d(c)).over(w),
     "sem": lambda c, w: F.stddev_samp(_d(c)).over(w) / F.sqrt(F.count(c).over(w)),
-    "median": lambda c, w: F.percentile(_d(c), F.lit(0.5)).over(w),
-    "skew": lambda c, w: finite_or_null(F.when(F.count(c).over(w) == 2, 0.0).otherwise(F.skewness(_d(c)).over(w))),
-    "kurt": lambda c, w: F.when(F.count(c).over(w) >= 3, finite_or_null(F.kurtosis(_d(c)).over(w)) + 3),
-    "first": lambda c, w: F.first(c).over(w),
-    "last": lambda c, w: c,
-    "zscore": lambda c, w: safe_div(_d(c) - F.avg(_d(c)).over(w), F.stddev_samp(_d(c)).over(w)),
 }
-for _name in ("mean", "sum", "min", "max", "prod", "count", "std", "var", "sem", "median", "skew", "kurt", "first", "last", "zscore"):
-    _rolling(f"unary.rolling_{_name}")(lambda f, col, window, min_periods, g=_ONE[_name]: _guard(f.rows(window), col, _least(window, min_periods), g(col, f.rows(window))))
 for _name in ("count", "max", "mean", "min", "prod", "sum"):
-    _expanding(f"unary.cum_{_name}")(lambda f, col, min_periods, g=_ONE[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
-for _name in ("median", "sem", "std", "var"):
-    _expanding(f"unary.expanding_{_name}")(lambda f, col, min_periods, g=_ONE[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
-
-Q = {"q": Float(ge=0, le=1)}
-_rolling("unary.rolling_quantile", params=Q)(lambda f, col, window, min_periods, q: _guard(f.rows(window), col, _least(window, min_periods), F.percentile(_d(col), F.lit(q)).over(f.rows(window))))
-_expanding("unary.expanding_quantile", params=Q)(lambda f, col, min_periods, q: _guard(f.past(), col, min_periods, F.percentile(_d(col), F.lit(q)).over(f.past())))
+    _expanding(f"unary.cum_{_name}")(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
+for _name in ("sem", "std", "var"):
+    _expanding(f"unary.expanding_{_name}")(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
 
-_TWO = {
+_EXPANDING_TWO = {
     "beta": lambda x, y, w: finite_or_null(F.regr_slope(_d(y), _d(x)).over(w)),
-    "alpha": lambda x, y, w: finite_or_null(F.regr_intercept(_d(y), _d(x)).over(w)),
     "corr": lambda x, y, w: correlation(x, y, lambda c: c.over(w)),
     "cov": lambda x, y, w: F.covar_samp(_d(x), _d(y)).over(w),
-    "residual": lambda x, y, w: finite_or_null(_d(y) - F.regr_intercept(_d(y), _d(x)).over(w) - F.regr_slope(_d(y), _d(x)).over(w) * _d(x)),
 }
-for _name in _TWO:
-    _rolling(f"binary.rolling_{_name}", "left right")(lambda f, left, right, window, min_periods, g=_TWO[_name]: _guard(f.rows(window), _both(left, right), _least(window, min_periods), g(left, right, f.rows(window))))
-for _name in ("beta", "corr", "cov"):
-    _expanding(f"binary.expanding_{_name}", "left right")(lambda f, left, right, min_periods, g=_TWO[_name]: _guard(f.past(), _both(left, right), min_periods, g(left, right, f.past())))
+for _name, _g in _EXPANDING_TWO.items():
+    _expanding(f"binary.expanding_{_name}", "left right")(lambda f, left, right, min_periods, g=_g: _guard(f.past(), _both(left, right), min_periods, g(left, right, f.past())))
+
+
+# Rolling forms would make Spark go through every row's frame anew. They are kernels over all series of a pass, whose time doesn't depend on the window.
+def _moment(value, order=2):
+    return lambda rows, x, w: value(x, *windows.moments(rows, x, w, order))
+
+
+def _root(x):
+    return np.sqrt(np.where(x >= 0, x, np.nan))
+
+
+def _sample(n, total):
+    return np.where(n > 1, total / (n - 1), np.nan)
+
+
+def _skew(x, n, mean, m2, m3):
+    """Two values have no skew; equal ones have none that is defined."""
+    return np.where(n == 2, 0.0, np.where(m2 > 0, np.sqrt(n) * m3 / m2**1.5, np.nan))
+
+
+def _extreme(g):
+    return lambda rows, x, w: np.where(np.isfinite(v := g(rows, x, w)), v, np.nan)
+
+
+_WINDOW_ONE = {
+    "mean": _moment(lambda x, n, mean: mean, 1),
+    "sum": windows.sums,
+    "min": _extreme(windows.smallest),
+    "max": _extreme(windows.largest),
+    "prod": windows.products,
+    "count": lambda rows, x, w: windows.counts(rows, ~np.isnan(x), w).astype(float),
+    "std": _moment(lambda x, n, mean, m2: _root(_sample(n, m2))),
+    "var": _moment(lambda x, n, mean, m2: _sample(n, m2)),
+    "sem": _moment(lambda x, n, mean, m2: _root(_sample(n, m2)) / np.sqrt(n)),
+    "zscore": _moment(lambda x, n, mean, m2: np.where(m2 > 0, (x - mean) / _root(_sample(n, m2)), np.nan)),
+    "skew": _moment(_skew, 3),
+    "kurt": _moment(lambda x, n, mean, m2, m3, m4: np.where((n >= 3) & (m2 > 0), n * m4 / m2**2, np.nan), 4),
+    "median": lambda rows, x, w: _quantile(rows, x, w, 0.5),
+}
+
+
+def _quantile(rows, x, w, q):
+    values, left, right = windows.valid_ranges(rows, x, w)
+    return windows.Ordered(values).quantile(left, right, q)
+
+
+def _enough(rows, good, window, min_periods, value):
+    return np.where(windows.counts(rows, good, window) >= _least(window, min_periods), value, np.nan)
+
+
+for _name, _g in _WINDOW_ONE.items():
+    _rolling(f"unary.rolling_{_name}", joint=True)(lambda rows, x, window, min_periods, g=_g: _enough(rows, ~np.isnan(x), window, min_periods, g(rows, x, window)))
+Q = {"q": Float(ge=0, le=1)}
+_rolling("unary.rolling_quantile", joint=True, params=Q)(lambda rows, x, window, min_periods, q: _enough(rows, ~np.isnan(x), window, min_periods, _quantile(rows, x, window, q)))
+
+
+def _expanding_quantile(rows, x, min_periods, q=0.5):
+    values, left, right = windows.valid_ranges(rows, x, None)
+    return np.where(right - left >= min_periods, windows.Ordered(values).quantile(left, right, q), np.nan)
+
+
+_expanding("unary.expanding_median", joint=True)(_expanding_quantile)
+_expanding("unary.expanding_quantile", joint=True, params=Q)(_expanding_quantile)
+
+
+@_rolling("unary.rolling_last")
+def rolling_last(f, col, window, min_periods):
+    """The value at the row itself."""
+    seen = yield F.count(col).over(f.past())
+    return F.when(_within(f, seen, window) >= _least(window, min_periods), col)
+
+
+@_rolling("unary.rolling_first")
+def rolling_first(f, col, window, min_periods):
+    """The value at the window's first row, NULL or not."""
+    row = yield _row(f)
+    seen = yield F.count(col).over(f.past())
+    first = F.when(row >= window, F.lag(col, window - 1).over(f.series())).otherwise(F.first(col).over(f.past()))
+    return F.when(_within(f, seen, window) >= _least(window, min_periods), first)
+
+
+def _within(f, seen, window):
+    """How many of a window's rows count, from the numbers so far."""
+    return seen - F.coalesce(F.lag(seen, window).over(f.series()), F.lit(0))
+
+
+def _beta(n, mx, my, xx, yy, xy):
+    return np.where(xx > 0, xy / xx, np.nan)
+
+
+_WINDOW_TWO = {
+    "beta": lambda x, y, *m: _beta(*m),
+    "alpha": lambda x, y, *m: m[2] - _beta(*m) * m[1],
+    "corr": lambda x, y, n, mx, my, xx, yy, xy: np.where((xx > 0) & (yy > 0), xy / np.sqrt(xx * yy), np.nan),
+    "cov": lambda x, y, n, mx, my, xx, yy, xy: _sample(n, xy),
+    "residual": lambda x, y, *m: y - m[2] - _beta(*m) * (x - m[1]),
+}
+for _name, _g in _WINDOW_TWO.items():
+    _rolling(f"binary.rolling_{_name}", "left right", joint=True)(lambda rows, x, y, window, min_periods, g=_g: _enough(rows, ~np.isnan(x) & ~np.isnan(y), window, min_periods, g(x, y, *windows.pairs(rows, x, y, window))))
 
 
 def _crossing(above):
@@ -135,20 +217,18 @@ def consecutive_count(f, col):
     return F.sum(F.when(col, 1).otherwise(0)).over(f.past(isle))
 
 
-def weighted(f, col, window, weight):
-    """Window mean of col with the weight of each place (0 the oldest), NULLs left out: (mean, rows in the window)."""
-    rows = yield F.collect_list(F.struct(_d(col).alias("v"))).over(f.rows(window))
-    total = lambda g: F.aggregate(F.transform(rows, g), F.lit(0.0), lambda s, x: s + x)
-    top = total(lambda x, i: F.coalesce(x["v"] * weight(i), F.lit(0.0)))
-    below = total(lambda x, i: F.when(x["v"].isNotNull(), _d(weight(i))).otherwise(0.0))
-    return safe_div(top, below), F.size(rows)
+def rising_mean(rows, x, window):
+    """Window mean with weights 1, 2, ... from the window's first row on, missing values left out: by the mean row, the mean value and their central product."""
+    n, at, mean, _, _, both = windows.pairs(rows, rows.at.astype(float), x, window)
+    weight = at - rows.since(window) + 1
+    return np.where(n > 0, mean + both / np.where(n > 0, n * weight, 1), np.nan)
 
 
-@_rolling("unary.decay_linear")
-def decay_linear(f, col, window, min_periods):
+@_rolling("unary.decay_linear", joint=True)
+def decay_linear(rows, x, window, min_periods):
     """Weights 1..window, the newest heaviest; only full windows count."""
-    mean, rows = yield from weighted(f, col, window, lambda i: i + 1)
-    return F.when((rows == window) & (F.count(col).over(f.rows(window)) >= _least(window, min_periods)), mean)
+    full = rows.at - rows.since(window) + 1 == window
+    return np.where(full, _enough(rows, ~np.isnan(x), window, min_periods, rising_mean(rows, x, window)), np.nan)
 
 
 PERIODS = {"periods": Int(1, ge=1)}
@@ -158,98 +238,105 @@ _ts("pct_change", params=PERIODS)(lambda f, col, periods: safe_div(_d(col), F.la
 _ts("shift", params={"periods": Int(1)})(lambda f, col, periods: F.lag(col, periods).over(f.series()))
 
 
-def _trues(f, col, window):
-    return F.sum(F.coalesce(col, F.lit(False)).cast("int")).over(f.rows(window))
+def _flags(f, col, window):
+    """(rows, values, true values) of each window, from the numbers so far; whole numbers, so a difference is exact."""
+    row = yield _row(f)
+    seen = yield F.count(col).over(f.past())
+    true = yield F.count(F.when(col, 1)).over(f.past())
+    return F.least(row, F.lit(window)), _within(f, seen, window), _within(f, true, window)
 
 
 @_rolling("unary.rolling_all", output="BOOL")
 def rolling_all(f, col, window, min_periods):
     """False below min_periods."""
-    n = F.count(col).over(f.rows(window))
-    return F.coalesce((n >= _least(window, min_periods)) & (_trues(f, col, window) == n), F.lit(False))
+    _, n, true = yield from _flags(f, col, window)
+    return F.coalesce((n >= _least(window, min_periods)) & (true == n), F.lit(False))
 
 
 @_rolling("unary.rolling_any", output="BOOL")
 def rolling_any(f, col, window, min_periods):
     """False below min_periods."""
-    n = F.count(col).over(f.rows(window))
-    return F.coalesce((n >= _least(window, min_periods)) & (_trues(f, col, window) > 0), F.lit(False))
+    _, n, true = yield from _flags(f, col, window)
+    return F.coalesce((n >= _least(window, min_periods)) & (true > 0), F.lit(False))
 
 
 @_rolling("unary.rolling_true_count")
 def rolling_true_count(f, col, window, min_periods):
     """NULL counts as false, so the guard counts rows."""
-    return _guard(f.rows(window), F.lit(1), _least(window, min_periods), _trues(f, col, window))
+    n, _, true = yield from _flags(f, col, window)
+    return F.when(n >= _least(window, min_periods), true)
 
 
-def _place(best, sign):
-    def build(f, col, window, min_periods):
-        row = yield _row(f)
-        w = f.rows(window)
-        at = best(row, F.when(col.isNotNull(), F.struct(col, sign * row))).over(w)
-        return _guard(w, col, _least(window, min_periods), at - F.min(row).over(w))
+def _place(highest):
+    def build(rows, x, window, min_periods):
+        """Rows from the window's first to its earliest extreme."""
+        at = windows.place_of(rows, x, window, highest, earliest=True)
+        return _enough(rows, ~np.isnan(x), window, min_periods, np.where(at >= 0, at - rows.since(window), np.nan))
 
     return build
 
 
-_rolling("unary.rolling_argmax")(_place(F.max_by, -1))
-_rolling("unary.rolling_argmin")(_place(F.min_by, 1))
+_rolling("unary.rolling_argmax", joint=True)(_place(True))
+_rolling("unary.rolling_argmin", joint=True)(_place(False))
+
 
+@_rolling("unary.rolling_mad", joint=True)
+def rolling_mad(rows, x, window, min_periods):
+    """Median distance from the median."""
+    values, left, right = windows.valid_ranges(rows, x, window)
+    order = windows.Ordered(values)
+    return np.where(right - left >= _least(window, min_periods), order.middle_distance(left, right, order.quantile(left, right, 0.5)), np.nan)
 
-@_rolling("unary.rolling_mad")
-def rolling_mad(f, col, window, min_periods):
-    median = yield F.percentile(_d(col), F.lit(0.5)).over(f.rows(window))
-    rows = yield F.collect_list(_d(col)).over(f.rows(window))
-    far = yield F.sort_array(F.transform(rows, lambda x: F.abs(x - median)))
-    n = F.size(far)
-    middle = (F.get(far, F.floor((n - 1) / 2).cast("int")) + F.get(far, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n >= _least(window, min_periods), middle)
+
+def _ranks(order, left, right, x, ascending, ties_method):
+    """Rank of x among the values of each range, x itself one of them."""
+    less, most = order.below(left, right, x), order.below(left, right, x, equal=True)
+    if not ascending:
+        less, most = right - left - most, right - left - less
+    return {"min": less + 1, "max": most, "average": (less + 1 + most) / 2}[ties_method]
 
 
 def _rolling_rank(share):
-    def build(f, col, window, min_periods, ascending, ties_method):
-        rows = yield F.collect_list(_d(col)).over(f.rows(window))
-        before = F.size(F.filter(rows, (lambda x: x < _d(col)) if ascending else (lambda x: x > _d(col))))
-        ties = F.size(F.filter(rows, lambda x: x == _d(col)))
-        rank = {"min": before + 1, "max": before + ties, "average": before + (ties + 1) / 2}[ties_method]
-        return F.when(col.isNotNull() & (F.size(rows) >= _least(window, min_periods)), rank / F.size(rows) if share else rank)
+    def build(rows, x, window, min_periods, ascending, ties_method):
+        values, left, right = windows.valid_ranges(rows, x, window)
+        rank = _ranks(windows.Ordered(values), left, right, x, ascending, ties_method)
+        n = right - left
+        return np.where(~np.isnan(x) & (n >= _least(window, min_periods)), rank / n if share else rank, np.nan)
 
     return build
 
 
 _RANK = {"ascending": Bool(True), "ties_method": Choice("min", "max", "average", default="min")}
-_rolling("unary.rolling_rank", params=_RANK)(_rolling_rank(False))
-_rolling("unary.rolling_rank_pct", params=_RANK)(_rolling_rank(True))
+_rolling("unary.rolling_rank", joint=True, params=_RANK)(_rolling_rank(False))
+_rolling("unary.rolling_rank_pct", joint=True, params=_RANK)(_rolling_rank(True))
+
+
+def _firsts(rows, x):
+    """x where a series has a value for the first time, else NaN."""
+    _, code = np.unique(x, return_inverse=True)
+    series = np.searchsorted(rows.ends, rows.at, "right")
+    _, at = np.unique(series * (int(code.max(initial=0)) + 1) + code, return_index=True)
+    out = np.full(rows.n, np.nan)
+    out[at] = x[at]
+    return out
 
 
 def _expanding_rank(share):
-    def kernel(col, min_periods, ascending, ties_method):
-        seen: list[float] = []
-        distinct: list[float] = []
-        out = np.full(len(col), np.nan)
-        for i, v in enumerate(col):
-            if v != v:
-                continue
-            insort(seen, v)
-            at = bisect_left(distinct, v)
-            if at == len(distinct) or distinct[at] != v:
-                distinct.insert(at, v)
-            if len(seen) < min_periods:
-                continue
-            pool = distinct if ties_method == "dense" else seen
-            low, high = bisect_left(pool, v), bisect_right(pool, v)
-            if not ascending:
-                low, high = len(pool) - high, len(pool) - low
-            rank = {"min": low + 1, "dense": low + 1, "max": high, "average": (low + 1 + high) / 2}[ties_method]
-            out[i] = rank / len(pool) if share else rank
-        return out
-
-    return kernel
+    def build(rows, x, min_periods, ascending, ties_method):
+        """A dense rank is one among each value's first places."""
+        values, left, right = windows.valid_ranges(rows, x, None)
+        good = ~np.isnan(x) & (right - left >= min_periods)
+        if ties_method == "dense":
+            values, left, right = windows.valid_ranges(rows, _firsts(rows, x), None)
+        rank = _ranks(windows.Ordered(values), left, right, x, ascending, "min" if ties_method == "dense" else ties_method)
+        return np.where(good, rank / (right - left) if share else rank, np.nan)
+
+    return build
 
 
 _RANK_ALL = {"ascending": Bool(True), "ties_method": Choice("min", "max", "average", "dense", default="min")}
-_expanding("unary.expanding_rank", kernel=True, params=_RANK_ALL)(_expanding_rank(False))
-_expanding("unary.expanding_rank_pct", kernel=True, params=_RANK_ALL)(_expanding_rank(True))
+_expanding("unary.expanding_rank", joint=True, params=_RANK_ALL)(_expanding_rank(False))
+_expanding("unary.expanding_rank_pct", joint=True, params=_RANK_ALL)(_expanding_rank(True))
 
 
 def _one_decay(p):

@@ -15,10 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.windows import Rows
 from .request import Query
 from .spec import Const, Name, Node, RequestError
 
 KEY = {"TS": "code", "CS": "time"}
+#: Kernels run over whole series (sections) of about so many rows together; a longer one is run by itself.
+PASS_ROWS = 1 << 16
 
 
 @dataclass
@@ -186,11 +189,12 @@ class Compiler:
             if node.on is not None:
                 on = self.fresh()
                 inputs[on] = self.mask(node)
-            plans.append((self.done[node], node.op.build, fields, on, {k: list(v) if isinstance(v, tuple) else v for k, v in node.params}))
+            plans.append((self.done[node], node.op, fields, on, {k: list(v) if isinstance(v, tuple) else v for k, v in node.params}))
         kept = [f for f in self.df.schema.fields]
         names = [f.name for f in kept]
         key, order = KEY[family], "time" if family == "TS" else "code"
-        df = self.df.withColumns(inputs).repartition(key).sortWithinPartitions(key, order)
+        # The turn has dealt the panel out by key already.
+        df = self.df.withColumns(inputs).sortWithinPartitions(key, order)
         schema = T.StructType([*kept, *[T.StructField(p[0], T.DoubleType()) for p in plans]])
         kinds = {f.name: f.dataType for f in df.schema.fields}
         wanted = list(inputs)
@@ -203,40 +207,52 @@ class Compiler:
                 return column.to_pandas().to_numpy(dtype=object)
             return column.cast(pa.float64()).to_numpy()
 
+        def values(columns, fields, rows):
+            return [[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields]
+
         def run(batches, ends):
             """The batches as one, a series after another; ends: where each series ends."""
             table = pa.Table.from_batches(batches)
             columns = {c: array(table, c) for c in wanted}
-            made = [np.full(len(table), np.nan) for _ in plans]
-            for s, e in zip([0, *ends], ends):
-                for out, (_, build, fields, on, params) in zip(made, plans):
-                    rows = slice(s, e) if on is None else s + np.nonzero(columns[on][s:e] == 1)[0]
-                    if on is None or len(rows):
-                        out[rows] = build(*[[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields], **params)
-            values = [pa.array(x, mask=~np.isfinite(x)) for x in made]
-            return pa.Table.from_arrays([*[table.column(n) for n in names], *values], [*names, *[p[0] for p in plans]]).combine_chunks().to_batches()
+            whole, made = Rows(ends), []
+            for _, op, fields, on, params in plans:
+                out = np.full(len(table), np.nan)
+                made.append(out)
+                inside = slice(None) if on is None else np.nonzero(columns[on] == 1)[0]
+                own = whole if on is None else Rows(np.searchsorted(inside, whole.ends))
+                if not own.n:
+                    continue
+                if op.joint:
+                    with np.errstate(all="ignore"):
+                        out[inside] = op.build(own, *values(columns, fields, inside), **params)
+                    continue
+                for s, e in zip(own.starts, own.ends):
+                    if e > s:
+                        rows = slice(s, e) if on is None else inside[s:e]
+                        out[rows] = op.build(*values(columns, fields, rows), **params)
+            arrays = [pa.array(x, mask=~np.isfinite(x)) for x in made]
+            return pa.Table.from_arrays([*[table.column(n) for n in names], *arrays], [*names, *[p[0] for p in plans]]).combine_chunks().to_batches()
 
         def kernels(batches):
-            waiting, held, last = [], 0, None
+            waiting, held, ends, last = [], 0, [], None  # rows that wait, and where whole series end among them
             for b in batches:
                 if not b.num_rows:
                     continue
                 codes = b.column(key)
                 number = codes.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                cuts = np.nonzero(number[1:] != number[:-1])[0] + 1
                 if waiting and codes[0].as_py() != last:
-                    yield from run(waiting, [held])
-                    waiting, held = [], 0
-                if len(cuts):  # all series of the batch but the last one are whole
-                    whole = int(cuts[-1])
-                    yield from run([*waiting, b.slice(0, whole)], [held + int(c) for c in cuts])
-                    waiting, held = [], 0
-                    b = b.slice(whole)
+                    ends.append(held)
+                ends += [held + int(c) for c in np.nonzero(number[1:] != number[:-1])[0] + 1]
                 waiting.append(b)
                 held += b.num_rows
                 last = codes[-1].as_py()
+                if ends and ends[-1] >= PASS_ROWS and held - ends[-1] <= b.num_rows:
+                    over = held - ends[-1]  # of a series that may go on
+                    waiting[-1:], rest = [b.slice(0, b.num_rows - over)], [b.slice(b.num_rows - over)] if over else []
+                    yield from run(waiting, ends)
+                    waiting, held, ends = rest, over, []
             if waiting:
-                yield from run(waiting, [held])
+                yield from run(waiting, [*ends, held])
 
         self.df = df.mapInArrow(kernels, schema)
 

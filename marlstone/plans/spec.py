@@ -95,7 +95,7 @@ class Field:
 
 @dataclass(frozen=True, eq=False)
 class Operator:
-    """build gets a Frame (TS, CS), then the field columns and the parameters; it returns a column, or, as a generator, first yields columns that have to stand in a projection of their own. Kernels get series instead and return an array."""
+    """build gets a Frame (TS, CS), then the field columns and the parameters; it returns a column, or, as a generator, first yields columns that have to stand in a projection of their own. Kernels get series instead and return an array; joint ones get all series of a pass at once, with the Rows that tell them apart."""
 
     family: str
     name: str
@@ -105,6 +105,7 @@ class Operator:
     build: Callable
     rule: Callable | None = None
     kernel: bool = False
+    joint: bool = False
     doc: str = ""
     kind_of: Callable | None = None
 
@@ -116,14 +117,14 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(family: str, name: str, fields: str = "col", output: str = "NUMBER", rule: Callable | None = None, kernel: bool = False, kind_of: Callable | None = None, params: dict[str, Param] | None = None):
+def operator(family: str, name: str, fields: str = "col", output: str = "NUMBER", rule: Callable | None = None, kernel: bool = False, joint: bool = False, kind_of: Callable | None = None, params: dict[str, Param] | None = None):
     """Registers the function below as operator `name`. fields: names by blanks; a trailing ? asks for BOOL, a trailing + for a list."""
 
     def enter(f):
         if name in OPERATORS:
             raise RuntimeError(f"operator {name} is declared twice")
         declared = tuple(Field(x.rstrip("?+"), "?" in x, "+" in x) for x in fields.split())
-        OPERATORS[name] = Operator(family, name, declared, dict(params or {}), output, f, rule, kernel, inspect.getdoc(f) or "", kind_of)
+        OPERATORS[name] = Operator(family, name, declared, dict(params or {}), output, f, rule, kernel or joint, joint, inspect.getdoc(f) or "", kind_of)
         return f
 
     return enter

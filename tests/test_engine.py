@@ -221,9 +221,13 @@ def test_one_shuffle_per_change_of_key(spark):
 
 
 def test_equal_trees_are_computed_once(spark):
-    mean = ts("unary.rolling_mean", "S", window=3)
-    df = execute_query(SPAN | {"derivatives": {"a": mean, "b": direct("binary.add", {"left": mean, "right": 1}), "c": ts("unary.diff", mean)}}, panel=panel(spark, SERIES)).data
-    assert df._jdf.queryExecution().optimizedPlan().toString().count("avg(") == 1
+    def plan(mean):
+        df = execute_query(SPAN | {"derivatives": {"a": mean, "b": direct("binary.add", {"left": mean, "right": 1}), "c": ts("unary.diff", mean)}}, panel=panel(spark, SERIES)).data
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(ts("unary.cum_mean", "S")).count("avg(") == 1
+    kernel = next(line for line in plan(ts("unary.rolling_mean", "S", window=3)).splitlines() if "MapInArrow" in line)
+    assert kernel.count("__") == 2  # the input as it goes in and the one result
 
 
 def test_no_spread_is_no_error(spark):
