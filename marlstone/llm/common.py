@@ -77,6 +77,11 @@ def plain_words(text: Column) -> Column:
     return let(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), inner)
 
 
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """_key and _key2: two hashes of id and text, which tell rows apart, those without an id too."""
+    return [F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("_key"), F.xxhash64(F.lit(9), text, doc_id).alias("_key2")]
+
+
 def n_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -118,6 +123,15 @@ def ordered_sums(df: DataFrame, order: list[str], values: list[str], tag: str) -
     return out.withColumns({f"_before_{v}": F.col(f"_before_{v}") + F.col(f"_upto_{v}") for v in values}).drop("_part", *[f"_upto_{v}" for v in values])
 
 
+def runs(ends, most: int):
+    """Runs [a, z) of rows that hold at most `most` together, or of one row; ends: what is held up to each row, from 0 on."""
+    a = 0
+    while a < len(ends) - 1:
+        z = max(a + 1, int(ends.searchsorted(ends[a] + most, "right")) - 1)
+        yield a, z
+        a = z
+
+
 def each(column):
     """The values of an Arrow column one by one: a batch of long texts is never held twice."""
     return (v.as_py() for v in column)

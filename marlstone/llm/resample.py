@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SEPARATORS, UPPER, ordered_sums, saved, table
+from .common import LOWER, SEPARATORS, UPPER, ordered_sums, runs, saved, table
 
 N_GRAM, BUCKETS, SEED = 3, 10_000, "42"
 MIN_WORDS, PERCENT = 20, 5
+#: Bytes of text that the kernels take at once; a longer text is taken by itself.
+KERNEL_BYTES = 4 << 20
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,6 +28,14 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
 
 
+def _portions(batches, place: int):
+    """Batches cut so that the texts in column `place` hold KERNEL_BYTES at most."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, z in runs(np.append(0, np.cumsum(sizes, dtype=np.int64)), KERNEL_BYTES):
+            yield b.slice(a, z - a)
+
+
 def grams(texts: pa.Array, n_gram: int = N_GRAM):
     """For each length from 1 to n_gram the CRC-32 of all n-grams of the texts in order and where each text's begin (one more: the end). A null text has none."""
     low = pc.ascii_lower(pc.fill_null(texts, ""))
@@ -58,7 +68,7 @@ def bucket_counts(texts: DataFrame, text: str = "text", n_gram: int = N_GRAM, bu
 
     def count(batches):
         total = np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in _portions(batches, 0):
             for hashes, _ in grams(b.column(0), n_gram):
                 total += np.bincount(hashes % buckets, minlength=buckets)
         used = np.nonzero(total)[0]
@@ -86,7 +96,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, keep: list[str], text: str = "text"
 
     def of(batches):
         gain = shared.value
-        for b in batches:
+        for b in _portions(batches, len(keep)):
             n_words, n_features, weight = np.zeros((3, b.num_rows), np.int64)
             for n, (hashes, at) in enumerate(grams(b.column(len(keep)), n_gram)):
                 upto = np.append(0, np.cumsum(gain.take(hashes % len(gain))))
