@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, ascii_lower, let, plain_words, running_sums, table
+from .common import SEPARATORS, ascii_lower, let, plain_words, row_keys, running_sums, table
 
 # The contract's phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -121,21 +121,22 @@ def phrase_places(norm, phrases=PHRASES):
 def scan_licenses(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row per row of docs (doc_id, text): the columns of op2's contract, and the number of verified spans.
 
-    A null text is empty. Rows that share a doc_id (null too) get the union of their template labels; their phrases are counted each by itself.
+    A null text is empty. Rows are told apart by id and text, those without an id too: each gets the labels of its own text alone; columns of docs that aren't id or text are not looked at.
     score: the best cover of a verified template, at least 0.5 where a phrase stands, else 0.
     """
-    own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = license_spans(own, ["doc_id"], **options)
-    of_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_labels"), F.max("cover").alias("_cover"), F.count("*").alias("n_spans"))
+    key = ["_key", "_key2"]
+    own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).select("*", *row_keys("doc_id", "text"))
+    spans = license_spans(own, key, **options)
+    of_row = spans.groupBy(*key).agg(F.collect_set("label").alias("_labels"), F.max("cover").alias("_cover"), F.count("*").alias("n_spans"))
     ws, low = plain_words(F.col("text")), ascii_lower(F.col("text"))
     # Texts without a phrase's rarest word, nearly all, are not searched for phrases.
     hinted = F.lit(False)
     for phrase, _ in PHRASES:
         hinted = hinted | F.contains(low, F.lit(max(phrase.split(), key=len)))
     norm = F.when(hinted, F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))).otherwise(F.lit(" "))
-    base = own.select("doc_id", F.size(ws).cast("long").alias("n_words"), norm.alias("_norm")).select("doc_id", "n_words", F.array(*phrase_places(F.col("_norm"))).alias("_at"))
-    base = base.select("doc_id", "n_words", F.flatten("_at").alias("_all"), F.filter(F.array(*[F.when(F.size(F.get("_at", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()).alias("_base"))
-    out = base.join(of_doc, base["doc_id"].eqNullSafe(of_doc["_id"]), "left")
+    base = own.select("doc_id", *key, F.size(ws).cast("long").alias("n_words"), norm.alias("_norm")).select("doc_id", *key, "n_words", F.array(*phrase_places(F.col("_norm"))).alias("_at"))
+    base = base.select("doc_id", *key, "n_words", F.flatten("_at").alias("_all"), F.filter(F.array(*[F.when(F.size(F.get("_at", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()).alias("_base"))
+    out = base.join(of_row, key, "left")
     mine = F.coalesce("_labels", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
@@ -159,24 +160,24 @@ def _sql() -> str:
     head = ", ".join(f"({i}, '{label}', {n})" for i, label, n in heads)
     gram = ", ".join(f"({i}, {j}, '{' '.join(ws)}')" for i, j, ws in grams)
     phrases = ", ".join(f"({p.count(' ') + 1}, '{p}', '{label}')" for p, label in PHRASES)
-    return f"""with docs as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as ws from documents),
-places as (select doc_id, ws, unnest(range(len(ws))) as p from docs),
+    return f"""with docs as materialized (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as ws from documents),
+places as (select r, ws, unnest(range(len(ws))) as p from docs),
 phrases(k, phrase, label) as (values {phrases}),
-found as (select doc_id, p, label from places join phrases on array_to_string(ws[p + 1:p + k], ' ') = phrase),
-base as (select doc_id, count(*) as n_base, min(p) as first_word, max(p) as last_word, list(distinct label) as ls from found group by doc_id),
+found as (select r, p, label from places join phrases on array_to_string(ws[p + 1:p + k], ' ') = phrase),
+base as (select r, count(*) as n_base, min(p) as first_word, max(p) as last_word, list(distinct label) as ls from found group by r),
 heads(template, label, n) as (values {head}),
 grams(template, t, gram) as (values {gram}),
-hits as (select doc_id, template, t, p, p - t as d from places join grams on p + {GRAM} <= len(ws) and array_to_string(ws[p + 1:p + {GRAM}], ' ') = gram),
-diagonals as (select doc_id, template, d, case when d - lag(d) over (partition by doc_id, template order by d) <= {SLACK} then 0 else 1 end as fresh from (select distinct doc_id, template, d from hits)),
-runs as (select doc_id, template, d, sum(fresh) over (partition by doc_id, template order by d) as run from diagonals),
-spans as (select doc_id, label, count(distinct t) / max(n)::double as cover from hits join runs using (doc_id, template, d) join heads using (template) group by doc_id, template, label, run having count(distinct t) / max(n)::double >= {MIN_COVER}),
-mine as (select doc_id, list(distinct label) as ls, max(cover) as cover, count(*) as n_spans from spans group by doc_id)
+hits as (select r, template, t, p, p - t as d from places join grams on p + {GRAM} <= len(ws) and array_to_string(ws[p + 1:p + {GRAM}], ' ') = gram),
+diagonals as (select r, template, d, case when d - lag(d) over (partition by r, template order by d) <= {SLACK} then 0 else 1 end as fresh from (select distinct r, template, d from hits)),
+runs as (select r, template, d, sum(fresh) over (partition by r, template order by d) as run from diagonals),
+spans as (select r, label, count(distinct t) / max(n)::double as cover from hits join runs using (r, template, d) join heads using (template) group by r, template, label, run having count(distinct t) / max(n)::double >= {MIN_COVER}),
+mine as (select r, list(distinct label) as ls, max(cover) as cover, count(*) as n_spans from spans group by r)
 select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.ls), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(mine.ls, [])))), ','), '') as labels,
   greatest(coalesce(cover, 0.0), case when n_base > 0 then 0.5 else 0.0 end)::double as score, coalesce(n_spans, 0) as n_spans
-from docs left join base using (doc_id) left join mine using (doc_id)"""
+from docs left join base using (r) left join mine using (r)"""
 
 
 SQL = {"op2_license_scan": _sql()}

@@ -61,8 +61,8 @@ def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tupl
             levels.append((depth, now.join(interval, "place")))
         step = min(depth, min_lines - depth) if depth < min_lines else depth
         # The suffix `step` lines on has the rank of the second half; where it was dropped or lies past the end, the run can't reach this depth.
-        ahead = now.select(*KEY, (F.col("line") - step).alias("line"), F.col("place").alias("next"))
-        pairs = now.join(ahead, [*KEY, "line"])
+        on = W.partitionBy(*KEY).orderBy("line").rangeBetween(step, step)
+        pairs = now.withColumn("next", F.first("place").over(on)).where("next is not null")
         keys = pairs.groupBy("place", "next").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("place", "half")
         deeper = suffix_ranks(keys, ["half", "next"])
         if deeper.isEmpty():
@@ -72,18 +72,28 @@ def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tupl
 
 
 def later_suffixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """d, h, line, chars, depth, first of the suffixes that begin as an earlier one does: the greatest depth at which one does, and the earliest that does so."""
-    parts = [t.where(F.struct(*KEY, "line") != F.col("first")).select(*KEY, "line", "chars", F.lit(depth).alias("depth"), "first") for depth, t in levels]
+    """d, h, line, chars, depth, first of the suffixes that begin as an earlier one does: the greatest depth at which one does, and such an earlier one: the last before it in the same document, or else the earliest of all. So a block that a document repeats is the copy of the block before it, all at one distance."""
+    before = F.lag("line").over(W.partitionBy("place", *KEY).orderBy("line"))
+    parts = [t.withColumn("_near", before).where(F.struct(*KEY, "line") != F.col("first")).select(*KEY, "line", "chars", F.lit(depth).alias("depth"), F.when(F.col("_near").isNotNull(), F.struct(*KEY, F.col("_near").alias("line"))).otherwise(F.col("first")).alias("first")) for depth, t in levels]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
     return every.groupBy(*KEY, "line").agg(F.first("chars").alias("chars"), F.max(F.struct("depth", "first")).alias("_b")).select(*KEY, "line", "chars", "_b.depth", "_b.first")
 
 
+def later_stretches(later: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """d, h, line, n_lines: the maximal stretches of lines that later runs of at least min_lines lines cover, each line in one. Every line of such a run lies in the first lines of a suffix of that depth, so the suffixes' own intervals, merged by their greatest end so far, are all of it."""
+    order = W.partitionBy(*KEY).orderBy("line")
+    spans = later.where(F.col("depth") >= min_lines).select(*KEY, "line", (F.col("line") + F.col("depth")).alias("end"))
+    spans = spans.withColumn("_upto", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("_stretch", F.sum(F.when(F.col("line") <= F.col("_upto"), 0).otherwise(1)).over(order))
+    return spans.groupBy(*KEY, "_stretch").agg(F.min("line").alias("line"), F.max("end").alias("_end")).select(*KEY, "line", (F.col("_end") - F.col("line")).cast("long").alias("n_lines"))
+
+
 def later_runs(later: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal repeated runs that are later copies: d, h, line, n_lines, and the earliest copy's d, h, line as first_d, first_h, first_line.
+    """Maximal repeated runs that are later copies: d, h, line, n_lines, and the earlier copy's d, h, line as first_d, first_h, first_line.
 
-    A run begins where the line before doesn't continue the same copy, and goes on as long as both texts agree: less than twice its suffix's depth, for else an interval of that depth would hold it.
+    For reports; the deletion needs the stretches alone. A run begins where the line before doesn't continue the same copy, and goes on as long as both texts agree: less than twice its suffix's depth, for else an interval of that depth would hold it.
     """
     later = later.select(*KEY, "line", "depth", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"), F.col("first.line").alias("first_line"))
     same = W.partitionBy(*KEY, "first_d", "first_h", F.col("line") - F.col("first_line")).orderBy("line")
@@ -105,8 +115,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     lines = line_table(docs, doc_id, text)
     later = saved(later_suffixes(repeated_suffixes(lines, min_lines)), "op10-later", narrow=True)
-    runs = later_runs(later, docs, doc_id, text).where(F.col("n_lines") >= min_lines)
-    covered = runs.select(*KEY, F.explode(F.sequence(F.col("line"), (F.col("line") + F.col("n_lines") - 1).cast("int"))).alias("line"))
+    covered = later_stretches(later, min_lines).select(*KEY, F.explode(F.sequence(F.col("line"), (F.col("line") + F.col("n_lines") - 1).cast("int"))).alias("line"))
     covered = covered.union(later.where(F.col("chars") >= min_chars).select(*KEY, "line")).distinct()
     gone = lines.select(*KEY, "line", "at").join(covered, [*KEY, "line"]).groupBy(*KEY).agg(F.collect_set("at").alias("_gone"))
     gone = saved(gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_gone"), "op10-gone", narrow=True)

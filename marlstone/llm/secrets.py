@@ -26,14 +26,15 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least bits a character of a window, by class. Window entropies are discrete; neither value is one of them.
 THRESHOLDS = {"hex": 2.97, "base64": 3.77}
-#: Candidates that match a rule's first pattern, and not its second if it has one, are never secrets: words without digits, digits alone, UUIDs, paths of plain words, filler and counting runs. No pattern repeats a group: java.util.regex goes one call deeper for every repeat and ends the JVM on a long candidate.
+#: Candidates that match a rule's first pattern, and not its second if it has one, are never secrets: words without digits, digits alone, UUIDs and paths of plain words. No pattern repeats a group: java.util.regex goes one call deeper for every repeat and ends the JVM on a long candidate.
 ALLOW = (
     (r"^[^0-9]+$", None),
     (r"^[0-9+/_=-]+$", None),
     (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", None),
     (r"^/?[a-z][a-z/]*/[a-z0-9_-]*$", "//"),
-    (r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefghij)", None),
 )
+#: Filler and counting runs, which random letters may hold by chance: they take out the windows that touch them, never the rest of a candidate.
+FILLER = r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefghij)"
 #: Window starts that one chain of incremental counts goes through; chains of a candidate are joined afterwards.
 CHAIN = 256
 KINDS = ("assign", "access", "hex", "entropy-hex", "entropy-base64")
@@ -99,7 +100,7 @@ def entropy_windows(candidate: Column, threshold: Column, window: int = WINDOW)
     return let(let(F.transform(F.split(candidate, ""), lambda x: F.ascii(x) - low), chains), merged)
 
 
-def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple) -> Column:
+def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple, filler: str) -> Column:
     none = F.array().cast(SPAN)
 
     def of(candidate, at):
@@ -110,7 +111,19 @@ def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple) ->
             listed = listed | (candidate.rlike(rule) & ~candidate.rlike(unless) if unless else candidate.rlike(rule))
         kind = F.when(is_hex, 3).otherwise(4)
         # Limit and kind are worked out once a candidate, not at every step.
-        runs = let(F.struct(limit.alias("limit"), kind.alias("kind")), lambda x: F.transform(entropy_windows(candidate, x["limit"], window), lambda r: F.struct((at + r["a"]).alias("start"), x["kind"].alias("kind"), (at + r["b"]).alias("end"))))
+        cut = F.struct(limit.alias("limit"), kind.alias("kind"), F.split(candidate, filler, -1).alias("p"), F.regexp_extract_all(candidate, F.lit(filler), F.lit(0)).alias("m"))
+
+        def between(x):
+            """Stretches of the pieces that filler leaves."""
+
+            def placed(starts):
+                begin = lambda i: at + F.when(i > 0, F.get(starts, i - 1) + F.char_length(F.get(x["m"], i - 1))).otherwise(0)
+                stretch = lambda piece, i: let(begin(i), lambda b: F.transform(entropy_windows(piece, x["limit"], window), lambda r: F.struct((b + r["a"]).alias("start"), x["kind"].alias("kind"), (b + r["b"]).alias("end"))))
+                return F.flatten(F.transform(x["p"], stretch))
+
+            return let(match_starts(x["p"], x["m"]), placed)
+
+        runs = let(cut, between)
         return F.when(listed, none).otherwise(runs)
 
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
@@ -122,7 +135,7 @@ def _entropy_spans(text: Column, window: int, thresholds: dict, allow: tuple) ->
     return F.when(F.exists(found, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")), spans).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, thresholds: dict = THRESHOLDS, allow: tuple = ALLOW) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, thresholds: dict = THRESHOLDS, allow: tuple = ALLOW, filler: str = FILLER) -> DataFrame:
     """docs with a column `secret_spans`: array of (start, kind, end), code points, end exclusive, by start and kind.
 
     kind numbers KINDS: the three base patterns, then high-entropy stretches of hex and base64 candidates. A null text is empty; other columns stay as they are, but for one named secret_spans, which is replaced. Nulls, ties and repeated rows need no rule: each row is scanned by itself.
@@ -133,7 +146,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, thre
         _spans(t, ASSIGN, 0, quick=r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}", keep=long_enough),
         _spans(t, ACCESS_LONG, 1),
         _spans(t, HEX_LONG, 2),
-        _entropy_spans(t, window, thresholds, allow),
+        _entropy_spans(t, window, thresholds, allow, filler),
     )
     return docs.withColumn("secret_spans", F.sort_array(spans))
 
@@ -173,9 +186,11 @@ def _sql() -> str:
 {kind("access", 1, ACCESS, f"length(m[i]) >= {MIN_ACCESS}")},
 {kind("hexes", 2, HEX_LONG)},
 {kind("runs", 9, run, f"length(m[i]) >= {WINDOW} and regexp_matches(m[i], '[0-9]')").replace("starts[i] as a, starts[i] + length(m[i]) as b", "starts[i] as ra, m[i] as c", 1)},
-wins as (
-  select doc_id, ra, c, regexp_matches(c, '^[0-9a-fA-F]+$') as is_hex, w, substr(c, w::int, {WINDOW}) as s
-  from runs, unnest(range(1, length(c) - {WINDOW} + 2)) as u(w) where not ({allow})),
+cut as (select doc_id, ra, c, regexp_matches(c, '^[0-9a-fA-F]+$') as is_hex, string_split_regex(c, {q(FILLER)}) as p, regexp_extract_all(c, {q(FILLER)}) as m from runs where not ({allow})),
+pieces as (
+  select doc_id, ra + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as ra, p[i] as c, is_hex
+  from cut, unnest(range(1, len(p) + 1)) as u(i)),
+wins as (select doc_id, ra, c, is_hex, w, substr(c, w::int, {WINDOW}) as s from pieces, unnest(range(1, length(c) - {WINDOW} + 2)) as u(w)),
 hot as (
   select doc_id, ra, c, is_hex, w from (
     select *, -list_sum(list_transform(list_distinct(string_split(s, '')), lambda x: (len(list_filter(string_split(s, ''), lambda y: y = x)) / {WINDOW}.0) * log2(len(list_filter(string_split(s, ''), lambda y: y = x)) / {WINDOW}.0))) as h from wins)
