@@ -155,27 +155,3 @@ def dx(high, low, close, n):
 
 def adx(high, low, close, n):
     return after(dx(high, low, close, n), lambda x: wilder_mean(x, n))
-
-
-def atr(high, low, close, n):
-    return shifted(wilder_mean(true_range(high, low, close), n))
-
-
-def rsi(x, n):
-    d = np.diff(x)
-    gain, loss = wilder_mean(np.maximum(d, 0), n), wilder_mean(np.maximum(-d, 0), n)
-    with np.errstate(all="ignore"):
-        return shifted(np.where(gain + loss == 0, 0.0, 100 * gain / (gain + loss)))
-
-
-def obv(close, volume):
-    """Starts at the first volume. Here a gap in close counts: its row adds its volume, the row after it adds nothing."""
-    out = blank(len(close))
-    there = ~np.isnan(volume)
-    if there.any():
-        start = int(there.argmax())
-        step = np.concatenate([[0.0], np.sign(np.diff(close))])
-        step = np.where(np.isnan(close), 1.0, np.where(np.isnan(step), 0.0, step))
-        step[start] = 1.0
-        out[start:] = np.cumsum(np.where(there, volume * step, 0.0)[start:])
-    return out

@@ -79,6 +79,12 @@ def counts(rows: Rows, good: np.ndarray, w: int) -> np.ndarray:
     return upto[rows.at + 1] - upto[rows.since(w)]
 
 
+def lagged(rows: Rows, x: np.ndarray, n: int) -> np.ndarray:
+    """Each series' values n rows later."""
+    at = rows.at - n
+    return np.where(at >= rows.first, x[np.maximum(at, 0)], np.nan) if rows.n else x
+
+
 def _simple(operation, empty):
     def over(rows: Rows, x: np.ndarray, w: int) -> np.ndarray:
         x = np.where(np.isnan(x), empty, x)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions import windows
+from ..functions import scan, windows
 from ..functions.columns import safe_div
 from ..plans.spec import Choice, Float, Int, RequestError, operator
 from .time_series import rising_mean
@@ -58,15 +58,18 @@ _ta("bop", "open high low close")(lambda f, o, h, l, c: F.when(_d(h) == _d(l), (
 
 
 # Lags.
-def _lagged(name, g):
-    _ta(name, params=period())(lambda f, col, time_period: g(_d(col), F.lag(_d(col), time_period).over(f.series())))
+def _lagged(name, g, of):
+    def chunk(rows, x, time_period):
+        return of(x, windows.lagged(rows, x, time_period))
 
+    _ta(name, params=period(), chunk=chunk)(lambda f, col, time_period: g(_d(col), F.lag(_d(col), time_period).over(f.series())))
 
-_lagged("mom", lambda x, y: x - y)
-_lagged("roc", lambda x, y: 100 * (safe_div(x, y) - 1))
-_lagged("rocp", lambda x, y: safe_div(x, y) - 1)
-_lagged("rocr", safe_div)
-_lagged("rocr100", lambda x, y: 100 * safe_div(x, y))
+
+_lagged("mom", lambda x, y: x - y, lambda x, y: x - y)
+_lagged("roc", lambda x, y: 100 * (safe_div(x, y) - 1), lambda x, y: 100 * (x / y - 1))
+_lagged("rocp", lambda x, y: safe_div(x, y) - 1, lambda x, y: x / y - 1)
+_lagged("rocr", safe_div, lambda x, y: x / y)
+_lagged("rocr100", lambda x, y: 100 * safe_div(x, y), lambda x, y: 100 * x / y)
 
 
 # Windows: kernels over all series of a pass, by functions whose time doesn't depend on the window.
@@ -134,17 +137,10 @@ _regression("linearreg_angle", lambda slope, line, row, n: np.degrees(np.arctan(
 _regression("tsf", lambda slope, line, row, n: line(row + 1))
 
 
-def _before(rows, x):
-    """Each series' values one row later."""
-    out = np.append(np.nan, x[:-1]) if len(x) else x
-    out[rows.starts[rows.starts < rows.ends]] = np.nan
-    return out
-
-
 @_ta("beta", "high low", joint=True, params=period())
 def beta(rows, high, low, time_period):
     """Slope of the second series' returns on the first's."""
-    x, y = (np.where(b != 0, a / b, np.nan) - 1 for a, b in ((s, _before(rows, s)) for s in (high, low)))
+    x, y = (np.where(b != 0, a / b, np.nan) - 1 for a, b in ((s, windows.lagged(rows, s, 1)) for s in (high, low)))
     n, _, _, xx, _, xy = windows.pairs(rows, x, y, time_period)
     return np.where((n == time_period) & (xx > 0), xy / xx, np.nan)
 
@@ -193,7 +189,7 @@ def cci(rows, n, high, low, close):
 @_ta("mfi", "high low close volume", joint=True, params=period(2))
 def mfi(rows, high, low, close, volume, time_period):
     price = (high + low + close) / 3
-    step = np.sign(price - _before(rows, price))
+    step = np.sign(price - windows.lagged(rows, price, 1))
     flow = price * volume
     up, every = (windows.sums(rows, np.where(s, flow, 0.0), time_period) for s in (step > 0, (step > 0) | (step < 0)))
     full = windows.counts(rows, ~np.isnan(step) & ~np.isnan(volume), time_period) == time_period
@@ -207,7 +203,7 @@ def _rising(p):
 
 @_ta("ultOsc", "high low close", joint=True, rule=_rising, params={"period1": Int(7, ge=1), "period2": Int(14, ge=2), "period3": Int(28, ge=3)})
 def ult_osc(rows, high, low, close, period1, period2, period3):
-    before = _before(rows, close)
+    before = windows.lagged(rows, close, 1)
     good = ~np.isnan(high + low + close + before)
     floor = np.minimum(low, before)
     pressure, reach = np.where(good, close - floor, np.nan), np.where(good, np.maximum(high, before) - floor, np.nan)
@@ -221,17 +217,12 @@ def ult_osc(rows, high, low, close, period1, period2, period3):
 
 # Recursive ones.
 MA_TYPE = {"ma_type": Choice(*S.AVERAGES, default=0)}
-for _name, _g in (("ema", S.ema), ("dema", S.dema), ("tema", S.tema), ("kama", S.kama)):
-    _kernel(_name, params=period())(lambda x, time_period, g=_g: g(x, time_period))
-_kernel("t3", params=period() | {"vfactor": Float(0.7, gt=0, le=1)})(lambda x, time_period, vfactor: S.t3(x, time_period, vfactor))
+for _name, _g in (("ema", scan.ema), ("dema", scan.dema), ("tema", scan.tema), ("trix", scan.trix)):
+    _ta(_name, params=period(), recurrence=True)(lambda x, time_period, g=_g: g(x, time_period))
+_ta("t3", params=period() | {"vfactor": Float(0.7, gt=0, le=1)}, recurrence=True)(lambda x, time_period, vfactor: scan.t3(x, time_period, vfactor))
+_kernel("kama", params=period())(lambda x, time_period: S.kama(x, time_period))
 _kernel("ma", params=period() | MA_TYPE)(lambda x, time_period, ma_type: S.AVERAGES[ma_type](x, time_period))
-_kernel("rsi", params=period(2))(lambda x, time_period: S.rsi(x, time_period))
-
-
-@_kernel("trix", params=period())
-def trix(x, time_period):
-    e = S.ema_chain(x, time_period, 3)[2]
-    return 100 * (e / np.concatenate([[np.nan], e[:-1]]) - 1)
+_ta("rsi", params=period(2), recurrence=True)(lambda x, time_period: scan.rsi(x, time_period))
 
 
 def _fast_first(p):
@@ -269,8 +260,15 @@ def bands(x, time_period, nbdev_up, nbdev_down, ma_type, output):
 
 
 _HLC = "high low close"
-_kernel("atr", _HLC, period())(lambda h, l, c, time_period: S.atr(h, l, c, time_period))
-_kernel("natr", _HLC, period())(lambda h, l, c, time_period: np.where(c == 0, np.nan, 100 * S.atr(h, l, c, time_period) / np.where(c == 0, 1, c)))
+_ta("atr", _HLC, params=period(), recurrence=True)(lambda h, l, c, time_period: scan.atr(h, l, c, time_period))
+
+
+@_ta("natr", _HLC, params=period(), recurrence=True)
+def natr(high, low, close, time_period):
+    reach = yield from scan.atr(high, low, close, time_period)
+    return np.where(close == 0, np.nan, 100 * reach / np.where(close == 0, 1, close))
+
+
 _kernel("dx", _HLC, period(2))(lambda h, l, c, time_period: S.dx(h, l, c, time_period))
 _kernel("adx", _HLC, period(2))(lambda h, l, c, time_period: S.adx(h, l, c, time_period))
 _kernel("plus_di", _HLC, period())(lambda h, l, c, time_period: S.indicators(h, l, c, time_period)[0])
@@ -286,4 +284,4 @@ def adxr(h, l, c, time_period):
     return (x + np.concatenate([S.blank(time_period - 1), x[: len(x) - time_period + 1]])) / 2 if len(x) >= time_period else S.blank(len(x))
 
 
-_ta("obv", "close volume", kernel=True)(lambda close, volume: S.obv(close, volume))
+_ta("obv", "close volume", recurrence=True)(lambda close, volume: scan.obv(close, volume))

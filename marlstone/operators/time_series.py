@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import windows
+from ..functions import scan, windows
 from ..functions.columns import correlation, finite_or_null, safe_div
 from ..plans.spec import Bool, Choice, Float, Int, RequestError, operator
 
@@ -58,9 +57,9 @@ _SO_FAR = {
     "sem": lambda c, w: F.stddev_samp(_d(c)).over(w) / F.sqrt(F.count(c).over(w)),
 }
 for _name in ("count", "max", "mean", "min", "prod", "sum"):
-    _expanding(f"unary.cum_{_name}")(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
+    _expanding(f"unary.cum_{_name}", scan=scan.running(_name))(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
 for _name in ("sem", "std", "var"):
-    _expanding(f"unary.expanding_{_name}")(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
+    _expanding(f"unary.expanding_{_name}", scan=scan.running(_name))(lambda f, col, min_periods, g=_SO_FAR[_name]: _guard(f.past(), col, min_periods, g(col, f.past())))
 
 _EXPANDING_TWO = {
     "beta": lambda x, y, w: finite_or_null(F.regr_slope(_d(y), _d(x)).over(w)),
@@ -232,9 +231,9 @@ def decay_linear(rows, x, window, min_periods):
 
 
 PERIODS = {"periods": Int(1, ge=1)}
-_ts("diff", params=PERIODS)(lambda f, col, periods: _d(col) - F.lag(_d(col), periods).over(f.series()))
-_ts("log_return", params=PERIODS)(lambda f, col, periods: F.log(_d(col)) - F.log(F.lag(_d(col), periods).over(f.series())))
-_ts("pct_change", params=PERIODS)(lambda f, col, periods: safe_div(_d(col), F.lag(_d(col), periods).over(f.series())) - 1)
+_ts("diff", params=PERIODS, chunk=lambda rows, x, periods: x - windows.lagged(rows, x, periods))(lambda f, col, periods: _d(col) - F.lag(_d(col), periods).over(f.series()))
+_ts("log_return", params=PERIODS, chunk=lambda rows, x, periods: np.log(x) - np.log(windows.lagged(rows, x, periods)))(lambda f, col, periods: F.log(_d(col)) - F.log(F.lag(_d(col), periods).over(f.series())))
+_ts("pct_change", params=PERIODS, chunk=lambda rows, x, periods: x / windows.lagged(rows, x, periods) - 1)(lambda f, col, periods: safe_div(_d(col), F.lag(_d(col), periods).over(f.series())) - 1)
 _ts("shift", params={"periods": Int(1)})(lambda f, col, periods: F.lag(col, periods).over(f.series()))
 
 
@@ -356,16 +355,12 @@ EWM = {
 BIAS = EWM | {"bias": Bool(False)}
 
 
-def _ewm(x, p):
-    return pd.Series(x).ewm(com=p["com"], span=p["span"], halflife=p["half_life"], alpha=p["alpha"], min_periods=p["min_periods"], adjust=p["adjust"], ignore_na=p["ignore_na"])
+def _ewm_op(name, fields, params, g):
+    operator("TS", name, fields, rule=_one_decay, recurrence=True, params=params)(g)
 
 
-def _ewm_op(name, fields, params):
-    return operator("TS", name, fields, rule=_one_decay, kernel=True, params=params)
-
-
-_ewm_op("unary.ewm_mean", "col", EWM)(lambda col, **p: _ewm(col, p).mean().to_numpy())
-_ewm_op("unary.ewm_std", "col", BIAS)(lambda col, **p: _ewm(col, p).std(bias=p["bias"]).to_numpy())
-_ewm_op("unary.ewm_var", "col", BIAS)(lambda col, **p: _ewm(col, p).var(bias=p["bias"]).to_numpy())
-_ewm_op("binary.ewm_cov", "left right", BIAS)(lambda left, right, **p: _ewm(left, p).cov(pd.Series(right), bias=p["bias"]).to_numpy())
-_ewm_op("binary.ewm_corr", "left right", BIAS)(lambda left, right, **p: _ewm(left, p).corr(pd.Series(right)).to_numpy())
+_ewm_op("unary.ewm_mean", "col", EWM, lambda x, **p: scan.ewm_mean(x, p))
+_ewm_op("unary.ewm_std", "col", BIAS, lambda x, **p: scan.ewm_std(x, p))
+_ewm_op("unary.ewm_var", "col", BIAS, lambda x, **p: scan.ewm_cov(x, x, p))
+_ewm_op("binary.ewm_cov", "left right", BIAS, lambda x, y, **p: scan.ewm_cov(x, y, p))
+_ewm_op("binary.ewm_corr", "left right", BIAS, lambda x, y, **p: scan.ewm_corr(x, y, p))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.scan import run as run_scan
+
 
 class RequestError(ValueError):
     """A request that can't be run as it stands."""
@@ -95,7 +97,7 @@ class Field:
 
 @dataclass(frozen=True, eq=False)
 class Operator:
-    """build gets a Frame (TS, CS), then the field columns and the parameters; it returns a column, or, as a generator, first yields columns that have to stand in a projection of their own. Kernels get series instead and return an array; joint ones get all series of a pass at once, with the Rows that tell them apart."""
+    """build gets a Frame (TS, CS), then the field columns and the parameters; it returns a column, or, as a generator, first yields columns that have to stand in a projection of their own. Kernels get series instead and return an array; joint ones get all series of a pass at once, with the Rows that tell them apart. scan: the operator as a recurrence (functions.scan), chunk: as a joint kernel, for series in chunks."""
 
     family: str
     name: str
@@ -106,6 +108,8 @@ class Operator:
     rule: Callable | None = None
     kernel: bool = False
     joint: bool = False
+    scan: Callable | None = None
+    chunk: Callable | None = None
     doc: str = ""
     kind_of: Callable | None = None
 
@@ -117,14 +121,15 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(family: str, name: str, fields: str = "col", output: str = "NUMBER", rule: Callable | None = None, kernel: bool = False, joint: bool = False, kind_of: Callable | None = None, params: dict[str, Param] | None = None):
-    """Registers the function below as operator `name`. fields: names by blanks; a trailing ? asks for BOOL, a trailing + for a list."""
+def operator(family: str, name: str, fields: str = "col", output: str = "NUMBER", rule: Callable | None = None, kernel: bool = False, joint: bool = False, kind_of: Callable | None = None, params: dict[str, Param] | None = None, recurrence: bool = False, scan: Callable | None = None, chunk: Callable | None = None):
+    """Registers the function below as operator `name`. fields: names by blanks; a trailing ? asks for BOOL, a trailing + for a list. recurrence: the function is one, and whole series run it as well; scan, chunk: other forms for series in chunks alone."""
 
     def enter(f):
+        build = (lambda rows, *x, **p: run_scan(rows, f(*x, **p))) if recurrence else f
         if name in OPERATORS:
             raise RuntimeError(f"operator {name} is declared twice")
         declared = tuple(Field(x.rstrip("?+"), "?" in x, "+" in x) for x in fields.split())
-        OPERATORS[name] = Operator(family, name, declared, dict(params or {}), output, f, rule, kernel or joint, joint, inspect.getdoc(f) or "", kind_of)
+        OPERATORS[name] = Operator(family, name, declared, dict(params or {}), output, build, rule, kernel or joint or recurrence, joint or recurrence, f if recurrence else scan, chunk, inspect.getdoc(f) or "", kind_of)
         return f
 
     return enter
