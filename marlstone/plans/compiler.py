@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import Rows
+from .chunks import in_chunks
 from .request import Query
 from .spec import Const, Name, Node, RequestError
 
@@ -56,8 +57,9 @@ class Frame:
 class Compiler:
     """Adds derivatives to a panel (time, code, factor columns), keyed by (time, code)."""
 
-    def __init__(self, panel: DataFrame, derivatives: dict[str, Node]):
+    def __init__(self, panel: DataFrame, derivatives: dict[str, Node], chunk_rows: int | None = None):
         self.df = panel
+        self.chunk_rows = chunk_rows
         self.derivatives = derivatives
         self.columns = set(panel.columns)
         if clash := self.columns & set(derivatives):
@@ -98,8 +100,13 @@ class Compiler:
             families = {n.op.family for n in ready}
             if turn not in families:
                 turn = "TS" if "TS" in families else "CS"
-                self.df = self.df.repartition(KEY[turn])
+                if turn == "CS" or not self.chunk_rows:
+                    self.df = self.df.repartition(KEY[turn])
             batch = [n for n in ready if n.op.family == turn]
+            if turn == "TS" and self.chunk_rows:
+                self.kernels(batch, turn)
+                left = [n for n in left if n not in self.done]
+                continue
             self.windows([n for n in batch if not n.op.kernel])
             self.kernels([n for n in batch if n.op.kernel], turn)
             left = [n for n in left if n not in self.done]
@@ -189,12 +196,11 @@ class Compiler:
             if node.on is not None:
                 on = self.fresh()
                 inputs[on] = self.mask(node)
-            plans.append((self.done[node], node.op, fields, on, {k: list(v) if isinstance(v, tuple) else v for k, v in node.params}))
+            plans.append((self.done[node], node, fields, on, {k: list(v) if isinstance(v, tuple) else v for k, v in node.params}))
         kept = [f for f in self.df.schema.fields]
         names = [f.name for f in kept]
         key, order = KEY[family], "time" if family == "TS" else "code"
-        # The turn has dealt the panel out by key already.
-        df = self.df.withColumns(inputs).sortWithinPartitions(key, order)
+        df = self.df.withColumns(inputs)
         schema = T.StructType([*kept, *[T.StructField(p[0], T.DoubleType()) for p in plans]])
         kinds = {f.name: f.dataType for f in df.schema.fields}
         wanted = list(inputs)
@@ -207,6 +213,10 @@ class Compiler:
                 return column.to_pandas().to_numpy(dtype=object)
             return column.cast(pa.float64()).to_numpy()
 
+        if family == "TS" and self.chunk_rows:
+            self.df = in_chunks(df, plans, wanted, self.chunk_rows, array).drop(*wanted)
+            return
+
         def values(columns, fields, rows):
             return [[columns[c][rows] for c in f] if isinstance(f, list) else columns[f][rows] for f in fields]
 
@@ -215,7 +225,8 @@ class Compiler:
             table = pa.Table.from_batches(batches)
             columns = {c: array(table, c) for c in wanted}
             whole, made = Rows(ends), []
-            for _, op, fields, on, params in plans:
+            for _, node, fields, on, params in plans:
+                op = node.op
                 out = np.full(len(table), np.nan)
                 made.append(out)
                 inside = slice(None) if on is None else np.nonzero(columns[on] == 1)[0]
@@ -254,12 +265,13 @@ class Compiler:
             if waiting:
                 yield from run(waiting, [*ends, held])
 
-        self.df = df.mapInArrow(kernels, schema)
+        # The turn has dealt the panel out by key already.
+        self.df = df.sortWithinPartitions(key, order).mapInArrow(kernels, schema)
 
 
-def add_derivatives(panel: DataFrame, derivatives: dict[str, Node]) -> DataFrame:
-    """panel with one column per derivative."""
-    return Compiler(panel, derivatives).run()
+def add_derivatives(panel: DataFrame, derivatives: dict[str, Node], chunk_rows: int | None = None) -> DataFrame:
+    """panel with one column per derivative. chunk_rows: series are dealt in chunks of about so many rows, for codes with more than a task should hold; the panel is then written before each turn over time."""
+    return Compiler(panel, derivatives, chunk_rows).run()
 
 
 def keep_true(df: DataFrame, names: list[str]) -> DataFrame:

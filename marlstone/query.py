@@ -18,12 +18,12 @@ from .sources.panel import build_panel
 class QueryResult:
     """Lazy views of a query: nothing runs until a DataFrame's action does. Usable in a with block, which drops what was cached."""
 
-    def __init__(self, query: Query, source: DataFrame):
-        self.query, self.source_data = query, source
+    def __init__(self, query: Query, source: DataFrame, chunk_rows: int | None = None):
+        self.query, self.source_data, self.chunk_rows = query, source, chunk_rows
 
     @cached_property
     def computed_data(self) -> DataFrame:
-        return add_derivatives(self.source_data, {n: self.query.derivatives[n] for n in self.query.order})
+        return add_derivatives(self.source_data, {n: self.query.derivatives[n] for n in self.query.order}, self.chunk_rows)
 
     @cached_property
     def filtered_data(self) -> DataFrame:
@@ -47,10 +47,10 @@ class QueryResult:
         self.close()
 
 
-def execute_query(request: Any, long: DataFrame | None = None, panel: DataFrame | None = None, known: set[str] | None = None, codes_query: Any = None) -> QueryResult:
+def execute_query(request: Any, long: DataFrame | None = None, panel: DataFrame | None = None, known: set[str] | None = None, codes_query: Any = None, chunk_rows: int | None = None) -> QueryResult:
     """Runs a request over a long table (time, code, factor, value) or a panel (time, code, columns; one row a key).
 
-    codes_query, a request of its own, names the codes first: those of its result, which must be .SH or .SZ. known: factors that exist; others are refused.
+    codes_query, a request of its own, names the codes first: those of its result, which must be .SH or .SZ. known: factors that exist; others are refused. chunk_rows: a code's rows are dealt in chunks of about so many (plans.chunks); then the panel is written once before each turn over time, and an operator that needs a code's whole history is refused.
     """
     query = Query.parse(request)
     if (long is None) == (panel is None):
@@ -72,4 +72,4 @@ def execute_query(request: Any, long: DataFrame | None = None, panel: DataFrame
         chosen = execute_query(codes_query, long, panel, known).data.select("code").distinct()
         chosen = chosen.where(F.col("code").rlike(r"\.(SH|SZ)$"))
         source = source.join(chosen, "code", "left_semi")
-    return QueryResult(query, source)
+    return QueryResult(query, source, chunk_rows)
