@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.windows import Rows
 from .chunks import in_chunks
 from .request import Query
+from .sections import in_sections
 from .spec import Const, Name, Node, RequestError
 
 KEY = {"TS": "code", "CS": "time"}
@@ -100,11 +101,16 @@ class Compiler:
             families = {n.op.family for n in ready}
             if turn not in families:
                 turn = "TS" if "TS" in families else "CS"
-                if turn == "CS" or not self.chunk_rows:
+                if not self.chunk_rows:
                     self.df = self.df.repartition(KEY[turn])
             batch = [n for n in ready if n.op.family == turn]
-            if turn == "TS" and self.chunk_rows:
-                self.kernels(batch, turn)
+            if self.chunk_rows:
+                if turn == "TS":
+                    self.kernels(batch, turn)
+                else:
+                    nodes = [(self.fresh(), n, self.arguments(n), self.mask(n)) for n in batch]
+                    self.df = in_sections(self.df, nodes, self.fresh)
+                    self.done |= {n: name for name, n, *_ in nodes}
                 left = [n for n in left if n not in self.done]
                 continue
             self.windows([n for n in batch if not n.op.kernel])
@@ -270,7 +276,7 @@ class Compiler:
 
 
 def add_derivatives(panel: DataFrame, derivatives: dict[str, Node], chunk_rows: int | None = None) -> DataFrame:
-    """panel with one column per derivative. chunk_rows: series are dealt in chunks of about so many rows, for codes with more than a task should hold; the panel is then written before each turn over time."""
+    """panel with one column per derivative. chunk_rows: series are dealt in chunks of about so many rows and sections go by grouped aggregates and sorted values, for codes and times with more rows than a task should hold; the panel is then written before each turn."""
     return Compiler(panel, derivatives, chunk_rows).run()
 
 

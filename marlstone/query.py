@@ -50,7 +50,7 @@ class QueryResult:
 def execute_query(request: Any, long: DataFrame | None = None, panel: DataFrame | None = None, known: set[str] | None = None, codes_query: Any = None, chunk_rows: int | None = None) -> QueryResult:
     """Runs a request over a long table (time, code, factor, value) or a panel (time, code, columns; one row a key).
 
-    codes_query, a request of its own, names the codes first: those of its result, which must be .SH or .SZ. known: factors that exist; others are refused. chunk_rows: a code's rows are dealt in chunks of about so many (plans.chunks); then the panel is written once before each turn over time, and an operator that needs a code's whole history is refused.
+    codes_query, a request of its own, names the codes first: those of its result, which must be .SH or .SZ. known: factors that exist; others are refused. chunk_rows: a code's rows are dealt in chunks of about so many (plans.chunks), and no section meets in one task (plans.sections); then the panel is written once before each turn, and an operator that needs a whole history or section is refused.
     """
     query = Query.parse(request)
     if (long is None) == (panel is None):
