@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .apps import workers
 from .apps.backtest import build_messages, exchange_code, run_backtest
-from .apps.factor import analyze_factors
+from .apps.factor import EXACT, analyze_factors
 from .apps.optimize import analyze_sensitivity, optimize_backtest
 from .queries import NUDGE, SECTION_SQL, SPAN, _rounded, node, section_panel
 from .query import execute_query
@@ -75,8 +75,21 @@ def factor_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = section_panel(spark, sf_dir).withColumnsRenamed({"v": "circ_mv", "x": "f", "y": "ret"})
     industries = panel.select("code", F.concat(F.lit("i"), F.col("code").cast("long") % 7).alias("industry")).distinct()
     request = {"dataset_query": SPAN | {"factors": ["f"]}, "factor_columns": ["f"], "return_columns": ["ret"], "return_specs": {"ret": {"kind": "simple", "periods": 1}}}
-    return _shape(analyze_factors(request, panel=panel, industries=industries).processed, "f", "ret", "circ_mv")
-
+    return _shape(analyze_factors(request, panel=panel, industries=industries).processed, "f", "f_group", "ret", "circ_mv")
+
+
+ANALYSIS_SQL = f"""with {SECTION_SQL},
+d as (select time, code, x as f, y as ret, v as mv, 'i' || (code::bigint % 7) as industry from panel),
+a as (select *, case when mv is not null then f end as y0, case when f is not null then ln(greatest(mv, 1)) end as x0 from d),
+b as (select *, quantile_cont(y0, 0.5) over (partition by time) as m from a),
+c as (select *, 3 * quantile_cont(abs(y0 - m), 0.5) over (partition by time) as far from b),
+e as (select *, case when far = 0 then y0 when y0 is not null then greatest(m - far, least(m + far, y0)) end as y1 from c),
+z as (select *, (y1 - avg(y1) over t) / nullif(stddev_pop(y1) over t, 0) as y2, (x0 - avg(x0) over t) / nullif(stddev_pop(x0) over t, 0) as x2 from e window t as (partition by time)),
+h as (select *, case when x2 is not null then y2 end as y3, case when y2 is not null then x2 end as x3 from z),
+i as (select *, y3 - avg(y3) over s as yd, x3 - avg(x3) over s as xd, count(y3) over t as n, len(list_distinct(list(industry) filter (y3 is not null) over t)) as sectors from h window s as (partition by time, industry), t as (partition by time)),
+j as (select *, case when n > sectors then yd - coalesce(sum(xd * yd) over t / nullif(sum(xd * xd) over t, 0), 0) * xd end as rest from i window t as (partition by time)),
+k as (select *, case when stddev_pop(rest) over t > {EXACT} then (rest - avg(rest) over t) / stddev_pop(rest) over t end as pure from j window t as (partition by time))
+select time, code, industry, {_r('pure', 'f')}, {_r('case when pure is not null then least(floor((row_number() over (partition by time order by round(pure, 9) nulls last, code) - 1) * 5 / count(pure) over (partition by time)), 4) end', 'f_group')}, {_r('ret', 'ret')}, {_r('mv', 'circ_mv')} from k"""
 
 _AVERAGE_RANK = "case when f is not null and ret is not null then (rank() over (partition by time, f is null or ret is null order by {c}) + rank() over (partition by time, f is null or ret is null order by {c} desc) * -1 + count(*) over (partition by time, f is null or ret is null) + 1) / 2.0 end"
 IC_SQL = f"""with {SECTION_SQL}, d as (select time, x as f, y as ret from panel), k as (select *, {_AVERAGE_RANK.format(c='f')} as rf, {_AVERAGE_RANK.format(c='ret')} as rr from d)
@@ -189,4 +202,4 @@ QUERIES = {
     "latest_rows": latest_rows,
     "melted": melted,
 }
-SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL}
+SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "factor_analysis": ANALYSIS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL}

@@ -203,6 +203,20 @@ def _design(controls):
                 yield (text == level).astype(float)
 
 
+def _within_levels(y, texts, numbers):
+    """The residual on one category and numbers, by distances from each level's means: no column for each level, so levels may be many."""
+    levels, level = np.unique(np.array([str(v) for v in texts]), return_inverse=True)
+    if (len(levels) == 1 and not numbers) or len(y) <= 1 or len(y) <= len(levels) + len(numbers):
+        return y - y.mean()
+    size = np.bincount(level)
+    inside = lambda x: x - (np.bincount(level, x) / size)[level]
+    y = inside(y)
+    if not numbers:
+        return y
+    x = np.column_stack([inside(c) for c in numbers])
+    return y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+
+
 @_cs("controls.neutralize_by", "target controls+", kernel=True, params={"intercept": Bool(True)})
 def neutralize_by(target, controls, intercept):
     """Least-squares residual of target on the controls of its section; without a column or with too few rows, the distance from the mean. Incomplete rows stay NULL."""
@@ -213,7 +227,12 @@ def neutralize_by(target, controls, intercept):
     y = target[good]
     if not len(y):
         return out
-    columns = [x for x in _design([c[good] for c in controls]) if np.ptp(x) > 0]
+    controls = [c[good] for c in controls]
+    texts = [c for c in controls if c.dtype.kind not in "fiu"]
+    if intercept and len(texts) == 1:
+        out[good] = _within_levels(y, texts[0], [c.astype(float) for c in controls if c.dtype.kind in "fiu" and np.ptp(c) > 0])
+        return out
+    columns = [x for x in _design(controls) if np.ptp(x) > 0]
     if not columns or len(y) <= 1 or len(y) <= len(columns) + intercept:
         out[good] = y - y.mean()
         return out

@@ -142,3 +142,22 @@ def test_time_does_not_depend_on_the_window():
     assert time.process_time() - began < 30
     for i in (0, 10, 999, 500_000, n - 1):
         assert rank[i] == (x[: i + 1] < x[i]).sum() + 1 and middle[i] == pytest.approx(np.median(x[: i + 1]))
+
+
+def test_neutral_within_many_levels():
+    rng = np.random.default_rng(1)
+    neutral = load()["controls.neutralize_by"].build
+    y, v, g = rng.normal(size=300), rng.normal(size=300), np.array([f"g{i}" for i in rng.integers(0, 7, 300)], dtype=object)
+    y[5], v[9], g[11] = np.nan, np.nan, None
+    good = ~np.isnan(y) & ~np.isnan(v) & np.array([x is not None for x in g])
+    design = np.column_stack([np.ones(good.sum()), v[good], *[(g[good] == k).astype(float) for k in sorted(set(g[good]))[1:]]])
+    want = y[good] - design @ np.linalg.lstsq(design, y[good], rcond=None)[0]
+    assert np.allclose(neutral(y, [g, v], intercept=True)[good], want) and np.isnan(neutral(y, [g, v], intercept=True)[~good]).all()
+    n = 200_000
+    levels = np.array([f"g{i}" for i in rng.integers(0, 10_000, n)], dtype=object)
+    y = rng.normal(size=n)
+    began = time.process_time()
+    left = neutral(y, [levels], intercept=True)
+    assert time.process_time() - began < 20
+    means = pd.Series(left).groupby(levels).mean()
+    assert means.abs().max() < 1e-9 and len(means) > 9_900
