@@ -1,6 +1,6 @@
-r"""BPE encoding and decoding by a table of distinct words, with the files of the tokenizers library.
+"""BPE encoding and decoding by a table of distinct words, with the files of the tokenizers library.
 
-Texts are split into words where they lie. The words of a block of documents are numbered within the block, the most frequent first, so that a document becomes an array of small numbers and only a block's distinct words travel. Sorted by word, each distinct word is encoded once; its ids go back to the (block, number) pairs that asked, and documents take the ids of their block by position. Documents are written in buckets of blocks, so that they aren't shuffled to meet them. A word stands once in a block at most: however frequent it is, it has no more rows than there are blocks.
+Texts are split into words where they lie. The words of a block of documents are numbered within the block, the most frequent first, so that a document becomes an array of small numbers and only a block's distinct words travel, packed by hash bucket. Where a bucket's words meet, each distinct word is encoded once; its ids go back to the (block, number) pairs that asked, and documents take the ids of their block by position. Documents are written in buckets of blocks, so that they aren't shuffled to meet them. A word stands once in a block at most: however frequent it is, it has no more entries than there are blocks.
 
 Decoding takes the pieces of ids from the vocabulary and puts their bytes together.
 """
@@ -12,6 +12,8 @@ import json
 import os
 import re
 import uuid
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_parts, shared_dir, table
+from .common import each, n_parts, runs, shared_dir, table
 
-#: Most distinct words of a block, unless one document has more: their numbers have 16 bits then.
-BLOCK_WORDS = 1 << 16
+#: Most words of a block, unless one document has more.
+BLOCK_WORDS = 1_500_000
+#: Words that the library encodes in one call.
+CALL_WORDS = 10_000
+#: Distinct words that a task keeps with their ids; beyond, it forgets them and may encode a word again.
+KNOWN_WORDS = 200_000
 # White space as the library's \s has it; Java's is ASCII alone.
 _SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The byte-level pattern of words, for java.util.regex.
@@ -96,51 +102,69 @@ def _library_words(text: str, tokenizer, special: re.Pattern | None) -> list[str
     return out
 
 
-def _parts(numbers: np.ndarray, ends: np.ndarray, n_words: int, a: int, z: int, most: int):
-    """Runs [a, z) of documents with at most `most` distinct words, or of one document, with their words' counts."""
-    counts = np.bincount(numbers[ends[a] : ends[z]], minlength=n_words)
-    if z - a <= 1 or np.count_nonzero(counts) <= most:
-        yield a, z, counts
-    else:
-        middle = min(max(int(np.searchsorted(ends, (ends[a] + ends[z]) // 2)), a + 1), z - 1)
-        yield from _parts(numbers, ends, n_words, a, middle, most)
-        yield from _parts(numbers, ends, n_words, middle, z, most)
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as four runs of bytes, the lowest first: those of small numbers are zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(numbers: np.ndarray, lengths: np.ndarray, payload: bytes) -> bytes:
+    """Entries of a block in one compressed string: their ascending numbers, and lengths of their parts of the payload."""
+    return zlib.compress(b"".join((_planes(np.array([len(numbers)])), _planes(np.diff(numbers, prepend=0)), _planes(lengths), payload)), 6)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, memoryview]:
+    raw = memoryview(zlib.decompress(packed))
+    n = int(_numbers(raw[:4])[0])
+    return np.cumsum(_numbers(raw[4 : 4 + 4 * n]), dtype=np.int64), _numbers(raw[4 + 4 * n : 4 + 8 * n]).astype(np.int64), raw[4 + 8 * n :]
 
 
 def _blocks(docs: DataFrame, keep: list[str], text: str, vocabulary: Vocabulary, block_words: int) -> DataFrame:
-    """Rows of documents (_block, the columns in keep, _width and _slots: their words' numbers, 2 or 4 bytes each) and a row of each block's distinct words (_block, _words), written in buckets of blocks."""
+    """Rows of documents (_block, the columns in keep, _slots: their words' numbers, as _planes) and, for each hash bucket of a block's distinct words, a row (_block, _bucket, _words: numbers and words packed), written in buckets of blocks."""
     spark = docs.sparkSession
-    specials, shared = vocabulary.specials, spark.sparkContext.broadcast(vocabulary.text)
+    specials, shared, buckets = vocabulary.specials, spark.sparkContext.broadcast(vocabulary.text), n_parts(spark)
     odd = F.coalesce(F.col(text).rlike(UNKNOWN), F.lit(False))
     own = docs.select(*keep, F.when(~odd, split_words(F.col(text), specials)).alias("_w"), F.when(odd, F.col(text)).alias("_t"))
     k = len(keep)
-    schema = T.StructType([T.StructField("_block", T.LongType()), *[T.StructField(f.name, f.dataType) for f in own.schema.fields[:k]], *T.StructType.fromDDL("_width int, _slots binary, _words array<string>").fields])
+    schema = T.StructType([T.StructField("_block", T.LongType()), *[T.StructField(f.name, f.dataType) for f in own.schema.fields[:k]], *T.StructType.fromDDL("_slots binary, _bucket int, _words binary").fields])
+
+    def heard(words: pa.Array, block: int, kept: list) -> pa.RecordBatch:
+        """The rows of a block's distinct words, which stand in the order of their numbers."""
+        bucket = np.fromiter((zlib.crc32(w.as_buffer()) % buckets for w in words.cast(pa.binary())), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        packed = []
+        for part in np.split(order, starts[1:]) if len(order) else ():
+            some = words.take(pa.array(part))
+            ends = np.frombuffer(some.buffers()[1], np.int32, len(some) + 1, 4 * some.offset)
+            packed.append(_pack(part, np.diff(ends), memoryview(some.buffers()[2] or b"")[ends[0] : ends[-1]]))
+        n = len(packed)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *[pa.nulls(n, c.type) for c in kept], pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], schema.names)
 
     def number(batches):
         block, tokenizer = (TaskContext.get().partitionId() << 33) - 1, None
         special = re.compile("|".join(map(re.escape, specials))) if specials else None
         for b in batches:
-            lists, rest = b.column(k), b.column(k + 1)
-            if rest.null_count < len(rest):
-                tokenizer = tokenizer or _tokenizer(shared.value)
-                lists = pa.array([w.as_py() if t.as_py() is None else _library_words(t.as_py(), tokenizer, special) for w, t in zip(lists, rest)], pa.list_(pa.string()))
-            coded = pc.dictionary_encode(pc.list_flatten(lists))
-            numbers, every = coded.indices.to_numpy(), coded.dictionary
-            ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
-            for a, z, counts in _parts(numbers, ends, len(every), 0, b.num_rows, block_words):
+            sizes = pc.list_value_length(b.column(k)).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = sizes + pc.utf8_length(b.column(k + 1)).fill_null(0).to_numpy(zero_copy_only=False)  # at least the words that the library will find
+            for a, z in runs(np.append(0, np.cumsum(sizes, dtype=np.int64)), block_words):
                 block, n = block + 1, z - a
-                own = np.nonzero(counts)[0]
-                own = own[np.argsort(-counts[own], kind="stable")]
-                place = np.zeros(len(every), np.int64)
-                place[own] = np.arange(len(own))
-                width = 2 if len(own) <= 1 << 16 else 4
-                slots = place[numbers[ends[a] : ends[z]]].astype(f"<u{width}")
-                at = (width * (ends[a : z + 1] - ends[a])).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(slots)])
-                kept = [c.slice(a, n) for c in b.columns[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *kept, pa.array([width] * n, pa.int32()), raw, pa.nulls(n, pa.list_(pa.string()))], schema.names)
-                heard = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), every.take(pa.array(own)))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.nulls(1, c.type) for c in kept], pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), heard], schema.names)
+                lists, rest, kept = b.column(k).slice(a, n), b.column(k + 1).slice(a, n), [c.slice(a, n) for c in b.columns[:k]]
+                if rest.null_count < n:
+                    tokenizer = tokenizer or _tokenizer(shared.value)
+                    lists = pa.array([w.as_py() if t.as_py() is None else _library_words(t.as_py(), tokenizer, special) for w, t in zip(lists, rest)], pa.list_(pa.string()))
+                coded = pc.dictionary_encode(pc.list_flatten(lists))
+                numbers, every = coded.indices.to_numpy(), coded.dictionary
+                order = np.argsort(-np.bincount(numbers, minlength=len(every)), kind="stable")
+                place = np.zeros(len(every), "<u4")
+                place[order] = np.arange(len(every))
+                slots, at = place[numbers], np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).tolist()
+                raw = pa.array([_planes(slots[i:j]) for i, j in zip(at, at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *kept, raw, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema.names)
+                yield heard(every.take(pa.array(order)), block, kept)
 
     name = f"bpe_{uuid.uuid4().hex}"
     where = f"{shared_dir(spark).rstrip('/')}/{name}"
@@ -149,89 +173,105 @@ def _blocks(docs: DataFrame, keep: list[str], text: str, vocabulary: Vocabulary,
 
 
 def _encode_words(heard: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(_block, _slot, _ids) for rows (_block, _slot, _word): rows of one word meet, and the word is encoded once."""
+    """(_block, _ids: numbers and ids packed) for rows (_block, _bucket, _words): a bucket's words meet in one task, which encodes each distinct one once."""
     shared = heard.sparkSession.sparkContext.broadcast(vocabulary.text)
 
     def encode(batches):
-        tokenizer, last, held = _tokenizer(shared.value), None, None
+        tokenizer, known = _tokenizer(shared.value), {}
         for b in batches:
-            coded = pc.dictionary_encode(b.column("_word"))
-            words = coded.dictionary.to_pylist()
-            known = [held] if words and words[0] == last else []
-            lists = known + [e.ids for e in tokenizer.encode_batch_fast(words[len(known) :], add_special_tokens=False)]
-            if words:
-                last, held = words[-1], lists[-1]
-            ids = pa.array(lists, pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([b.column("_block"), b.column("_slot"), ids], ["_block", "_slot", "_ids"])
-
-    return heard.repartition("_word").sortWithinPartitions("_word").mapInArrow(encode, "_block long, _slot int, _ids array<int>")
+            blocks, made = b.column(0), []
+            for packed in each(b.column(1)):
+                numbers, lengths, raw = _unpack(packed)
+                ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+                words = pa.StringArray.from_buffers(len(numbers), pa.py_buffer(ends), pa.py_buffer(raw)).to_pylist()
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for at in range(0, len(new), CALL_WORDS):
+                    some = new[at : at + CALL_WORDS]
+                    known.update((w, array("I", e.ids)) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+                ids = [known[w] for w in words]
+                made.append(_pack(numbers, np.fromiter(map(len, ids), np.int64, len(ids)), _planes(np.frombuffer(b"".join(ids), np.uint32))))
+            yield pa.RecordBatch.from_arrays([blocks, pa.array(made, pa.binary())], ["_block", "_ids"])
+
+    return heard.repartition("_bucket").select("_block", "_words").mapInArrow(encode, "_block long, _ids binary")
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of docs named in keep (the id alone if None) with `ids`, the text's token ids, for each row.
 
-    The same ids as the tokenizers library gives for the whole text with the file at path, without special tokens around it; strings of added tokens inside a text are such tokens, as there. A null or empty text has an empty list. Repeated rows, ids and ties need no rule; very long texts and words are encoded whole. Columns named ids or like one in use here (they begin with an underscore: _block, _width, _slots, _words) are not kept. An empty table gives no rows.
+    The same ids as the tokenizers library gives for the whole text with the file at path, without special tokens around it; strings of added tokens inside a text are such tokens, as there. A null or empty text has an empty list. Repeated rows, ids and ties need no rule; very long texts and words are encoded whole. Columns named ids or like one in use here (_block, _slots, _bucket, _words) are not kept. An empty table gives no rows.
     """
     vocabulary = Vocabulary.read(path)
-    keep = [c for c in (keep or [doc_id]) if c not in ("ids", "_block", "_width", "_slots", "_words")]
+    keep = [c for c in (keep or [doc_id]) if c not in ("ids", "_block", "_slots", "_bucket", "_words")]
     both = _blocks(docs, keep, text, vocabulary, block_words)
-    heard = both.where(F.col("_words").isNotNull()).select("_block", F.posexplode("_words").alias("_slot", "_word"))
-    coded = _encode_words(heard, vocabulary)
-    rows = both.where(F.col("_slots").isNotNull()).select("_block", *keep, "_width", "_slots")
+    coded = _encode_words(both.where(F.col("_words").isNotNull()).select("_block", "_bucket", "_words"), vocabulary)
+    rows = both.where(F.col("_slots").isNotNull()).select("_block", *keep, "_slots")
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents of one block and the ids of its words."""
-        lists = right.take(pc.sort_indices(right["_slot"]))["_ids"].combine_chunks() if len(right) else pa.array([[]], pa.list_(pa.int32()))
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        out, ends = [], [0]
-        for width, raw in zip(left["_width"].to_pylist(), left["_slots"]):
-            slots = np.frombuffer(raw.as_buffer(), f"<u{width}")
-            out.append(slots)
-            ends.append(ends[-1] + int(size[slots].sum()))
-        ids = pc.list_flatten(lists.take(pa.array(np.concatenate(out).astype(np.int64)))) if out else pa.array([], pa.int32())
-        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-        return pa.table([*[left[c] for c in keep], made], names=schema.names)
+        parts = [_unpack(x) for x in each(right["_ids"])]
+        numbers, lengths = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in (0, 1))
+        ids = np.concatenate([np.zeros(0, np.int32), *[_numbers(p[2]).astype(np.int32) for p in parts]])
+        ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())).take(pa.array(np.argsort(numbers)))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        slots = [_numbers(x) for x in each(left["_slots"])]
+        at = np.cumsum([0, *[int(sizes[s].sum()) for s in slots]]).astype(np.int32)
+        flat = pc.list_flatten(lists.take(pa.array(np.concatenate(slots)))) if slots else pa.array([], pa.int32())
+        return pa.table([*[left[c] for c in keep], pa.ListArray.from_arrays(pa.array(at), flat)], names=schema.names)
 
     return rows.groupBy("_block").cogroup(coded.groupBy("_block")).applyInArrow(assemble, schema)
 
 
+def _texts(lists: pa.Array, pieces: pa.Array) -> list[str | None]:
+    """The text of each list of ids; the last of pieces is empty and stands for ids beyond the vocabulary."""
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    got = pieces.take(pa.array(np.where((flat < 0) | (flat >= len(pieces)), len(pieces) - 1, flat)))
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1)[np.append(0, np.cumsum(sizes))].tolist()
+    raw = memoryview(got.buffers()[2] or b"")
+    return [None if null else str(raw[a:z], "utf-8", "replace") for a, z, null in zip(at, at[1:], lists.is_null().to_pylist())]
+
+
+def _pieces(path: str) -> list[bytes]:
+    return [*Vocabulary.read(path).pieces(), b""]
+
+
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """tokens with the text of each row's ids, added tokens included; bytes that are no UTF-8 become U+FFFD, as the library has them. The vocabulary's pieces are one array by id, so that their join is a take; nothing is shuffled. A null list gives null; an id beyond the vocabulary has no piece and adds nothing, as in the library. A column named like the text is replaced."""
     tokens = tokens.drop(text)
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.read(path).pieces())
+    shared = tokens.sparkSession.sparkContext.broadcast(_pieces(path))
     place = tokens.columns.index(ids)
     schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])
 
     def of(batches):
-        pieces = pa.array([*shared.value, b""], pa.binary())
+        pieces = pa.array(shared.value, pa.binary())
         for b in batches:
-            lists = b.column(place)
-            flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat < 0) | (flat >= len(pieces)), len(pieces) - 1, flat)
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            got = pieces.take(pa.array(flat))
-            at = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1)[np.append(0, np.cumsum(sizes))]
-            raw = memoryview(got.buffers()[2] or b"")
-            made = [None if null else str(raw[a:z], "utf-8", "replace") for a, z, null in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_texts(b.column(place), pieces), pa.string())], schema.names)
 
     return tokens.mapInArrow(of, schema)
 
 
-def id_digests(tokens: DataFrame, ids: str = "ids", name: str = "ids_sha256") -> DataFrame:
-    """tokens with the lowercase hex SHA-256 of the ids as little-endian 32-bit integers in place of the ids, and their number n_tokens."""
-    rest = [c for c in tokens.columns if c != ids]
-    schema = T.StructType([*[tokens.schema[c] for c in rest], *T.StructType.fromDDL(f"n_tokens long, {name} string").fields])
+def digests(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """tokens with, in place of the ids, their number n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256 (of the text that decode gives, in UTF-8), lowercase hex; null lists count as empty. One pass, so that decoded texts needn't go back to the JVM."""
+    rest = [c for c in tokens.columns if c not in (ids, "n_tokens", "ids_sha256", "decoded_sha256")]
+    shared = tokens.sparkSession.sparkContext.broadcast(_pieces(path))
+    schema = T.StructType([*[tokens.schema[c] for c in rest], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
+    hexed = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def of(batches):
+        pieces = pa.array(shared.value, pa.binary())
         for b in batches:
-            lists = b.column(0)
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            raw, ends = memoryview(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<u4").tobytes()), [0, *(4 * np.cumsum(sizes)).tolist()]
-            made = [hashlib.sha256(raw[a:z]).hexdigest() for a, z in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sizes.astype(np.int64)), pa.array(made, pa.string())], schema.names)
+            sizes = pc.list_value_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False)
+            # Lists go through in portions, since a decoded text is longer than its ids.
+            for a, z in runs(np.append(0, np.cumsum(sizes, dtype=np.int64)), CALL_WORDS * 50):
+                lists = b.column(0).slice(a, z - a)
+                raw = memoryview(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                ends = [0, *(4 * np.cumsum(sizes[a:z], dtype=np.int64)).tolist()]
+                made = [[hexed(raw[i:j]) for i, j in zip(ends, ends[1:])], [hexed((t or "").encode()) for t in _texts(lists, pieces)]]
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, z - a) for c in b.columns[1:]], pa.array(sizes[a:z].astype(np.int64)), *[pa.array(m, pa.string()) for m in made]], schema.names)
 
     return tokens.select(ids, *rest).mapInArrow(of, schema)
 
@@ -241,5 +281,4 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    text = decode(ids, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return id_digests(text).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(ids, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

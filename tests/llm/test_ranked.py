@@ -176,7 +176,7 @@ def encoded(docs, tokenizer):
     return sorted(((d, tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in docs), key=repr)
 
 
-@pytest.mark.parametrize("block_words", [bpe.BLOCK_WORDS, 4])
+@pytest.mark.parametrize("block_words", [bpe.BLOCK_WORDS, 7])
 def test_bpe_hard_rows(spark, tokenizer, block_words):
     docs = HARD + list(enumerate(ODD)) + [(None, ODD[1])] * 3
     df = spark.createDataFrame(docs, DOCS).repartition(3).withColumns({c: F.lit("y") for c in ("ids", "_block", "_words", "other", "decoded")})
