@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .apps.optimize import analyze_sensitivity, optimize_backtest
 from .queries import NUDGE, SECTION_SQL, SPAN, _rounded, node, section_panel
 from .query import execute_query
 from .sources.panel import latest
+from .sources.shared import shared_folder
+from .sources.store import SnapshotTable
 
 # The source's dates are a feature of panel_source; all else takes every day.
 PANEL_SPAN = {"start_date": "2024-01-03", "end_date": "2024-01-28", "codes": []}
@@ -189,6 +193,23 @@ def melted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MELTED_SQL = f"with r as (select l_partkey::varchar as code, date_trunc('month', l_shipdate)::timestamp as time, l_quantity as qty, case when l_discount > 0 then l_extendedprice end as price from lineitem), m as (select time, code, 'qty' as factor, qty as value from r union all select time, code, 'price', price from r) select time, code, factor, {_r('max(value)', 'value')} from m where value is not null group by time, code, factor"
 
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as long rows in four sequences, out of order, compacted in between; the table's latest version."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    key = [F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time"), F.col("user_id").cast("string").alias("code"), F.col("event_type").alias("factor")]
+    rows = events.groupBy(*key, (F.col("event_id") % 4).alias("part")).agg(F.max("value").alias("value"))
+    table = SnapshotTable(spark, f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}")
+    for sequence in (0, 2, 1, 3):
+        table.append(rows.where(F.col("part") == sequence), sequence)
+        if sequence == 1:
+            table.compact()
+    return _shape(table.read(), "value")
+
+
+SNAPSHOT_SQL = f"""with r as (select date_trunc('day', ts)::timestamp as time, user_id::varchar as code, event_type as factor, event_id % 4 as part, max(value) as value from events group by all)
+select time, code, factor, {_r('arg_max(value, part)', 'value')} from r group by time, code, factor"""
+
+
 QUERIES = {
     "panel_source": panel_source,
     "factor_ic": factor_ic,
@@ -201,5 +222,6 @@ QUERIES = {
     "financial_flows": financial_flows,
     "latest_rows": latest_rows,
     "melted": melted,
+    "snapshot_table": snapshot_table,
 }
-SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "factor_analysis": ANALYSIS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL}
+SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "factor_analysis": ANALYSIS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL, "snapshot_table": SNAPSHOT_SQL}

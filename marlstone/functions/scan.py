@@ -270,9 +270,16 @@ def running(kind):
     return of
 
 
-def filled(x, limit):
-    """The latest value."""
-    good = ~np.isnan(x)
-    n, _ = yield from counted(good)
-    y, _ = yield from latest(x, good)
-    return np.where(n > 0, y, np.nan)
+def running_pairs(kind):
+    def of(x, y, min_periods):
+        good = ~np.isnan(x) & ~np.isnan(y)
+        n, before = yield from counted(good)
+        many = np.maximum(n, 1)
+        keep = np.where(good, before / many, 1.0)
+        (_, mx), (_, my) = yield [(keep, _put(x / many, good)), (keep, _put(y / many, good))]
+        dx, dy, share = x - mx, y - my, before / many
+        (xx, _), (yy, _), (xy, _) = yield [(1.0, _put(a * b * share, good)) for a, b in ((dx, dx), (dy, dy), (dx, dy))]
+        value = {"beta": np.where(xx > 0, xy / xx, np.nan), "corr": np.where((xx > 0) & (yy > 0), xy / np.sqrt(xx * yy), np.nan), "cov": np.where(n > 1, xy / np.maximum(n - 1, 1), np.nan)}[kind]
+        return np.where(n >= min_periods, value, np.nan)
+
+    return of

@@ -67,7 +67,7 @@ _EXPANDING_TWO = {
     "cov": lambda x, y, w: F.covar_samp(_d(x), _d(y)).over(w),
 }
 for _name, _g in _EXPANDING_TWO.items():
-    _expanding(f"binary.expanding_{_name}", "left right")(lambda f, left, right, min_periods, g=_g: _guard(f.past(), _both(left, right), min_periods, g(left, right, f.past())))
+    _expanding(f"binary.expanding_{_name}", "left right", scan=scan.running_pairs(_name))(lambda f, left, right, min_periods, g=_g: _guard(f.past(), _both(left, right), min_periods, g(left, right, f.past())))
 
 
 # Rolling forms would make Spark go through every row's frame anew. They are kernels over all series of a pass, whose time doesn't depend on the window.

@@ -27,30 +27,56 @@ class Sections:
 
     def __init__(self, df: DataFrame, fresh):
         self.df, self.fresh = _saved(df, "sections"), fresh
+        self.added: dict[str, Column] = {}
+        self.places: dict[tuple, tuple] = {}
+        self.pending: dict[tuple, list[Column]] = {}  # totals that are asked for and not yet joined, by key
+        self.asked: set[str] = set()
 
     def add(self, value: Column) -> Column:
-        name = self.fresh()
-        self.df = self.df.withColumn(name, value)
-        return F.col(name)
-
-    def _join(self, made: DataFrame, keys: list[str], small: bool = False) -> None:
+        """value as a column of its own; equal expressions share one."""
+        said = value._jc.toString()
+        if said not in self.added:
+            if any(name in said for name in self.asked):
+                self.flush()
+            name = self.fresh()
+            self.df = self.df.withColumn(name, value)
+            self.added[said] = self.added[name] = F.col(name)
+        return self.added[said]
+
+    def _keys(self, by: tuple) -> tuple[str, ...]:
+        return ("time", *[self.add(b)._jc.toString() for b in by])
+
+    def _join(self, made: DataFrame, keys, small: bool = False) -> None:
         """Joins made on the columns keys of both, null keys equal to none."""
         if small and made.limit(BROADCAST_SECTIONS + 1).count() <= BROADCAST_SECTIONS:
             made = F.broadcast(made)
-        self.df = self.df.join(made, keys, "left")
+        self.df = self.df.join(made, list(keys), "left")
 
     def totals(self, *aggregates: Column, by: tuple = ()) -> list[Column]:
-        """One column for each aggregate, over the section or the section's rows of one value of `by`."""
-        names = [self.fresh() for _ in aggregates]
-        keys = ["time", *[self.add(b)._jc.toString() for b in by]]
-        made = self.df.groupBy(*keys).agg(*[a.alias(n) for a, n in zip(aggregates, names)])
-        self._join(_saved(made, "section-totals"), keys, small=True)
-        return [F.col(n) for n in names]
+        """One column for each aggregate, over the section or the section's rows of one value of `by`. All that are asked for until one is used are made together."""
+        keys, out = self._keys(by), []
+        for a in aggregates:
+            said = f"{a._jc.toString()} {keys}"
+            if said not in self.added:
+                if any(name in said for name in self.asked):
+                    self.flush()
+                self.added[said] = F.col(self.fresh())
+                name = self.added[said]._jc.toString()
+                self.pending.setdefault(keys, []).append(a.alias(name))
+                self.asked.add(name)
+            out.append(self.added[said])
+        return out
+
+    def flush(self) -> None:
+        waiting, self.pending, self.asked = self.pending, {}, set()
+        for keys, aggregates in waiting.items():
+            self._join(_saved(self.df.groupBy(*keys).agg(*aggregates), "section-totals"), keys, small=True)
 
     def _places(self, value: Column, by: tuple) -> tuple[DataFrame, list[str], str]:
         """(table, keys, name of value): for each section the distinct values with _n (rows), _before (rows of smaller values), _dense (smaller values), _all and _distinct (of the section)."""
-        x = self.add(value)._jc.toString()
-        keys = ["time", *[self.add(b)._jc.toString() for b in by]]
+        x, keys = self.add(value)._jc.toString(), list(self._keys(by))
+        if (x, *keys) in self.places:
+            return self.places[x, *keys], keys, x
         rows = self.df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
         n_parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = _saved(rows.repartitionByRange(n_parts, *keys, x).withColumn("_part", F.spark_partition_id()), "section-values")
@@ -60,8 +86,10 @@ class Sections:
         parts = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"), F.count("*").alias("_c"))
         parts = parts.select(*keys, "_part", zero(F.sum("_s").over(earlier)).alias("_ps"), zero(F.sum("_c").over(earlier)).alias("_pc"), F.sum("_s").over(section).alias("_all"), F.sum("_c").over(section).alias("_distinct"))
         inside = W.partitionBy("_part", *keys).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-        out = placed.withColumns({"_before": zero(F.sum("_n").over(inside)), "_dense": zero(F.count("_n").over(inside))}).join(_saved(parts, "section-parts"), [*keys, "_part"])
-        return out.select(*keys, x, "_n", (F.col("_before") + F.col("_ps")).alias("_before"), (F.col("_dense") + F.col("_pc")).alias("_dense"), "_all", "_distinct"), keys, x
+        out = placed.withColumns({"_before": zero(F.sum("_n").over(inside)), "_dense": zero(F.count("_n").over(inside))}).join(parts, [*keys, "_part"])
+        out = out.select(*keys, x, "_n", (F.col("_before") + F.col("_ps")).alias("_before"), (F.col("_dense") + F.col("_pc")).alias("_dense"), "_all", "_distinct")
+        self.places[x, *keys] = _saved(out, "section-places")
+        return self.places[x, *keys], keys, x
 
     def rank(self, value: Column, ascending: bool, ties: str, by: tuple = (), share: bool = False) -> Column:
         if ties == "first":
@@ -75,20 +103,20 @@ class Sections:
             before, dense = every - before - n, distinct - dense - 1
         rank = {"min": before + 1, "max": before + n, "average": before + (n + 1) / 2, "dense": dense + 1}[ties]
         name = self.fresh()
-        self._join(_saved(made.select(*keys, x, (rank / (distinct if ties == "dense" else every) if share else rank).alias(name)), "section-ranks"), [*keys, x])
+        self._join(made.select(*keys, x, (rank / (distinct if ties == "dense" else every) if share else rank).alias(name)), [*keys, x])
         return F.col(name)
 
     def order(self, value: Column, ascending: bool, by: tuple = ()) -> Column:
         """Place from 1 by value, then code, among the rows that have one."""
         x, name = self.add(value)._jc.toString(), self.fresh()
-        keys = ["time", *[self.add(b)._jc.toString() for b in by]]
+        keys = list(self._keys(by))
         order = [F.col(x).asc() if ascending else F.col(x).desc(), F.col("code").asc()]
         n_parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = self.df.where(F.col(x).isNotNull()).select(*keys, "code", x).repartitionByRange(n_parts, *keys, *order)
         placed = _saved(rows.withColumn("_part", F.spark_partition_id()), "section-order")
         parts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
         parts = parts.withColumn("_upto", F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-        placed = placed.withColumn(name, F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order))).join(_saved(parts, "section-parts"), [*keys, "_part"])
+        placed = placed.withColumn(name, F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order))).join(parts, [*keys, "_part"])
         self._join(_saved(placed.select("time", "code", (F.col(name) + F.col("_upto")).alias(name)), "section-places"), ["time", "code"])
         return F.col(name)
 
@@ -243,5 +271,5 @@ def in_sections(df: DataFrame, nodes: list[tuple[str, Node, list, Column | None]
         values = [sections.add(x if held is None or i else F.when(held, x)) for i, x in enumerate(operands)]
         value = WIDE[node.op.name](sections, *values, **dict(node.params))
         made[name] = value if held is None else F.when(held, value)
-        sections.df = sections.df.withColumn(name, made[name])
-    return sections.df.select(*[F.col(f"`{c}`") for c in [*kept, *made]])
+    sections.flush()
+    return sections.df.withColumns(made).select(*[F.col(f"`{c}`") for c in [*kept, *made]])

@@ -103,9 +103,9 @@ def _shaped(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("time", "code", *out)
 
 
-def _register(name: str, panel: Callable, derivatives: dict, sql: dict, source: str, windows: str, plain: set = frozenset(), ctes: str = "", table: str = "panel") -> None:
+def _register(name: str, panel: Callable, derivatives: dict, sql: dict, source: str, windows: str, plain: set = frozenset(), ctes: str = "", table: str = "panel", chunk_rows: int | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = execute_query(SPAN | {"derivatives": derivatives}, panel=panel(spark, sf_dir)).data
+        got = execute_query(SPAN | {"derivatives": derivatives}, panel=panel(spark, sf_dir), chunk_rows=chunk_rows).data
         return _shaped(got, list(derivatives))
 
     QUERIES[name] = run
@@ -482,3 +482,13 @@ _register(
     SECTION_SQL,
     SECTIONS,
 )
+
+#: Rows of a chunk where series and sections are dealt in pieces; the results are those of whole ones.
+CHUNK_ROWS = 500_000
+_LONG = [c for k in ("ts_rolling", "ts_pairs", "ts_expanding") for c in TS[k] if not c[0].startswith(("unary.rolling_first", "unary.rolling_last", "unary.expanding_median", "unary.expanding_quantile", "talib."))]
+_register("long_series", series_panel, *_group("TS", _LONG + TS["ts_moves"][:3]), SERIES_SQL, WINDOWS, chunk_rows=CHUNK_ROWS)
+_ctes, _table = series_sql.weighted(5.0, 0.3)
+_register("long_series_weighted", series_panel, *_group("TS", [_case(f"unary.ewm_{k}", "x", f"ewm_{k}", span=5.0) for k in ("mean", "std", "var")] + [_case(f"binary.ewm_{k}", "x y", f"ewm_{k}", alpha=0.3) for k in ("cov", "corr")]), SERIES_SQL, "", ctes=_ctes, table=_table, chunk_rows=CHUNK_ROWS)
+for _name, _kinds in (("wide_values", ("cs_reductions", "cs_scaling")), ("wide_ranks", ("cs_ranks", "cs_flags"))):
+    _d, _s = _group("CS", [c for k in _kinds for c in CS[k]])
+    _register(_name, section_panel, _d, _s, SECTION_SQL, SECTIONS, {n for n in _s if "top_" in n or "bottom_" in n}, chunk_rows=CHUNK_ROWS)

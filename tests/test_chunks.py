@@ -95,6 +95,7 @@ NODES = {
     **{k: ts(f"unary.cum_{k}", "x", min_periods=2) for k in ("sum", "count", "max", "min")},
     "cmean": ts("unary.cum_mean", "x"),
     **{f"e{k}": ts(f"unary.expanding_{k}", "x", min_periods=2) for k in ("std", "var", "sem")},
+    **{f"p{k}": ts(f"binary.expanding_{k}", {"left": "x", "right": "v"}, min_periods=3) for k in ("beta", "corr", "cov")},
 }
 
 
