@@ -13,7 +13,7 @@ from .apps.factor import EXACT, analyze_factors
 from .apps.optimize import analyze_sensitivity, optimize_backtest
 from .queries import NUDGE, SECTION_SQL, SPAN, _rounded, node, section_panel
 from .query import execute_query
-from .sources.panel import latest
+from .sources.panel import CoreTable, append_dimension, latest, write_result
 from .sources.shared import shared_folder
 from .sources.store import SnapshotTable
 
@@ -210,6 +210,61 @@ SNAPSHOT_SQL = f"""with r as (select date_trunc('day', ts)::timestamp as time, u
 select time, code, factor, {_r('arg_max(value, part)', 'value')} from r group by time, code, factor"""
 
 
+def core_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to the long table in three sequences, out of order, read back and written as a result."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time"), F.col("user_id").cast("string").alias("code"), F.col("event_type").alias("factor"), (F.col("event_id") % 3).alias("part")).agg(F.max("value").alias("value"))
+    folder = f"{shared_folder(spark)}/core-{uuid.uuid4().hex}"
+    table = CoreTable(spark, f"{folder}/table")
+    for sequence in (2, 0, 1):
+        table.append(rows.where(F.col("part") == sequence), sequence)
+    write_result(_shape(table.read(), "value"), f"{folder}/result")
+    return spark.read.parquet(f"{folder}/result")
+
+
+CORE_SQL = f"""with r as (select date_trunc('day', ts)::timestamp as time, user_id::varchar as code, event_type as factor, event_id % 3 as part, max(value) as value from events group by all)
+select time, code, factor, {_r('arg_max(value, part)', 'value')} from r group by time, code, factor"""
+
+
+def codes_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the codes that a query of their own names: those of two exchanges that were high once."""
+    panel = section_panel(spark, sf_dir)
+    panel = panel.select("time", F.concat("code", F.get(F.array(F.lit(".SH"), F.lit(".SZ"), F.lit(".XX")), (F.col("code").cast("long") % 3).cast("int"))).alias("code"), "c")
+    high = SPAN | {"factors": ["c"], "derivatives": {"high": node("DIRECT", "binary.gt", {"left": "c", "right": 120.0})}, "filters": ["high"]}
+    mean = SPAN | {"factors": ["c"], "derivatives": {"mean": node("TS", "unary.rolling_mean", {"col": "c"}, {"window": 3, "min_periods": 1})}}
+    return _shape(execute_query(mean, panel=panel, codes_query=high).data, "c", "mean")
+
+
+CODES_SQL = f"""with {SECTION_SQL}, p as (select time, code || ['.SH', '.SZ', '.XX'][(code::bigint % 3 + 1)::int] as code, c from panel)
+select time, code, {_r('c', 'c')}, {_r('avg(c) over (partition by code order by time rows between 2 preceding and current row)', 'mean')} from p where code in (select code from p where c > 120.0) and not ends_with(code, '.XX')"""
+
+
+def first_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that were news when they came: announced with delays that let later periods overtake earlier ones."""
+    late = F.date_add(F.to_date("end_date", "yyyyMMdd"), (F.conv(F.substring(F.md5(F.concat("ts_code", "end_date")), 1, 4), 16, 10).cast("int") % 7 * 40).cast("int"))
+    reports = _reports(spark, sf_dir).withColumn("f_ann_date", F.date_format(late, "yyyyMMdd"))
+    return _shape(workers.first_reports(reports), "rev").select("ts_code", "end_date", "f_ann_date", "rev")
+
+
+NEWS_SQL = f"""with q as (select o_custkey::varchar as ts_code, date_trunc('quarter', o_orderdate) as t, round(sum(o_totalprice), 2) as rev from orders group by 1, 2),
+d as (select ts_code, last_day(t + interval 2 month) as e, strftime(last_day(t + interval 2 month), '%Y%m%d') as end_date, rev from q),
+a as (select ts_code, end_date, strftime(e + (('0x' || substr(md5(ts_code || end_date), 1, 4))::int % 7 * 40)::int, '%Y%m%d') as f_ann_date, rev from d),
+n as (select *, max(end_date) over (partition by ts_code order by f_ann_date, end_date rows between unbounded preceding and 1 preceding) as before from a)
+select ts_code, end_date, f_ann_date, {_r('rev', 'rev')} from n where before is null or end_date > before qualify row_number() over (partition by ts_code, f_ann_date order by end_date desc) = 1"""
+
+
+def dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of a dimension: of equal keys in a batch the last by all columns stays."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.year("o_orderdate").alias("y"), "o_totalprice", "o_orderpriority", (F.col("o_orderkey") % 2).alias("batch"))
+    path = f"{shared_folder(spark)}/dimension-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        append_dimension(orders.where(F.col("batch") == batch), path, ["o_custkey", "y"], ["o_custkey", "o_totalprice"])
+    return _shape(spark.read.parquet(path), "o_totalprice")
+
+
+DIMENSION_SQL = f"""select o_custkey, year(o_orderdate)::int as y, {_r('o_totalprice', 'o_totalprice')}, o_orderpriority, o_orderkey % 2 as batch from orders qualify row_number() over (partition by o_custkey, year(o_orderdate), o_orderkey % 2 order by o_totalprice desc, o_orderpriority desc) = 1"""
+
+
 QUERIES = {
     "panel_source": panel_source,
     "factor_ic": factor_ic,
@@ -223,5 +278,9 @@ QUERIES = {
     "latest_rows": latest_rows,
     "melted": melted,
     "snapshot_table": snapshot_table,
+    "core_table": core_table,
+    "codes_subquery": codes_subquery,
+    "first_reports": first_reports,
+    "dimension_rows": dimension_rows,
 }
-SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "factor_analysis": ANALYSIS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL, "snapshot_table": SNAPSHOT_SQL}
+SQL = {"panel_source": PANEL_SQL, "factor_ic": IC_SQL, "factor_groups": GROUPS_SQL, "factor_analysis": ANALYSIS_SQL, "backtest_messages": MESSAGES_SQL, "financial_flows": FLOWS_SQL, "latest_rows": LATEST_SQL, "melted": MELTED_SQL, "snapshot_table": SNAPSHOT_SQL, "core_table": CORE_SQL, "codes_subquery": CODES_SQL, "first_reports": NEWS_SQL, "dimension_rows": DIMENSION_SQL}
