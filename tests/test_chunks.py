@@ -99,7 +99,7 @@ NODES = {
 }
 
 
-@pytest.mark.parametrize("chunk_rows", [37, 400, 100_000])
+@pytest.mark.parametrize("chunk_rows", [60, 100_000])
 def test_chunks_give_the_rows_of_whole_series(spark, chunk_rows):
     df = panel_of(spark, [1, 900, 3, 60, 250, 2]).cache()
     got = {}
