@@ -123,7 +123,7 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, memoryview]:
 
 
 def _blocks(docs: DataFrame, keep: list[str], text: str, vocabulary: Vocabulary, block_words: int) -> DataFrame:
-    """Rows of documents (_block, the columns in keep, _slots: their words' numbers, as _planes) and, for each hash bucket of a block's distinct words, a row (_block, _bucket, _words: numbers and words packed), written in buckets of blocks."""
+    """Rows of documents (_block, the columns in keep, _slots: their words' numbers, as _planes) and, for each hash bucket of a block's distinct words, a row (_block, _bucket, _words: numbers and words packed), written in buckets of blocks: a table of the session's catalog, bpe_ and a random name, whose files lie in the shared folder like all that is written between stages."""
     spark = docs.sparkSession
     specials, shared, buckets = vocabulary.specials, spark.sparkContext.broadcast(vocabulary.text), n_parts(spark)
     odd = F.coalesce(F.col(text).rlike(UNKNOWN), F.lit(False))
