@@ -97,10 +97,27 @@ def _simple(operation, empty):
     return over
 
 
-sums, products = _simple(np.add, 0.0), _simple(np.multiply, 1.0)
+#: Sums over so many rows at most are added up from the oldest on, as aggregates over a frame are, so that their last bits agree.
+PLAIN = 16
+_block_sums, products = _simple(np.add, 0.0), _simple(np.multiply, 1.0)
 largest, smallest = _simple(np.maximum, -np.inf), _simple(np.minimum, np.inf)
 
 
+def sums(rows: Rows, x: np.ndarray, w: int) -> np.ndarray:
+    if w > PLAIN:
+        return _block_sums(rows, x, w)
+    x, out = np.where(np.isnan(x), 0.0, x), np.zeros(rows.n)
+    for n in range(w - 1, -1, -1):
+        out += np.nan_to_num(lagged(rows, x, n), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return out
+
+
+def means(rows: Rows, x: np.ndarray, w: int) -> np.ndarray:
+    """Sums over counts, as aggregates have them, so that equal rows of values tie."""
+    n = counts(rows, ~np.isnan(x), w)
+    return np.where(n > 0, sums(rows, x, w) / np.maximum(n, 1), np.nan)
+
+
 def place_of(rows: Rows, x: np.ndarray, w: int, highest: bool, earliest: bool) -> np.ndarray:
     """Row of each window's extreme, the earliest or the latest of equal ones; -1 without a value."""
     x = x if highest else -x

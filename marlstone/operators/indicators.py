@@ -91,7 +91,7 @@ def _middle(top, bottom):
     return (top + bottom) / 2
 
 
-_window("sma")(lambda rows, n, x: windows.moments(rows, x, n, 1)[1])
+_window("sma")(lambda rows, n, x: windows.means(rows, x, n))
 _window("stddev", params=period(2) | {"nbdev": Float(1.0, gt=0)})(lambda rows, n, x, nbdev: np.sqrt(windows.moments(rows, x, n)[2] / n) * nbdev)
 _window("var", params=period() | {"nbdev": Float(1.0, gt=0)})(lambda rows, n, x, nbdev: windows.moments(rows, x, n)[2] / n)
 _window("midPoint", params=period(2))(lambda rows, n, x: _middle(windows.largest(rows, x, n), windows.smallest(rows, x, n)))
