@@ -335,3 +335,22 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_join_before_does_not_break_series_up(spark):
+    """Spark may turn the codes' join to a broadcast while it runs, and reads the panel's shuffle then as it was written: a part of each code in each task."""
+    rows = spark.range(0, 240, 1, 4).select((F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(F.col("id") / 6).cast("int"))).alias("time"), F.concat((F.col("id") % 6).cast("string"), F.lit(".SZ")).alias("code"), F.col("id").cast("double").alias("x"))
+    some = SPAN | {"factors": ["x"], "derivatives": {"high": direct("binary.gt", {"left": "x", "right": 234.0})}, "filters": ["high"]}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = execute_query(SPAN | {"derivatives": {"mean": ts("unary.rolling_mean", "x", window=3, min_periods=1)}}, panel=rows, codes_query=some).data.toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = rows.where("code <> '0.SZ'").toPandas().sort_values(["code", "time"])
+    want["mean"] = want.groupby("code")["x"].transform(lambda x: x.rolling(3, min_periods=1).mean())
+    got = got.sort_values(["code", "time"])
+    assert len(got) == len(want) == 200 and np.allclose(got["mean"], want["mean"])
