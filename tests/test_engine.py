@@ -337,6 +337,14 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("decay", [{"span": 5.0}, {"alpha": 0.3}, {"half_life": 3.0, "adjust": False}, {"com": 0.7, "ignore_na": True}])
+def test_one_weighted_value_has_no_spread(spark, decay):
+    """However long ago: its weight squared less the squared weight is nothing, not what rounding leaves."""
+    got = run(panel(spark, {"x": [22.9] + [N] * 40 + [30.0]}), std=ts("unary.ewm_std", "x", **decay), cov=ts("binary.ewm_cov", {"left": "x", "right": "x"}, **decay))
+    for k in ("std", "cov"):
+        assert got[k][:-1] == [N] * 41 and got[k][-1] > 0
+
+
 def test_a_join_before_does_not_break_series_up(spark):
     """Spark may turn the codes' join to a broadcast while it runs, and reads the panel's shuffle then as it was written: a part of each code in each task."""
     rows = spark.range(0, 240, 1, 4).select((F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(F.col("id") / 6).cast("int"))).alias("time"), F.concat((F.col("id") % 6).cast("string"), F.lit(".SZ")).alias("code"), F.col("id").cast("double").alias("x"))
