@@ -140,3 +140,11 @@ def test_what_needs_a_whole_history_is_refused(spark):
             execute_query(SPAN | {"derivatives": {"d": node}}, panel=df, chunk_rows=10).data
     empty = execute_query(SPAN | {"derivatives": {"d": ts("unary.ewm_mean", "x", com=1.0)}}, panel=df.limit(0), chunk_rows=10).data
     assert empty.count() == 0
+
+
+def test_one_weighted_value_has_no_spread_in_chunks(spark):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(i), c, 22.9 if i == first else None) for c, first in (("a", 0), ("b", 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, code string, x double")
+    nodes = {f"d{i}": ts("unary.ewm_var", "x", **p) for i, p in enumerate(({"span": 5.0}, {"half_life": 3.0, "adjust": False}))}
+    got = execute_query(SPAN | {"derivatives": nodes}, panel=df, chunk_rows=7).data
+    assert got.count() == 80 and got.where("d0 is not null or d1 is not null").count() == 0
