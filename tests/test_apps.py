@@ -360,3 +360,65 @@ def test_callbacks_left_out_do_nothing_and_engine_statistics(spark):
     r = Q.run_backtest(request, panel=Q._small_limits(Q.market_panel(spark, "/root/testdata/sf0.001")))
     stat = {x.name: x.value for x in r.engine_stat.collect()}
     assert r.error is None and stat["trades"] == r.trade_details.count() and stat["orders"] == stat["trades"] + stat["rejected"] == r.orders.count() and stat["snapshots"] == 2 * stat["days"] > 0
+
+
+def test_a_run_reads_a_day_at_a_time(spark, market, monkeypatch):
+    """The stored form gives the rows of the form in memory and never holds more than a day's messages or section."""
+    dips = {"dip": {"type": "DIRECT", "op": "binary.lt", "fields": {"left": "r", "right": 0}, "params": {}}}
+    q = request()["dataset_query"]
+    prepared = B.prepare_backtest(request(dataset_query=q | {"derivatives": q["derivatives"] | dips, "filters": ["dip"]}), panel=market)
+    held = prepared.panel.toPandas().sort_values(["time", "code"])
+    kept = held["__kept"].to_numpy(dtype=bool)
+    assert 0 < kept.sum() < len(held)
+    held = held.drop(columns="__kept")
+    messages, panel = (B.DayTable(p) for p in prepared.files)
+    read, sizes = B.DayTable.read, []
+
+    def counted(self, first, last, columns=None):
+        out = read(self, first, last, columns)
+        if columns != ["__day"]:
+            sizes.append(len(out))
+        return out
+
+    seen: list = []
+
+    def snap(ctx, m, i):
+        for filtered in (False, True):
+            last = ctx.last(filtered)
+            seen.append((ctx.now, filtered, sorted(last.code), last.time.max()))
+        if ctx.now.hour == 9:
+            for s in sorted(m["symbol"]):
+                ctx.order_target_value(s, 5000.0 if s in set(last.code) else 0.0, "t")
+        assert len(ctx.message) == len(m) and ctx.message[m["symbol"].iloc[0]]["offer"] == m["offerPrice"].iloc[0][0]
+
+    f = {n: (lambda *a: None) for n in B.CALLBACKS} | {"onSnapshot": snap}
+    whole = B.simulate(prepared.messages.toPandas(), held[[*held.columns]], held[kept], f, B.check_config({"cash": 20000, "commission": 0.001}), {})
+    by_memory, seen = seen, []
+    stored = B.StoredPanel(panel, list(held.columns))
+    assert stored.dates(pd.Timestamp("2024-01-12")) == B.HeldPanel(held, held[kept]).dates(pd.Timestamp("2024-01-12"))
+    for filtered, start, end in ((True, None, None), (False, dt.date(2024, 1, 9), None), (False, None, dt.date(2024, 1, 10)), (True, dt.date(2024, 1, 9), dt.date(2024, 1, 20))):
+        a, b = (p.rows(filtered, pd.Timestamp("2024-01-17"), start, end) for p in (stored, B.HeldPanel(held, held[kept])))
+        assert a[["time", "code", "close"]].values.tolist() == b[["time", "code", "close"]].values.tolist()
+    monkeypatch.setattr(B.DayTable, "read", counted)
+    frames = (B._frame(messages.read(d, d)) for d in messages.days())
+    got = list(B.run_days(frames, stored, f, B.check_config({"cash": 20000, "commission": 0.001}), {}))
+    assert pd.DataFrame(got).equals(pd.DataFrame(whole)) and seen == by_memory
+    assert max(sizes) == 2 * len(CODES)
+
+
+def test_a_log_is_a_list(monkeypatch):
+    monkeypatch.setattr(B.Log, "LOT", 4)
+    log, want = B.Log(), []
+    for i in range(11):
+        log.append(i)
+        want.append(i)
+        assert list(log) == want and len(log) == len(want) and log[-1] == i and log[0] == 0 and len(log._tail) < 4
+    assert log[2:9:3] == want[2:9:3] and 7 in log and log[-11] == 0
+    with pytest.raises(IndexError):
+        log[11]
+
+
+def test_a_run_that_fails_late_gives_one_row(spark, market):
+    late = "def onBar(context, message, indicator):\n    if len(context.trade_dates()) > 5:\n        raise KeyError('late')"
+    prepared = B.prepare_backtest(request(callbacks=callbacks(onBar=late)), panel=market)
+    assert [(r.kind, r.error) for r in prepared.run_many([{"run": 0}]).collect()] == [("error", "KeyError: 'late'")]
