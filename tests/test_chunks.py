@@ -148,3 +148,19 @@ def test_one_weighted_value_has_no_spread_in_chunks(spark):
     nodes = {f"d{i}": ts("unary.ewm_var", "x", **p) for i, p in enumerate(({"span": 5.0}, {"half_life": 3.0, "adjust": False}))}
     got = execute_query(SPAN | {"derivatives": nodes}, panel=df, chunk_rows=7).data
     assert got.count() == 80 and got.where("d0 is not null or d1 is not null").count() == 0
+
+
+def test_a_finished_chunk_goes_on_in_slices(spark, monkeypatch):
+    df = spark.range(200).select((F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("time"), F.lit("a").alias("code"), F.col("id").cast("double").alias("x"))
+    passes, usual = [], type(df).mapInArrow
+
+    def noted(self, function, schema):
+        passes.append((self, function))
+        return usual(self, function, schema)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    execute_query(SPAN | {"derivatives": {"d": ts("unary.rolling_mean", "x", window=3)}}, panel=df, chunk_rows=1000).data
+    monkeypatch.setattr(chunks, "OUT_ROWS", 50, raising=False)
+    dealt, finish = passes[-1]
+    sizes = [b.num_rows for b in finish(dealt.toArrow().to_batches())]
+    assert sum(sizes) == 200 and max(sizes) == 50
