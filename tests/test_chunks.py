@@ -164,3 +164,14 @@ def test_a_finished_chunk_goes_on_in_slices(spark, monkeypatch):
     dealt, finish = passes[-1]
     sizes = [b.num_rows for b in finish(dealt.toArrow().to_batches())]
     assert sum(sizes) == 200 and max(sizes) == 50
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 2])
+def test_equal_values_have_no_weighted_correlation(spark, chunk_rows):
+    """A spread of zero gives NULL, not 0: (0.7 y + y) / 1.7 is off by a rounding for y = 11.695 and 27.31, not for 14.695."""
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(i), str(y), x, None if x is None else z) for y in (11.695, 14.695, 27.31) for i, (x, z) in enumerate([(21.39, y), (5.39, y), (None, y), (22.87, y + 1)])]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, code string, x double, y double")
+    nodes = {k: ts("binary.ewm_corr", {"left": a, "right": b}, alpha=0.3) for k, a, b in (("d", "x", "y"), ("e", "y", "x"))}
+    got = execute_query(SPAN | {"derivatives": nodes}, panel=df, chunk_rows=chunk_rows).data.orderBy("code", "time").collect()
+    for k in nodes:
+        assert [r[k] is None for r in got] == [True, True, True, False] * 3
